@@ -33,13 +33,13 @@ SHARE = 0.25
 BUCKETS = 1 << 14
 DIM = 12
 GRAMS = (3, 4, 5)
-ROUNDS = 40
-WARM_ROUNDS = 12
-RATE = 0.15
+ROUNDS = 30
+WARM_ROUNDS = 10
+RATE = 0.2
 #: a document has a subject from this (soft) share of its sentences on: about a quarter
 ACCEPT = 0.22
 #: partitions of the labelled sample; the sample is bounded, so this need not follow the cluster
-PARTS = 12
+PARTS = 6
 SHARPNESS = 20.0
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|[\r\n]+")
