@@ -24,17 +24,17 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split([("documents", documents), ("edgar", splitting.filing_bodies(table(spark, d, "edgar")))], splitting.read_configs(table(spark, d, "chunk_configs")))
 
 
-def _filings(spark: SparkSession, d: str) -> DataFrame:
+def _filings(spark: SparkSession, d: str) -> neardup.NearDuplicates:
     text = F.concat(F.coalesce("section_1", F.lit("")), F.lit(" "), F.coalesce("section_7", F.lit("")))
-    return neardup.shingle_sets(table(spark, d, "edgar"), F.col("filename"), text)
+    return neardup.NearDuplicates(table(spark, d, "edgar"), F.col("filename"), text, similarity=0.5)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.pairs(_filings(spark, d), 0.5).select(F.col("key_a").alias("filename_a"), F.col("key_b").alias("filename_b"))
+    return _filings(spark, d).pairs().select(F.col("key_a").alias("filename_a"), F.col("key_b").alias("filename_b"))
 
 
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.groups(_filings(spark, d), 0.5).withColumnRenamed("key", "filename")
+    return _filings(spark, d).groups().withColumnRenamed("key", "filename")
 
 
 def _capacity(spark: SparkSession, d: str) -> int:
