@@ -28,7 +28,7 @@ _OPEN, _CLOSE = "[\\[【［(（]", "[\\]】］)）]"
 CITATION = re.compile(rf"{_OPEN}\s*[\w.\-]+\s*(?:::|：：)\s*\w+\s*{_CLOSE}", re.I)
 #: a citation that the end of the text cuts off
 OPEN_CITATION = re.compile(rf"{_OPEN}\s*[\w.\-]*(?:[:：]{{0,2}}\w*)$", re.I)
-LABEL = re.compile(r"^[\s>*_#`-]*(?:answer|response|question|reply|a|q|antwort|frage|réponse|question|respuesta|pregunta)\s*[:：][\s*_`]*", re.I)
+LABEL = re.compile(r"^[\s>*_#`-]*(?:answer|response|question|reply|a|q|antwort|frage|réponse|question|respuesta|pregunta)[\s*_`]*[:：][\s*_`]*", re.I)
 
 # Phrases by which an answer is declined (one alternative a line), in the languages of the corpus.
 _REFUSALS = re.compile(
