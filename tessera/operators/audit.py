@@ -47,8 +47,8 @@ def latest(df: DataFrame, key: str, order: list[str], columns: list[str]) -> Dat
 def percentiles(df: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
     """Positional percentiles: the value at round-half-even of share * (n - 1) in order; none is interpolated."""
     w = Window.partitionBy(key)
-    ranked = df.where(F.col(value).isNotNull()).select(key, value, F.row_number().over(w.orderBy(value)).alias("rn"), F.count("*").over(w).alias("n"))
-    return ranked.groupBy(key).agg(*(F.max(F.when(F.col("rn") - 1 == F.bround(F.lit(s) * (F.col("n") - 1)), F.col(value))).alias(name) for name, s in shares.items()))
+    ranked = df.where(F.col(value).isNotNull()).select(key, value, F.row_number().over(w.orderBy(value)).alias("__place"), F.count("*").over(w).alias("__rows"))
+    return ranked.groupBy(key).agg(*(F.max(F.when(F.col("__place") - 1 == F.bround(F.lit(s) * (F.col("__rows") - 1)), F.col(value))).alias(name) for name, s in shares.items()))
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
