@@ -33,8 +33,12 @@ from tessera.llm import tokens as T
 HASHED = 8
 SECTION, PARAGRAPH, SENTENCE, WORD, CHARACTER = 4, 3, 2, 1, 0
 KINDS = {SECTION: "section", PARAGRAPH: "paragraph", SENTENCE: "sentence", WORD: "word", CHARACTER: "character", 5: "end"}
-_HEADING = re.compile(r"(?:\A|(?<=[\n\r]))(?:#{1,6}[ \t]+\S[^\n\r]*|(?:item|part)[ \t]+[0-9ivx]+[a-c]?\b[.:]?[^\n\r]{0,80})(?=[\n\r]|\Z)", re.I)
-_BREAKS = re.compile(r"\n[ \t\r]*(?:\n[ \t\r]*)+|\r\r+|[\n\r]+|(?<=[.!?。！？])[\"')\]”’]*(?=\s)")
+_TITLE = r"(?:#{1,6}[ \t]+\S[^\n\r]*|(?:item|part)[ \t]+[0-9ivx]+[a-c]?\b[.:]?[^\n\r]{0,80})"
+_HEADING = re.compile(rf"(?:\A|(?<=[\n\r])){_TITLE}(?=[\n\r]|\Z)", re.I)
+#: the same for texts whose lines all end in a line feed, where the search skips from line to line
+_HEADING_LF = re.compile(rf"^{_TITLE}$", re.I | re.M)
+# Code points that end sentences, close quotations and are blank.
+_ENDS, _CLOSERS, _BLANKS = (0x2E, 0x21, 0x3F, 0x3002, 0xFF01, 0xFF1F, 0x2026), (0x22, 0x27, 0x29, 0x5D, 0x201D, 0x2019), (0x20, 0x09, 0x0A, 0x0D, 0xA0, 0x3000)
 SCHEMA = "source_table string, record_key string, config_id string, piece int, char_start int, char_end int, tokens int, boundary string, text string"
 
 # Section columns of a filing, in order, with their headings.
@@ -53,6 +57,35 @@ class Config:
             raise ValueError(f"{self.config_id}: a window of {self.window} with an overlap of {self.overlap} leaves no room")
 
 
+def _among(codes: np.ndarray, values: tuple[int, ...]) -> np.ndarray:
+    out = codes == values[0]
+    for v in values[1:]:
+        if v < 256 or codes.itemsize > 1:
+            out |= codes == v
+    return out
+
+
+def _breaks(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Characters at which sentences (or lines) and paragraphs break: the blank after a sentence, the character after a line end."""
+    codes = np.frombuffer(text.encode(), np.uint8) if text.isascii() else np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    if len(codes) < 3:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    blank, end = _among(codes, _BLANKS), _among(codes, _ENDS)
+    ended = blank[1:] & end[:-1]
+    ended[1:] |= blank[2:] & _among(codes[1:-1], _CLOSERS) & end[:-2]
+    sentences = np.nonzero(ended)[0] + 1
+    line = (codes == 10) | (codes == 13)
+    after = np.nonzero(line[:-1] & ~line[1:])[0] + 1
+    if not len(after):
+        return sentences, after
+    feeds = np.concatenate(([0], np.cumsum(codes == (10 if "\n" in text else 13))))
+    solid = np.nonzero(~blank)[0]
+    before = np.searchsorted(solid, after)  # solid characters before the break
+    begins = np.where(before > 0, solid[np.maximum(before - 1, 0)] + 1, 0) if len(solid) else np.zeros(len(after), np.int64)
+    two = feeds[after] - feeds[begins] > 1
+    return np.concatenate((sentences, after[~two])), after[two]
+
+
 class Tokenised:
     """A text with its token ends (in characters), natural boundaries and landmarks (as token places)."""
 
@@ -73,18 +106,15 @@ class Tokenised:
         words = np.ones(self.count + 1, bool)
         words[: self.count] = T.word_starts(path)[ids]
         self.words = words & self.clean
-        breaks = [(m.end(), PARAGRAPH if m.group(0).count("\n") > 1 or m.group(0).count("\r") > 1 and "\n" not in m.group(0) else SENTENCE) for m in _BREAKS.finditer(text)]
-        heads = [m.start() for m in _HEADING.finditer(text)]
+        heads = [m.start() for m in (_HEADING if "\r" in text else _HEADING_LF).finditer(text)]
         self.sections = self._at(np.array(heads, np.int64))
-        natural = self._at(np.array([b[0] for b in breaks], np.int64), keep=True)
-        kinds = np.array([b[1] for b in breaks], np.int64)
-        fit = natural >= 0
-        best: dict[int, int] = {}
-        for place, kind in zip(natural[fit].tolist(), kinds[fit].tolist(), strict=True):
-            best[place] = max(kind, best.get(place, 0))
-        best.update(dict.fromkeys(self.sections.tolist(), SECTION))
-        self.natural = np.array(sorted(best), np.int64)
-        self.kinds = np.array([best[k] for k in self.natural.tolist()], np.int64)
+        kinds = np.zeros(self.count + 1, np.int8)
+        sentences, paragraphs = _breaks(text)
+        kinds[self._at(sentences)] = SENTENCE
+        kinds[self._at(paragraphs)] = PARAGRAPH
+        kinds[self.sections] = SECTION
+        self.natural = np.nonzero(kinds)[0]
+        self.kinds = kinds[self.natural]
         mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)))
@@ -93,13 +123,12 @@ class Tokenised:
         rolled ^= rolled >> np.uint64(32)
         self.hash = np.concatenate((np.full(self.count + 1 - len(rolled), np.iinfo(np.uint64).max, np.uint64), rolled))
 
-    def _at(self, chars: np.ndarray, keep: bool = False) -> np.ndarray:
-        """Token places of character positions; a position within a token is no place (-1, or left out)."""
+    def _at(self, chars: np.ndarray) -> np.ndarray:
+        """Token places of character positions; a position within a token is left out."""
         if not len(chars):
             return np.zeros(0, np.int64)
-        k = np.searchsorted(self.places, chars)
-        ok = (k <= self.count) & (self.places[np.minimum(k, self.count)] == chars) & self.clean[np.minimum(k, self.count)]
-        return np.where(ok, k, -1) if keep else k[ok & (k > 0)]
+        k = np.minimum(np.searchsorted(self.places, chars), self.count)
+        return k[(self.places[k] == chars) & self.clean[k] & (k > 0)]
 
 
 def _cut(t: Tokenised, least: int, most: int) -> tuple[int, int]:
