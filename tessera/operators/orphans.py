@@ -33,22 +33,30 @@ def _folded(key: Column) -> Column:
     return F.lower(F.regexp_replace(plain, "[\\s\\p{Z}\\p{Cf}\\[\\](){}<>\\u3010\\u3011]", ""))
 
 
-def adsh_parts(key: Column) -> tuple[Column, Column, Column]:
-    """(space, integer, usual form) of an accession number."""
-    folded = _folded(key)
-    digits = F.regexp_replace(folded, "[^0-9]", "")
-    fits = (F.length(digits) == 18) & ~folded.rlike("[^0-9\\-]")
-    usual = F.concat_ws("-", F.substring(digits, 1, 10), F.substring(digits, 11, 2), F.substring(digits, 13, 6))
-    return F.lit(""), F.when(fits, digits.cast("bigint")), F.when(fits, usual).otherwise(folded)
+def _plainly(df: DataFrame, column: str, usual: str) -> DataFrame:
+    """The column ``folded``; a key already in its usual form, as nearly all are, skips the folding."""
+    return df.withColumn("folded", F.when(F.col(column).rlike(usual), F.col(column)).otherwise(_folded(F.col(column))))
 
 
-def chunk_parts(key: Column) -> tuple[Column, Column, Column]:
-    """(document, ordinal, usual form) of a chunk key."""
-    folded = _folded(key)
-    document = F.regexp_extract(folded, "^(.*?)::chunk0*([0-9]{1,18})$", 1)
-    ordinal = F.regexp_extract(folded, "^(.*?)::chunk0*([0-9]{1,18})$", 2)
-    fits = ordinal != ""
-    return document, F.when(fits, ordinal.cast("bigint")), F.when(fits, F.concat(document, F.lit("::chunk"), ordinal.cast("bigint").cast("string"))).otherwise(folded)
+def with_adsh(df: DataFrame, column: str) -> DataFrame:
+    """``space``, ``key`` and ``usual`` of an accession number: one space, its 18 digits, 10-2-6 digits."""
+    plain = _plainly(df, column, "^[0-9]{10}-[0-9]{2}-[0-9]{6}$")
+    digits = plain.withColumn("digits", F.when(F.length("folded") == 20, F.concat(F.substring("folded", 1, 10), F.substring("folded", 12, 2), F.substring("folded", 15, 6))).otherwise(F.regexp_replace("folded", "-", "")))
+    key = F.when(F.length("digits") == 18, F.col("digits").try_cast("bigint"))
+    usual = F.concat_ws("-", F.substring("digits", 1, 10), F.substring("digits", 11, 2), F.substring("digits", 13, 6))
+    keyed = digits.withColumns({"space": F.lit(""), "key": key})
+    return keyed.withColumn("usual", F.when(F.col("key").isNotNull(), usual).otherwise(F.col("folded"))).drop("folded", "digits")
+
+
+_CHUNK = "^(.*?)::chunk0*([0-9]{1,18})$"
+
+
+def with_chunk(df: DataFrame, column: str) -> DataFrame:
+    """``space``, ``key`` and ``usual`` of a chunk key: its document, its ordinal, document::chunkN."""
+    plain = _plainly(df, column, "^[a-z0-9_.\\-]+::chunk[0-9]{1,18}$")
+    keyed = plain.withColumns({"space": F.regexp_extract("folded", _CHUNK, 1), "key": F.regexp_extract("folded", _CHUNK, 2).try_cast("bigint")})
+    usual = F.concat("space", F.lit("::chunk"), F.col("key").cast("string"))
+    return keyed.withColumn("usual", F.when(F.col("key").isNotNull(), usual).otherwise(F.col("folded"))).drop("folded")
 
 
 def runs(parents: DataFrame) -> DataFrame:
@@ -84,18 +92,22 @@ def _ntz(c: str) -> Column:
     return F.col(c).cast("timestamp_ntz")
 
 
+def _children(keyed: DataFrame, child_table: str, child_key: str, at: str) -> DataFrame:
+    kept = keyed.where("usual != ''")
+    return kept.select(F.lit(child_table).alias("child_table"), F.col(child_key).cast("string").alias("child_key"), "space", "key", F.col("usual").alias("parent_key"), _ntz(at).alias("at"))
+
+
 def fact_orphans(facts: DataFrame, submissions: DataFrame, salts: int = 8) -> DataFrame:
-    space, key, usual = adsh_parts(F.col("adsh"))
-    children = facts.where("adsh is not null").select(F.lit("facts").alias("child_table"), F.col("fact_id").cast("string").alias("child_key"), space.alias("space"), key.alias("key"), usual.alias("parent_key"), _ntz("loaded_at").alias("at")).where("parent_key != ''")
-    parents = submissions.select(space.alias("space"), key.alias("key"), _ntz("loaded_at").alias("arrived"), _ntz("withdrawn_at").alias("removed"))
+    children = _children(with_adsh(facts.where("adsh is not null").select("fact_id", "adsh", "loaded_at"), "adsh"), "facts", "fact_id", "loaded_at")
+    parents = with_adsh(submissions.select("adsh", "loaded_at", "withdrawn_at"), "adsh").select("space", "key", _ntz("loaded_at").alias("arrived"), _ntz("withdrawn_at").alias("removed"))
     return orphans(children, parents, salts)
 
 
 def citation_orphans(runs_table: DataFrame, chunks: DataFrame, child_table: str, salts: int = 8) -> DataFrame:
+    """One row a case and cited chunk, however often the case cites it."""
     cited = runs_table.select("case_id", "run_ts", F.explode("citation_checks.chunk_id").alias("chunk_id")).where("chunk_id is not null")
-    space, key, usual = chunk_parts(F.col("chunk_id"))
-    children = cited.select(F.lit(child_table).alias("child_table"), F.col("case_id").alias("child_key"), space.alias("space"), key.alias("key"), usual.alias("parent_key"), _ntz("run_ts").alias("at")).where("parent_key != ''")
-    parents = chunks.select(space.alias("space"), key.alias("key"), _ntz("indexed_at").alias("arrived"), _ntz("removed_at").alias("removed"))
+    children = _children(with_chunk(cited, "chunk_id"), child_table, "case_id", "run_ts")
+    parents = with_chunk(chunks.select("chunk_id", "indexed_at", "removed_at"), "chunk_id").select("space", "key", _ntz("indexed_at").alias("arrived"), _ntz("removed_at").alias("removed"))
     return orphans(children, parents, salts).distinct()
 
 
