@@ -109,6 +109,30 @@ def bm25(postings: DataFrame, queries: DataFrame, k: int, key: str, k1: float =
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", key, F.round("score", 6).alias("score"))
 
 
+#: query terms that are looked for while a text is read; more of them go through the postings
+INLINE_TERMS = 200
+
+
+def bm25_texts(texts: DataFrame, queries: DataFrame, k: int, key: str, text: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """As ``bm25`` of ``terms``, without building postings of words that no query has: texts are read once, only hits are shuffled."""
+    wanted = queries.select("query_id", "term").distinct()
+    found = [r.term for r in wanted.select("term").distinct().limit(INLINE_TERMS + 1).collect()]
+    if len(found) > INLINE_TERMS:
+        return bm25(terms(texts, key, text), queries, k, key, k1, b)
+    words = F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"))
+    read = texts.where(F.col(text).isNotNull()).select(key, F.filter(words, lambda w: F.length(w).between(1, 40)).alias("words"))
+    docs = read.where(F.size("words") > 0)
+    totals = docs.agg(F.count("*").alias("docs"), F.avg(F.size("words")).alias("mean")).first()  # two numbers
+    n, mean = F.lit(float(totals.docs)), F.lit(float(totals.mean or 1.0))
+    hits = docs.select(key, F.size("words").alias("length"), F.explode(F.filter("words", lambda w: w.isin(found))).alias("term")).groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    weight = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
+    scored = hits.join(F.broadcast(df), "term").select(key, "term", weight.alias("w"))  # one row an inline term at most
+    scores = scored.join(wanted, "term").groupBy("query_id", key).agg(F.sum("w").alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), F.asc(key))
+    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", key, F.round("score", 6).alias("score"))
+
+
 def fuse(dense: DataFrame, sparse: DataFrame, k: int = 60, limit: int = 50) -> DataFrame:
     """Reciprocal rank fusion of two (query_id, rank, id); a missing side adds nothing.
 

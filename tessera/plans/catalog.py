@@ -280,7 +280,7 @@ def _queries(s, d):
 
 
 def _bm25(s, d, k=50):
-    return search.bm25(search.terms(table(s, d, "documents"), "doc_id", "text"), _queries(s, d), k, "doc_id")
+    return search.bm25_texts(table(s, d, "documents"), _queries(s, d), k, "doc_id", "text")
 
 
 def _overlap(s, d, k=50):
