@@ -21,8 +21,10 @@ def typed_tsv(spark: SparkSession, paths: list[str] | str, schema: str, header:
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(rows, lines that are no JSON of the schema)."""
-    raw = spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return raw.where("_bad is null").drop("_bad"), raw.where("_bad is not null").select("_bad")
+    lines = spark.read.text(path).where("trim(value) != ''")
+    read = lines.select("value", F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("row"))
+    good = read.where("row._bad is null").select("row.*").drop("_bad")
+    return good, read.where("row._bad is not null").select(F.col("value").alias("_bad"))
 
 
 def labelled_union(parts: dict[str, DataFrame], column: str = "split") -> DataFrame:
