@@ -45,10 +45,19 @@ def latest(df: DataFrame, key: str, order: list[str], columns: list[str]) -> Dat
 
 
 def percentiles(df: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
-    """Positional percentiles: the value at round-half-even of share * (n - 1) in order; none is interpolated."""
+    """Positional percentiles: the value at round-half-even of share * (n - 1) in order; none is interpolated.
+
+    Equal values are counted before anything is ordered, so a hot key costs its distinct values.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("__rows"))
     w = Window.partitionBy(key)
-    ranked = df.where(F.col(value).isNotNull()).select(key, value, F.row_number().over(w.orderBy(value)).alias("__place"), F.count("*").over(w).alias("__rows"))
-    return ranked.groupBy(key).agg(*(F.max(F.when(F.col("__place") - 1 == F.bround(F.lit(s) * (F.col("__rows") - 1)), F.col(value))).alias(name) for name, s in shares.items()))
+    placed = counts.select(key, value, F.sum("__rows").over(w.orderBy(value)).alias("__upto"), "__rows", F.sum("__rows").over(w).alias("__all"))
+
+    def at(share: float) -> Column:
+        place = F.bround(F.lit(share) * (F.col("__all") - 1)) + 1
+        return F.max(F.when((F.col("__upto") >= place) & (F.col("__upto") - F.col("__rows") < place), F.col(value)))
+
+    return placed.groupBy(key).agg(*(at(s).alias(name) for name, s in shares.items()))
 
 
 def fingerprint(df: DataFrame) -> DataFrame:

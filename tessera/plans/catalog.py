@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import audit, documents, facts, guards, metrics, sampling, search
+from tessera.operators import audit, documents, facts, guards, matching, metrics, sampling, search
 from tessera.session import table
 from tessera.streaming import events as stream
 
@@ -581,3 +581,81 @@ def events_tumbling(s, d):
 select user_id, min(ts) as session_start, count(*) as events from n group by user_id, n""")
 def events_sessions(s, d):
     return stream.sessions(table(s, d, "events"))
+
+
+# --- matching and selection
+
+
+@query("""with i as (select chunk_id as item_id, document_id, ordinal + 1 as page, text[1:60] as needle from chunks where length(text) > 0), h as (select item_id, page, c.ordinal as near from i join chunks c on i.document_id = c.document_id and c.ordinal between page - 1 and page + 1 and contains(c.text, needle)),
+g as (select item_id, max((near = page)::int) as own, count(*) as n, min(near) as nat from h group by 1)
+select item_id, case when own = 1 then 'stated' when n > 1 then 'ambiguous' when n = 1 then 'neighbour' else 'none' end as status, case when own = 1 then page when n = 1 then nat end as "at" from i left join g using (item_id)""")
+def j22_neighbour_pages(s, d):
+    c = table(s, d, "chunks")
+    items = c.where("length(text) > 0").select(F.col("chunk_id").alias("item_id"), "document_id", (F.col("ordinal") + 1).alias("page"), F.substring("text", 1, 60).alias("needle"))
+    return matching.neighbour(items, c.select("document_id", F.col("ordinal").alias("page"), "text"))
+
+
+@query()
+def j25_companies_in_questions(s, d):
+    names = table(s, d, "submissions").select("name", F.col("cik").alias("id"))
+    return matching.gazetteer(table(s, d, RERUN), "case_id", "question", names)
+
+
+@query(f"""with l as ({_LONG}), p as (select * from l where length(text) > 0), r as (select doc_id as request_id, cast(cik as varchar) || '_' || fiscal_year || '.htm' as document_id, section_id from documents)
+select request_id, case when e.filename is null then 'filing_not_found' when not exists (select 1 from p where p.document_id = r.document_id) then 'filing_not_parsed' when p.text is null then 'section_not_found' else 'found' end as status, length(p.text) as chars
+from r left join edgar e on e.filename = r.document_id left join p on p.document_id = r.document_id and p.section_id = r.section_id""")
+def f6_navigation(s, d):
+    requests = table(s, d, "documents").select(F.col("doc_id").alias("request_id"), F.concat(F.col("cik").cast("string"), F.lit("_"), F.col("fiscal_year").cast("string"), F.lit(".htm")).alias("document_id"), "section_id")
+    edgar = table(s, d, "edgar")
+    return matching.navigate(requests, documents.sections(edgar), edgar.select(F.col("filename").alias("document_id")))
+
+
+@query(f"select sha256(lower(trim(regexp_replace(question, '[ \\t\\n\\r]+', ' ', 'g')))) as fingerprint, count(*) as n, min(case_id) as first from {RERUN} where question is not null group by 1 having count(*) > 1")
+def d11_repeated_questions(s, d):
+    return matching.repeated_texts(table(s, d, RERUN), "case_id", "question")
+
+
+@query(f"""with n as (select case_id, answer, regexp_extract(answer, '([0-9][0-9,]*(?:[.][0-9]+)?)', 1) as num from {RERUN} where answer is not null)
+select case_id, case when num <> '' then answer[1:instr(answer, num) - 1] || cast(try_cast(replace(num, ',', '') as decimal(30,2)) * 2 as varchar) || substr(answer, instr(answer, num) + length(num)) end as corrupted from n""")
+def d28_doubled_numbers(s, d):
+    return table(s, d, RERUN).where("answer is not null").select("case_id", matching.double_first_number(F.col("answer")).alias("corrupted"))
+
+
+@query("""with c as (select case when o_orderpriority = '1-URGENT' then 'urgent' when o_orderstatus = 'F' then 'filled' else 'open' end as category, o_custkey, sha256(cast(o_orderkey as varchar) || chr(0) || 'pick') as k from orders),
+a as (select 'urgent' as category, o_custkey, min(k) as selection_key from c where category = 'urgent' group by 2 order by 3, 2 limit 40),
+b as (select 'filled' as category, o_custkey, min(k) as selection_key from c where category = 'filled' and o_custkey not in (select o_custkey from a) group by 2 order by 3, 2 limit 40),
+e as (select 'open' as category, o_custkey, min(k) as selection_key from c where category = 'open' and o_custkey not in (select o_custkey from a union all select o_custkey from b) group by 2 order by 3, 2 limit 40)
+select * from a union all select * from b union all select * from e""")
+def o6_sequential_selection(s, d):
+    kind = F.when(F.col("o_orderpriority") == "1-URGENT", "urgent").when(F.col("o_orderstatus") == "F", "filled").otherwise("open")
+    c = table(s, d, "orders").select(kind.alias("category"), "o_custkey", sampling.selection_key(F.col("o_orderkey").cast("string"), "pick").alias("selection_key"))
+    return matching.sequential(c, ["urgent", "filled", "open"], 40, "o_custkey")
+
+
+@query("select o_orderkey, 'ord_' || o_orderstatus || '_' || lpad(cast(row_number() over (partition by o_orderstatus order by o_orderdate, o_orderkey) as varchar), 6, '0') as assigned_id from orders")
+def o10_assigned_ids(s, d):
+    return matching.numbered(table(s, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate"), "o_orderstatus", ["o_orderdate", "o_orderkey"], "ord").select("o_orderkey", "assigned_id")
+
+
+@query("""with recursive e as (select distinct 'c' || cik as a, 'n' || lower(name) as b from submissions where cik is not null and name is not null), b as (select a, b from e union select b, a from e),
+r(node, reach) as (select a, a from b union select r.node, b.b from r join b on r.reach = b.a), k as (select node, min(reach) as component from r group by 1)
+select case when ('0x' || sha256(component)[1:8])::bigint / 4294967296.0 < 0.2 then 'dev' else 'test' end as split, count(*) as filings from submissions join k on node = 'c' || cik group by 1""")
+def d20_component_split(s, d):
+    found = sampling.components(_company_edges(s, d))
+    keyed = table(s, d, "submissions").select(F.concat(F.lit("c"), F.col("cik").cast("string")).alias("node")).join(found, "node")
+    return sampling.hash_split(keyed, F.col("component"), 0.2).groupBy("split").agg(F.count("*").alias("filings"))
+
+
+@query("select count(*) as sampled, count(*) filter (found) as found from (select vec_id % 100 = 0 as s, true as found from embeddings) where s")
+def r13_self_retrieval(s, d):
+    """Every sampled vector finds itself, or one as near to within 1e-6, first."""
+    v = table(s, d, "embeddings")
+    hits = search.knn(v, v.where("vec_id % 100 = 0"), 5, _DIMS, skip_self=False)
+    per = hits.groupBy("query_id").agg(F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("best"), F.max(F.when(F.col("id") == F.col("query_id"), F.col("score"))).alias("own"))
+    return per.agg(F.count("*").alias("sampled"), F.count_if(F.expr("best - own <= 1e-6")).alias("found"))
+
+
+@query("select cast(cast(try_cast(cik as bigint) as bigint) as varchar) as cik, list_sort(list(distinct filename)) as filenames from edgar where try_cast(cik as bigint) is not null group by 1")
+def d25_grouped_keys(s, d):
+    e = table(s, d, "edgar").select(_integer("cik", "bigint").cast("string").alias("cik"), "filename").where("cik is not null")
+    return e.groupBy("cik").agg(F.sort_array(F.collect_set("filename")).alias("filenames"))
