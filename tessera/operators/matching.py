@@ -22,15 +22,15 @@ def gazetteer(texts: DataFrame, key: str, text: str, names: DataFrame, most_word
     name of several ids gives the least. A name of more words is not found.
     """
     known = names.where("name is not null").groupBy(name_key(F.col("name")).alias("name_key")).agg(F.min("id").alias("id"), F.min("name").alias("name")).where("name_key != ''")
-    words = texts.where(F.col(text).isNotNull()).select(key, F.regexp_extract_all(F.upper(text), F.lit(f"({_TOKEN})"), 1).alias("w"))
-    starts = words.select(key, "w", F.explode(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1)))).alias("place"))
-    runs = starts.select(key, "place", F.explode(F.sequence(F.lit(1), F.least(F.lit(most_words), F.size("w") - F.col("place") + 1))).alias("n"), "w").where("n > 0")
-    keyed = runs.select(key, "place", "n", F.regexp_replace(F.array_join(F.slice("w", F.col("place"), F.col("n")), " "), "[.]+$", "").alias("name_key"))
-    hits = keyed.join(known, "name_key").groupBy(key).agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("rank"), "place", "n", "id", "name"))).alias("h"))
+    words = texts.where(F.col(text).isNotNull()).select(F.col(key).alias("__key"), F.regexp_extract_all(F.upper(text), F.lit(f"({_TOKEN})"), 1).alias("w"))
+    starts = words.select("__key", "w", F.explode(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1)))).alias("place"))
+    runs = starts.select("__key", "place", F.explode(F.sequence(F.lit(1), F.least(F.lit(most_words), F.size("w") - F.col("place") + 1))).alias("n"), "w").where("n > 0")
+    keyed = runs.select("__key", "place", "n", F.regexp_replace(F.array_join(F.slice("w", F.col("place"), F.col("n")), " "), "[.]+$", "").alias("name_key"))
+    hits = keyed.join(known, "name_key").groupBy("__key").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("rank"), "place", "n", "id", "name"))).alias("h"))
     # The hits of one text, longest first; each is kept if it overlaps none kept before.
     kept = F.expr("""aggregate(h, cast(array() as array<struct<rank: int, place: int, n: int, id: bigint, name: string>>),
         (acc, x) -> if(exists(acc, k -> x.place < k.place + k.n and k.place < x.place + x.n), acc, array_append(acc, x)))""")
-    return hits.select(key, F.explode(kept).alias("k")).select(key, "k.place", "k.name", "k.id")
+    return hits.select("__key", F.explode(kept).alias("kept")).select(F.col("__key").alias(key), "kept.place", "kept.name", "kept.id")
 
 
 def neighbour(items: DataFrame, pages: DataFrame) -> DataFrame:
