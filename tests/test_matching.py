@@ -12,7 +12,7 @@ def rows(df):
 def test_gazetteer_takes_the_longest(spark):
     names = spark.createDataFrame([("Acme Corp", 1), ("Acme Corp Holdings Inc.", 2), ("ACME CORP", 0), ("Beta", 3), (None, 4), ("", 5)], "name string, id bigint")
     texts = spark.createDataFrame([(1, "Did acme corp holdings inc and Beta, or Acme Corp. grow?"), (2, None), (3, ""), (4, "nothing")], "k int, t string")
-    assert [(r[0], r[3]) for r in rows(matching.gazetteer(texts, "k", "t", names))] == [(1, 0), (1, 2), (1, 3)]
+    assert [(r[0], r[3]) for r in rows(matching.gazetteer(texts, "k", "t", names))] == [(1, 2), (1, 3), (1, 0)]
 
 
 def test_neighbours(spark):
