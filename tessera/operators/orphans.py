@@ -33,6 +33,11 @@ def _folded(key: Column) -> Column:
     return F.lower(F.regexp_replace(plain, "[\\s\\p{Z}\\p{Cf}\\[\\](){}<>\\u3010\\u3011]", ""))
 
 
+def _says_something(column: str) -> Column:
+    """Not null, and a letter or digit in it; asked of the raw key, so that nothing is folded for it."""
+    return F.col(column).rlike("[\\p{L}\\p{N}]")
+
+
 def _plainly(df: DataFrame, column: str, usual: str) -> DataFrame:
     """The column ``folded``; a key already in its usual form, as nearly all are, skips the folding."""
     return df.withColumn("folded", F.when(F.col(column).rlike(usual), F.col(column)).otherwise(_folded(F.col(column))))
@@ -93,19 +98,18 @@ def _ntz(c: str) -> Column:
 
 
 def _children(keyed: DataFrame, child_table: str, child_key: str, at: str) -> DataFrame:
-    kept = keyed.where("usual != ''")
-    return kept.select(F.lit(child_table).alias("child_table"), F.col(child_key).cast("string").alias("child_key"), "space", "key", F.col("usual").alias("parent_key"), _ntz(at).alias("at"))
+    return keyed.select(F.lit(child_table).alias("child_table"), F.col(child_key).cast("string").alias("child_key"), "space", "key", F.col("usual").alias("parent_key"), _ntz(at).alias("at"))
 
 
 def fact_orphans(facts: DataFrame, submissions: DataFrame, salts: int = 8) -> DataFrame:
-    children = _children(with_adsh(facts.where("adsh is not null").select("fact_id", "adsh", "loaded_at"), "adsh"), "facts", "fact_id", "loaded_at")
+    children = _children(with_adsh(facts.where(_says_something("adsh")).select("fact_id", "adsh", "loaded_at"), "adsh"), "facts", "fact_id", "loaded_at")
     parents = with_adsh(submissions.select("adsh", "loaded_at", "withdrawn_at"), "adsh").select("space", "key", _ntz("loaded_at").alias("arrived"), _ntz("withdrawn_at").alias("removed"))
     return orphans(children, parents, salts)
 
 
 def citation_orphans(runs_table: DataFrame, chunks: DataFrame, child_table: str, salts: int = 8) -> DataFrame:
     """One row a case and cited chunk, however often the case cites it."""
-    cited = runs_table.select("case_id", "run_ts", F.explode("citation_checks.chunk_id").alias("chunk_id")).where("chunk_id is not null")
+    cited = runs_table.select("case_id", "run_ts", F.explode("citation_checks.chunk_id").alias("chunk_id")).where(_says_something("chunk_id"))
     children = _children(with_chunk(cited, "chunk_id"), child_table, "case_id", "run_ts")
     parents = with_chunk(chunks.select("chunk_id", "indexed_at", "removed_at"), "chunk_id").select("space", "key", _ntz("indexed_at").alias("arrived"), _ntz("removed_at").alias("removed"))
     return orphans(children, parents, salts).distinct()
