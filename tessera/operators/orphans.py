@@ -83,7 +83,9 @@ def runs(parents: DataFrame) -> DataFrame:
 def orphans(children: DataFrame, parents: DataFrame, salts: int = 8) -> DataFrame:
     """Orphans among children (child_table, child_key, space, key, parent_key, at) of parents (space, key, arrived, removed)."""
     spread = runs(parents).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    refs = children.withColumns({"bucket": F.shiftright("key", 8), "salt": F.when(F.col("key").isNotNull(), F.pmod(F.xxhash64("child_key"), F.lit(salts)).cast("int"))})
+    # Keys without integer form match nothing; they get buckets of their own, so that they are not all sent to one task.
+    nowhere = -1 - F.pmod(F.xxhash64("child_key"), F.lit(4096))
+    refs = children.withColumns({"bucket": F.coalesce(F.shiftright("key", 8), nowhere), "salt": F.pmod(F.xxhash64("child_key"), F.lit(salts)).cast("int")})
     joined = refs.join(spread, ["space", "bucket", "salt"], "left")
     found = joined.withColumn("run", F.when(F.size("runs") > 0, F.expr("try_element_at(filter(runs, r -> r.start <= key), -1)")))
     inside = F.col("run").isNotNull() & (F.col("key") <= F.col("run.end"))
