@@ -172,7 +172,7 @@ _RULES = {"company": "company is not null", "text": "length(trim(text)) > 0", "c
 
 
 @query(" union all ".join(f"select chunk_id, '{n}' as rule from chunks where not coalesce({c}, false)" for n, c in _RULES.items()))
-def p14_chunk_violations(s, d):
+def chunk_rule_violations(s, d):
     return audit.violations(table(s, d, "chunks"), "chunk_id", {n: F.expr(c) for n, c in _RULES.items()})
 
 
