@@ -62,6 +62,8 @@ _WORDS = {
     "nl": "het een van bedroeg niet voor met wat hoe werd zijn is aan naar jaar boekjaar de en in",
 }
 LANGUAGES = {k: frozenset(v.split()) for k, v in _WORDS.items()}
+#: a word of several languages speaks less for each
+_WEIGHT = {w: 1 / sum(w in v for v in LANGUAGES.values()) for v in LANGUAGES.values() for w in v}
 _WORD = re.compile(r"[^\W\d_]+")
 
 _TERMINAL = re.compile(r"[.!?…。！？][\"'”’»)\]*_]*$")
@@ -117,10 +119,10 @@ def copies(prompt: str, response: str, most: float = 0.4) -> bool:
     return len(own) <= max(2, len(words) // 8) and not any(w.isdigit() for w in own) and missing <= max(2, len(prompt_words) // 5)
 
 
-def language(text: str) -> tuple[str | None, dict[str, int]]:
-    """The language with most common words, and all counts; None where none leads."""
-    words = [w.lower() for w in _WORD.findall(text)]
-    score = {k: sum(w in v for w in words) for k, v in LANGUAGES.items()}
+def language(text: str) -> tuple[str | None, dict[str, float]]:
+    """The language with most common words, and all (weighted) counts; None where none leads."""
+    words = [w for w in map(str.lower, _WORD.findall(text)) if w in _WEIGHT]
+    score = {k: sum(_WEIGHT[w] for w in words if w in v) for k, v in LANGUAGES.items()}
     best = sorted(score, key=score.get, reverse=True)
     return (best[0] if score[best[0]] > score[best[1]] else None), score
 
@@ -187,7 +189,7 @@ def defect(prompt: str | None, response: str | None, expected: str | None) -> st
         return "other_language"
     asked, _ = language(p)
     given, score = language(said)
-    if asked and given and asked != given and score[given] >= 3 and score[asked] * 2 <= score[given]:
+    if asked and given and asked != given and score[given] >= 2 and score[asked] * 1.25 <= score[given]:
         return "other_language"
     return "truncated" if breaks_off(r) else None
 
