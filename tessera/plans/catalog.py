@@ -555,7 +555,14 @@ def d16_citation_verdicts(s, d):
     return guards.citation_verdicts(table(s, d, RERUN), table(s, d, "chunks"), "case_id", "answer", "supplied_chunk_ids")
 
 
-@query()
+_FLAG = {n: p.replace("\\u200B-\\u200F\\u2060\\uFEFF\\u00AD", "\\x{200B}-\\x{200F}\\x{2060}\\x{FEFF}\\x{00AD}") for n, (_, p) in guards.POISON.items()}
+_POISON = f"""with f as (select lower(text) as low, {', '.join(f"coalesce(regexp_matches(text, '{p}'), false) as {n}" for n, p in _FLAG.items())} from documents),
+w as (select *, coalesce({_has(("security training", "cybersecurity", "prompt injection", "training example"))} and {_has(("example", "training", "warned", "avoid", "discussed"))}, false) and not ({' or '.join(n for n in _FLAG if n != "instruction_override")}) as words from f),
+s as (select case when words then 'approved' when instruction_override or role_impersonation or prompt_exfiltration or tool_instruction or boundary_escape then 'blocked' when {' or '.join(_FLAG)} then 'suspicious' else 'approved' end as status,
+round(case when words then 0.1 else least(1.0, {' + '.join(f"{n}::int * {guards.POISON[n][0]}" for n in _FLAG)}) end, 2)::double as risk from w) select status, count(*) as documents, max(risk) as most_risk from s group by 1"""
+
+
+@query(_POISON)
 def d17_poison_status(s, d):
     return guards.poison(table(s, d, "documents").select("doc_id", "text"), "text").groupBy("status").agg(F.count("*").alias("documents"), F.max("risk").alias("most_risk"))
 
