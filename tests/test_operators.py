@@ -155,3 +155,8 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 50
     assert events.tumbling(src).agg(F.sum("events")).first()[0] == 50
+
+
+def test_output_guard(spark):
+    df = spark.createDataFrame([("x [a::chunk1]", ["[a::chunk1]"], ["a::chunk1"]), ("x", ["(a::chunk1)"], None), ("x [b::chunk2]", None, ["a::chunk1"]), ("You should buy it", None, None), (" ", None, None), (None, None, None)], "t string, a array<string>, k array<string>")
+    assert [r[0] for r in df.select(guards.output_reason(F.col("t"), F.col("a"), F.col("k"))).collect()] == [None, "malformed_citation", "unknown_citation", "advice", "empty_output", "empty_output"]
