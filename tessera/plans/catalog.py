@@ -597,8 +597,9 @@ def events_sessions(s, d):
 g as (select item_id, max((near = page)::int) as own, count(*) as n, min(near) as nat from h group by 1)
 select item_id, case when own = 1 then 'stated' when n > 1 then 'ambiguous' when n = 1 then 'neighbour' else 'none' end as status, case when own = 1 then page when n = 1 then nat end as "at" from i left join g using (item_id)""")
 def j22_neighbour_pages(s, d):
+    """Whole texts are looked for; the SQL cuts them to 60 characters, so chunks with a common beginning may differ from it."""
     c = table(s, d, "chunks")
-    items = c.where("length(text) > 0").select(F.col("chunk_id").alias("item_id"), "document_id", (F.col("ordinal") + 1).alias("page"), F.substring("text", 1, 60).alias("needle"))
+    items = c.where("length(text) > 0").select(F.col("chunk_id").alias("item_id"), "document_id", (F.col("ordinal") + 1).alias("page"), F.col("text").alias("needle"))
     return matching.neighbour(items, c.select("document_id", F.col("ordinal").alias("page"), "text"))
 
 

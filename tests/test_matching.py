@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.cache import ResultCache, result_key
 from tessera.operators import matching
+from tessera.plans import catalog
 from tessera.sources import inline
 
 
@@ -21,6 +22,13 @@ def test_neighbours(spark):
     assert [r[1] for r in rows(matching.neighbour(items, pages))] == ["ambiguous", "stated", "neighbour", "none", "none", "none"]
 
 
+def test_neighbour_query_looks_for_whole_texts(spark, tmp_path):
+    head = "A table head that a filing repeats on every page, of more than sixty characters: "
+    chunks = [("c0", "d", 0, head + "first"), ("c1", "d", 1, head + "second"), ("c2", "d", 2, head + "third"), ("c3", "d", 3, head + "third and more")]
+    spark.createDataFrame(chunks, "chunk_id string, document_id string, ordinal int, text string").write.parquet(f"{tmp_path}/chunks.parquet")
+    assert rows(catalog.j22_neighbour_pages(spark, str(tmp_path))) == [("c0", "neighbour", 0), ("c1", "neighbour", 1), ("c2", "stated", 3), ("c3", "neighbour", 3)]
+
+
 def test_selection_without_reuse(spark):
     c = spark.createDataFrame([("a", 1, "1"), ("a", 1, "2"), ("a", 2, "3"), ("b", 1, "0"), ("b", 3, "5")], "category string, e int, selection_key string")
     assert rows(matching.sequential(c, ["a", "b"], 1, "e").select("category", "e")) == [("a", 1), ("b", 3)]
