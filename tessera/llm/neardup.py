@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import sampling
 from tessera.session import with_checkpoints
 
 WORDS, LEAST_WORDS = 5, 30
@@ -251,17 +252,6 @@ class NearDuplicates:
 
 
 def components(edges: DataFrame, nodes: DataFrame, rounds: int = 40) -> DataFrame:
-    """(id, component): the least id reachable; nodes without edges are their own. Lineage is cut each round."""
-    with_checkpoints(edges.sparkSession)
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    state = both.select(F.col("a").alias("id")).distinct().withColumn("component", F.col("id")).checkpoint()
-    for _ in range(rounds):
-        seen = both.join(state, both["b"] == state["id"]).groupBy("a").agg(F.min("component").alias("near"))
-        hop = state.join(seen, state["id"] == seen["a"]).select("id", F.least("component", "near").alias("component"), (F.col("near") < F.col("component")).alias("moved"))
-        # Pointer jumping: take the component of one's component.
-        up = hop.select(F.col("id").alias("u"), F.col("component").alias("upper"))
-        step = hop.join(up, hop["component"] == up["u"], "left").select("id", F.least("component", F.coalesce("upper", "component")).alias("component"), "moved").checkpoint()
-        state = step.select("id", "component")
-        if step.where("moved").isEmpty():
-            break
-    return nodes.select("id").join(state, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    """(id, component): the least id reachable; nodes without edges are their own. RuntimeError if ``rounds`` do not suffice."""
+    found = sampling.components(edges, rounds).withColumnRenamed("node", "id")
+    return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))

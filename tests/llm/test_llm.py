@@ -160,6 +160,17 @@ def test_pairs_against_all_pairs(spark):
     assert empty.pairs().count() == 0 and empty.groups().count() == 0
 
 
+def test_groups_of_a_shuffled_chain(spark):
+    ids = list(range(-1500, 1500))
+    random.Random(1).shuffle(ids)
+    e = spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "a bigint, b bigint").repartition(4)
+    nodes = spark.createDataFrame([(i,) for i in [*ids, 5000]], "id bigint")
+    got = dict(neardup.components(e, nodes).collect())
+    assert len(got) == 3001 and {got[i] for i in ids} == {-1500} and got[5000] == 5000
+    with pytest.raises(RuntimeError):
+        neardup.components(e, nodes, 2)
+
+
 # --- packing
 
 

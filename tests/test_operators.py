@@ -1,6 +1,7 @@
 """Operators on small fixtures: ties, nulls, repeats and empty tables."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,6 +91,16 @@ def test_components_and_samples(spark):
     assert rows(q) == [("a", 4), ("b", 3), ("c", 3)]
 
 
+def test_components_of_a_shuffled_chain(spark):
+    ids = list(range(3000))
+    random.Random(1).shuffle(ids)
+    e = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in zip(ids, ids[1:], strict=False)] + [("x", "y")], "a string, b string").repartition(4)
+    got = dict(sampling.components(e).collect())
+    assert len(got) == 3002 and {got[f"n{i}"] for i in ids} == {"n0"} and got["x"] == got["y"] == "x"
+    with pytest.raises(RuntimeError):
+        sampling.components(e, 2)
+
+
 def test_documents(spark):
     t = spark.createDataFrame([(1, " ".join(map(str, range(10)))), (2, "  "), (3, None), (4, "one")], "id int, t string")
     got = rows(documents.token_windows(t, "id", "t", 4, 1).select("id", "ordinal", "chunk"))
