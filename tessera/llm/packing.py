@@ -100,10 +100,12 @@ def pack(sizes: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]
     bound = -(-total // capacity)
     if len(best) <= bound:
         return best
-    budget = [nodes]
     order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+    #: the path of the search, a frame a container: its largest item, the others, the fillings left to try, room wasted before; no recursion, as a path may be as long as the pool
+    path: list[tuple[int, list[int], Iterator[tuple[int, ...]], int]] = []
+    done: list[list[int]] = []
 
-    def search(rest: list[int], done: list[list[int]], wasted: int) -> None:
+    def enter(rest: list[int], wasted: int) -> None:
         nonlocal best
         if not rest:
             if len(done) < len(best):
@@ -111,24 +113,28 @@ def pack(sizes: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]
             return
         # A better solution has fewer containers, and so only this much room to waste.
         affordable = (len(best) - 1) * capacity - total
-        if wasted > affordable or len(done) + 1 >= len(best) or budget[0] <= 0 or len(best) <= bound:
+        if wasted > affordable or len(done) + 1 >= len(best) or nodes <= 0 or len(best) <= bound:
             return
-        first, others = rest[0], rest[1:]
-        room = capacity - sizes[first]
-        for chosen in fillings(others, sizes, room):
-            budget[0] -= 1
-            left = room - sum(sizes[i] for i in chosen)
-            if left and not others[len(chosen) :]:
-                left = 0 if len(chosen) == len(others) else left
-            if wasted + left > affordable:
-                break
-            taken = set(chosen)
-            search([i for i in others if i not in taken], [*done, [first, *chosen]], wasted + left)
-            if budget[0] <= 0 or len(best) <= bound:
-                return
-
-    if len(sizes) <= 400:
-        search(order, [], 0)
+        path.append((rest[0], rest[1:], iter(fillings(rest[1:], sizes, capacity - sizes[rest[0]])), wasted))
+
+    enter(order, 0)
+    while path and nodes > 0 and len(best) > bound:
+        first, others, untried, wasted = path[-1]
+        del done[len(path) - 1 :]
+        chosen = next(untried, None)
+        if chosen is None:
+            path.pop()
+            continue
+        nodes -= 1
+        left = capacity - sizes[first] - sum(sizes[i] for i in chosen)
+        if left and not others[len(chosen) :]:
+            left = 0 if len(chosen) == len(others) else left
+        if wasted + left > (len(best) - 1) * capacity - total:
+            path.pop()
+            continue
+        taken = set(chosen)
+        done.append([first, *chosen])
+        enter([i for i in others if i not in taken], wasted + left)
     return best
 
 

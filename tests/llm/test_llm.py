@@ -211,6 +211,15 @@ def test_packing_reaches_the_optimum():
     assert worse == 0
 
 
+def test_large_pools_are_searched():
+    rng = random.Random(11)
+    sizes = [rng.randint(200, 700) for _ in range(600)]
+    bins = packing.pack(sizes, 1000)
+    assert sorted(i for b in bins for i in b) == list(range(600)) and all(sum(sizes[i] for i in b) <= 1000 for b in bins)
+    assert len(bins) < len(packing.best_fit(sizes, 1000))
+    assert len(packing.pack([rng.randint(510, 1000) for _ in range(1024)], 1000)) == 1024
+
+
 def test_containers(spark):
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choice(("revenue", "rose", "2019", "naïve", "漢字")) for _ in range(rng.randrange(1, 120)))) for i in range(900)]
