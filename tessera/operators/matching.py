@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-MOST_WORDS = 8
 _TOKEN = "[\\p{L}\\p{N}.&'\\-]+"
 
 
@@ -15,16 +14,18 @@ def name_key(text: Column) -> Column:
     return F.regexp_replace(F.array_join(F.regexp_extract_all(F.upper(text), F.lit(f"({_TOKEN})"), 1), " "), "[.]+$", "")
 
 
-def gazetteer(texts: DataFrame, key: str, text: str, names: DataFrame, most_words: int = MOST_WORDS) -> DataFrame:
+def gazetteer(texts: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:
     """(key, place, name, id): names (name, id) found in texts, the longest first, none overlapping another.
 
-    Every run of up to ``most_words`` words of a text is a key for an equi-join; a
-    name of several ids gives the least. A name of more words is not found.
+    Every run of as many words as some name has is a key for an equi-join; the
+    numbers of words are read from the names first. A name of several ids gives the least.
     """
     known = names.where("name is not null").groupBy(name_key(F.col("name")).alias("name_key")).agg(F.min("id").alias("id"), F.min("name").alias("name")).where("name_key != ''")
+    # Equal keys have equally many blanks, so runs of other lengths cannot meet a name.
+    lengths = F.array(*(F.lit(r.n) for r in known.select(F.size(F.split("name_key", " ")).alias("n")).distinct().orderBy("n").collect())).cast("array<int>")
     words = texts.where(F.col(text).isNotNull()).select(F.col(key).alias("__key"), F.regexp_extract_all(F.upper(text), F.lit(f"({_TOKEN})"), 1).alias("w"))
     starts = words.select("__key", "w", F.explode(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1)))).alias("place"))
-    runs = starts.select("__key", "place", F.explode(F.sequence(F.lit(1), F.least(F.lit(most_words), F.size("w") - F.col("place") + 1))).alias("n"), "w").where("n > 0")
+    runs = starts.select("__key", "place", F.explode(lengths).alias("n"), "w").where("n <= size(w) - place + 1")
     keyed = runs.select("__key", "place", "n", F.regexp_replace(F.array_join(F.slice("w", F.col("place"), F.col("n")), " "), "[.]+$", "").alias("name_key"))
     hits = keyed.join(known, "name_key").groupBy("__key").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("rank"), "place", "n", "id", "name"))).alias("h"))
     # The hits of one text, longest first; each is kept if it overlaps none kept before.

@@ -16,6 +16,14 @@ def test_gazetteer_takes_the_longest(spark):
     assert [(r[0], r[3]) for r in rows(matching.gazetteer(texts, "k", "t", names))] == [(1, 2), (1, 3), (1, 0)]
 
 
+def test_gazetteer_finds_long_names(spark):
+    long = "The First National Trust of the Holders of Common Shares of Acme"
+    names = spark.createDataFrame([(long, 1), ("Acme", 2)], "name string, id bigint")
+    texts = spark.createDataFrame([(1, f"Did {long.lower()} grow?"), (2, "Acme"), (3, "")], "k int, t string")
+    assert [(r[0], r[1], r[3]) for r in rows(matching.gazetteer(texts, "k", "t", names))] == [(1, 2, 1), (2, 1, 2)]
+    assert matching.gazetteer(texts, "k", "t", names.limit(0)).count() == 0
+
+
 def test_neighbours(spark):
     pages = spark.createDataFrame([("d", 1, "alpha x"), ("d", 2, "beta"), ("d", 3, "alpha"), ("d", 4, None)], "document_id string, page int, text string")
     items = spark.createDataFrame([(1, "d", 2, "alpha"), (2, "d", 2, "beta"), (3, "d", 2, "x"), (4, "d", 2, "zz"), (5, "e", 1, "beta"), (6, "d", 2, None)], "item_id int, document_id string, page int, needle string")
