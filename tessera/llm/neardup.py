@@ -1,22 +1,30 @@
 """Near-duplicate records: all pairs of a similarity, without comparing all pairs.
 
-A record is its set of word shingles. Its bits are the ``PARTS * WIDTH`` positions
-of a minhash sketch: two records agree in a position with the probability of
-their similarity. Positions are grouped into parts; a part with threshold t makes
-a candidate of every pair that differs in at most t of its positions (t = -1
-leaves the part out), found by probing the values of the part without t of its
-positions. By the generalised pigeonhole principle thresholds may be unequal:
-they are chosen by dynamic programming so that a pair at the similarity is missed
-by all parts with probability ``MISS`` at most, at least estimated cost (probes
-written, and candidates estimated from a bounded sample of ``SAMPLE`` records,
-scaled to the collection). Small collections get few loose parts, large ones many
-strict ones. A pair above the similarity is missed far more rarely still.
-
-Copies of one set are reduced to a representative before the probes are joined,
-so a group of copies costs one record. Candidates are verified on the whole sets.
+A record is its set of word shingles. Its sketch has ``POSITIONS`` minhash values;
+two records agree in a position with the probability of their similarity, so a
+pair of at least the similarity differs in no more than ``distance_bound`` of L
+positions, but for a chance of ``MISS``. Candidates are all pairs within that
+Hamming bound, found by the generalised pigeonhole principle:
+
+* positions whose agreement is correlated (measured on pairs of a sample) are
+  grouped into parts;
+* part i gets a threshold t_i from -1 (left out) to its width less one, such that
+  the sum of t_i + 1 is the bound plus one; a pair within the bound then differs
+  in at most t_i positions of some part i. Of all such thresholds dynamic
+  programming takes the cheapest by probes written and estimated candidates;
+* a part is probed by its values without t_i of its positions, all choices of them.
+
+Pairs that meet are compared at once by 128 one-bit minhashes, then by all 256,
+each against a Hamming bound missed with a chance of ``MISS`` as well; what is left
+is verified exactly on the whole sets. A pair of exactly the similarity is lost
+with a chance of 1e-5 at most in all, a more similar one far more rarely.
+
+Copies of one set are reduced to one before probes are joined. Probes and groups
+of copies that many records share are counted and joined block by block, so that
+no task holds such a group.
 
 Records of fewer than ``least_words`` words are left out; null texts count as
-empty. Sets are told apart by a 64-bit hash.
+empty. Sets are told apart by a 64-bit hash. The least similarity is 0.05.
 """
 
 from __future__ import annotations
@@ -24,7 +32,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from itertools import combinations
-from math import log
+from math import comb, lgamma, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -36,54 +44,124 @@ from tessera.operators import sampling
 from tessera.session import with_checkpoints
 
 WORDS, LEAST_WORDS = 5, 30
-PARTS, WIDTH, MISS, SAMPLE = 192, 4, 1e-5, 2000
-#: estimated cost of a candidate (two joins and a verification) in probes
-CANDIDATE_COST = 20.0
-#: units in which the program counts what a part contributes to not missing a pair
-_GRAIN = 0.01
-
-
-def caught(similarity: float, threshold: int, width: int = WIDTH) -> float:
-    """Probability that a pair differs in at most ``threshold`` of a part's positions."""
-    from math import comb
-
-    return sum(comb(width, d) * similarity ** (width - d) * (1 - similarity) ** d for d in range(threshold + 1))
-
-
-def allocate(costs: list[list[float]], gains: list[float], needed: float) -> list[int]:
-    """The threshold of each part (-1: left out) by dynamic programming.
-
-    costs[part][t]: the cost of threshold t; gains[t]: what it contributes;
-    the contributions must sum to ``needed`` at least. If they cannot, every part
-    gets its largest threshold.
-    """
-    goal = int(np.ceil(needed / _GRAIN))
-    steps = [int(g / _GRAIN) for g in gains]
-    if steps[-1] * len(costs) < goal:
-        return [len(gains) - 1] * len(costs)
-    steps = [min(s, goal) for s in steps]
-    #: the least cost of each contribution (at the goal: of it or more) after each part
-    costs_to = [np.full(goal + 1, np.inf)]
-    costs_to[0][0] = 0.0
-    options = np.full((len(costs), goal + 1), -1, np.int8)
-    came = np.tile(np.arange(goal + 1), (len(costs), 1))
+POSITIONS, SAMPLE = 256, 2000
+#: three bounds are each missed with this chance at most
+MISS = 1e-5 / 3
+#: numbers of positions and widths of a part that are considered; the later ones only where the earlier cannot hold the bound
+PLANS = (((64, 4), (96, 4), (80, 8)), ((128, 4), (256, 4)))
+#: estimated cost of comparing a pair that meets, in probes written
+PAIR_COST = 0.1
+#: more members than this and a probe or group of copies is joined in blocks; so many such groups at most are told to all tasks
+HOT, MOST_HOT = 4096, 1_000_000
+#: keys of records to be verified that are sent to all tasks at most
+MOST_WANTED = 500_000
+
+
+def distance_bound(places: int, differ: float, miss: float = MISS) -> int:
+    """The least d such that more than d of ``places`` independent places differ with a chance of at most ``miss``."""
+    if differ <= 0:
+        return 0
+    tail, d = 0.0, places
+    while d >= 0:
+        tail += np.exp(lgamma(places + 1) - lgamma(d + 1) - lgamma(places - d + 1) + d * log(differ) + (places - d) * log1p(-differ))
+        if tail > miss:
+            return d
+        d -= 1
+    return 0
+
+
+def allocate(costs: list[list[float]], goal: int) -> list[int] | None:
+    """Thresholds t of each part with the least total of costs[part][t + 1] whose sum of t + 1 is ``goal``; None if there are none."""
+    least = np.full(goal + 1, np.inf)
+    least[0] = 0.0
+    choice = np.zeros((len(costs), goal + 1), np.int64)
     for part, cost in enumerate(costs):
-        before, after = costs_to[-1], costs_to[-1].copy()
-        for t, step in enumerate(steps):
-            reached, source = np.full(goal + 1, np.inf), np.arange(goal + 1) - step
-            reached[step:] = before[: goal + 1 - step] + cost[t]
-            low = goal - step
-            source[goal] = low + int(np.argmin(before[low:]))
-            reached[goal] = before[source[goal]] + cost[t]
-            better = reached < after
-            after[better], options[part, better], came[part, better] = reached[better], t, source[better]
-        costs_to.append(after)
-    out, state = [-1] * len(costs), goal
+        reached = np.full(goal + 1, np.inf)
+        for units, c in enumerate(cost):
+            if units > goal:
+                break
+            through = np.full(goal + 1, np.inf)
+            through[units:] = least[: goal + 1 - units] + c
+            better = through < reached
+            reached[better], choice[part, better] = through[better], units
+        least = reached
+    if not np.isfinite(least[goal]):
+        return None
+    out, left = [], goal
     for part in range(len(costs) - 1, -1, -1):
-        out[part], state = int(options[part, state]), int(came[part, state])
+        out.append(int(choice[part, left]) - 1)
+        left -= int(choice[part, left])
+    return out[::-1]
+
+
+def correlated_parts(sketches: np.ndarray, positions: int, width: int, pairs: int = 100_000) -> list[list[int]]:
+    """Positions grouped by how strongly their agreement is correlated over pairs of sampled sketches."""
+    n = len(sketches)
+    if n < 2:
+        return [list(range(i, i + width)) for i in range(0, positions, width)]
+    rng = np.random.default_rng(11)
+    a = rng.integers(0, n, pairs)
+    b = (a + rng.integers(1, n, pairs)) % n
+    agree = (sketches[a, :positions] == sketches[b, :positions]).astype(np.float32)
+    agree -= agree.mean(0)
+    spread = np.sqrt((agree**2).mean(0)) + 1e-9
+    correlation = (agree.T @ agree) / pairs / spread[:, None] / spread[None, :]
+    np.fill_diagonal(correlation, -np.inf)
+    free, out = set(range(positions)), []
+    while free:
+        left = np.array(sorted(free))
+        within = correlation[np.ix_(left, left)]
+        first = left[int(np.argmax(within.max(1)))] if len(left) > 1 else left[0]
+        part = [int(first)]
+        free.discard(int(first))
+        while len(part) < width:
+            left = np.array(sorted(free))
+            nearest = int(left[int(np.argmax(correlation[np.ix_(part, left)].sum(0)))])
+            part.append(nearest)
+            free.discard(nearest)
+        out.append(sorted(part))
     return out
 
 
+def _meeting(values: np.ndarray) -> float:
+    """How many pairs of rows are equal."""
+    packed = np.ascontiguousarray(values).view(np.dtype((np.void, values.dtype.itemsize * values.shape[1]))).ravel()
+    sizes = np.unique(packed, return_counts=True)[1]
+    return float((sizes * (sizes - 1) / 2).sum())
+
+
+Plan = tuple[list[list[int]], list[int]]
+
+
+def planned(sketches: np.ndarray, count: int, similarity: float) -> Plan:
+    """(parts, thresholds) of least estimated cost for ``count`` records like the sampled ``sketches``."""
+    scale = (count / max(len(sketches), 2)) ** 2
+    for choices in PLANS:
+        best: tuple[float, Plan] | None = None
+        for positions, width in choices:
+            goal = distance_bound(positions, 1 - similarity) + 1
+            if goal > positions:
+                continue
+            parts, costs = correlated_parts(sketches, positions, width), []
+            for part in parts:
+                cost = [0.0]
+                for t in range(width):
+                    # Narrow keys first: where few positions are kept, every choice of them is counted.
+                    kept = list(combinations(part, width - t))
+                    met = sum(_meeting(sketches[:, list(k)]) for k in kept) if len(sketches) > 1 else 0.0
+                    cost.append(len(kept) * count + PAIR_COST * met * scale)
+                costs.append(cost)
+            thresholds = allocate(costs, goal)
+            if thresholds is None:
+                continue
+            total = sum(c[t + 1] for c, t in zip(costs, thresholds, strict=True))
+            if best is None or total < best[0]:
+                best = (total, (parts, thresholds))
+        if best:
+            return best[1]
+    raise ValueError(f"a similarity of {similarity} is too low for {POSITIONS} positions")
+
+
 def _hashes(n: int):
     odd = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -108,13 +186,13 @@ _WORD = re.compile(r"[a-z0-9]+")
 class Shingler:
     """Shingle sets of texts and their minhash sketches; words are hashed once a worker."""
 
-    def __init__(self, words: int, least_words: int, positions: int = PARTS * WIDTH):
+    def __init__(self, words: int, least_words: int, positions: int = POSITIONS):
         self.least, self.shingles, self.known = max(least_words, words), _hashes(words), {}
         rng = np.random.default_rng(20240229)
         self.odd = rng.integers(1, 1 << 62, positions, dtype=np.uint64) | np.uint64(1)
         self.add = rng.integers(1, 1 << 62, positions, dtype=np.uint64)
 
-    def bits(self, text: str | None) -> np.ndarray | None:
+    def set_of(self, text: str | None) -> np.ndarray | None:
         words = _WORD.findall((text or "").lower())
         if len(words) < self.least:
             return None
@@ -125,34 +203,38 @@ class Shingler:
                 self.known[w] = xxhash.xxh3_64_intdigest(w)
         return self.shingles(np.array([self.known[w] for w in words], np.uint64))
 
-    def sketch(self, bits: np.ndarray, used: np.ndarray | None = None) -> np.ndarray:
-        """The least value of each hash function over the set (high 32 bits); zero at positions that are not ``used``."""
-        values = bits.view(np.uint64)
-        out = np.zeros(len(self.odd), np.uint64)
-        which = np.arange(len(self.odd)) if used is None else used
-        for at in range(0, len(which), 64):
-            some = which[at : at + 64]
-            out[some] = (self.odd[some, None] * values[None, :] + self.add[some, None]).min(axis=1) >> np.uint64(32)
-        return out
+    def sketch(self, shingles: np.ndarray) -> np.ndarray:
+        """The least value of each hash function over the set (its high 32 bits)."""
+        values = shingles.view(np.uint64)
+        out = np.empty(len(self.odd), np.uint64)
+        for at in range(0, len(self.odd), 64):
+            out[at : at + 64] = (self.odd[at : at + 64, None] * values[None, :] + self.add[at : at + 64, None]).min(axis=1)
+        return out >> np.uint64(32)
 
 
-def probes(sketch: np.ndarray, thresholds: list[int]) -> np.ndarray:
-    """The probes of a sketch: for each part the values of all but t of its positions, hashed with the part and the positions left."""
-    parts = sketch.reshape(-1, WIDTH)
+def probes(sketches: np.ndarray, plan: Plan) -> np.ndarray:
+    """The probes of each sketch: of each part the values of all choices of its positions but t, hashed with the part and the choice."""
+    parts, thresholds = plan
     out = []
-    for t in sorted(set(thresholds) - {-1}):
-        which = np.nonzero(np.array(thresholds) == t)[0]
-        for kept in combinations(range(WIDTH), WIDTH - t):
-            h = which.astype(np.uint64) * np.uint64(64) + np.uint64(sum(1 << k for k in kept))
+    for number, (part, t) in enumerate(zip(parts, thresholds, strict=True)):
+        if t < 0:
+            continue
+        for kept in combinations(range(len(part)), len(part) - t):
+            h = np.full(len(sketches), number * 65_536 + sum(1 << k for k in kept), np.uint64)
             for k in kept:
-                h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + parts[which, k]
+                h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + sketches[:, part[k]]
             h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
             out.append((h ^ (h >> np.uint64(29))).view(np.int64))
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+    return np.stack(out, 1) if out else np.zeros((len(sketches), 0), np.int64)
 
 
-def _identity(bits: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(bits.tobytes()) - (1 << 63)
+def one_bits(sketches: np.ndarray) -> np.ndarray:
+    """The lowest bit of every position, 64 to a number."""
+    return np.packbits((sketches & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
+
+
+def _identity(shingles: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -160,24 +242,61 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64), pa.int64()))
 
 
-def _mapped(records: DataFrame, words: int, least: int, of_bits, rows_at_once: int = 500) -> DataFrame:
-    """(key, id, one list made of the set) of each record."""
+def _mapped(records: DataFrame, words: int, least: int, columns: dict, rows_at_once: int = 500) -> DataFrame:
+    """(key, id, the lists named in ``columns``: functions of the shingler and the sets of some records)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words, least)
         for whole in batches:
             for at in range(0, whole.num_rows, rows_at_once):
                 b = whole.slice(at, rows_at_once)
-                keys, ids, lists = [], [], []
+                keys, sets = [], []
                 for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    bits = shingler.bits(text)
-                    if bits is not None:
+                    one = shingler.set_of(text)
+                    if one is not None:
                         keys.append(key)
-                        ids.append(_identity(bits))
-                        lists.append(of_bits(shingler, bits))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(ids, pa.int64()), _lists(lists)], names=["key", "id", "values"])
+                        sets.append(one)
+                made = columns["make"](shingler, sets)
+                lists = [_lists(list(m)) for m in made]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(list(map(_identity, sets)), pa.int64()), *lists], names=["key", "id", *columns["names"]])
+
+    return records.select("key", "text").mapInArrow(run, ", ".join(["key string, id bigint", *(f"{n} array<bigint>" for n in columns["names"])]))
 
-    return records.select("key", "text").mapInArrow(run, "key string, id bigint, values array<bigint>")
+
+def _sketches(shingler: Shingler, sets: list[np.ndarray]) -> np.ndarray:
+    return np.stack([shingler.sketch(s) for s in sets]) if sets else np.zeros((0, POSITIONS), np.uint64)
+
+
+def hot_groups(members: DataFrame, group: str, total: int) -> DataFrame:
+    """(group, blocks) of the groups of more than a limit of members: MOST_HOT groups at most, so that they may be told to all tasks.
+
+    Counted exactly; the limit is HOT, or so many members that no more such groups can exist.
+    """
+    limit = max(HOT, -(-total // MOST_HOT))
+    return members.groupBy(group).agg(F.count("*").alias("n")).where(F.col("n") > limit).select(group, F.ceil(F.col("n") / limit).cast("int").alias("blocks"))
+
+
+def pairs_within(members: DataFrame, group: str, item: str, total: int, also: tuple[str, ...] = ()) -> DataFrame:
+    """(x, y), item x < item y, structs of item and ``also``: the pairs of members of a group.
+
+    A hot group is cut into blocks by a hash of its items, and every two of its blocks meet in a task of their own.
+    """
+    hot = F.broadcast(hot_groups(members, group, total))  # MOST_HOT rows of two numbers at most
+    cut = members.join(hot, group, "left").withColumns({"blocks": F.coalesce("blocks", F.lit(1))})
+    cut = cut.select(group, F.struct(item, *also).alias("m"), "blocks", F.pmod(F.xxhash64(item), "blocks").cast("int").alias("block"))
+    left = cut.select(group, F.col("m").alias("x"), F.col("block").alias("row"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("column"))
+    right = cut.select(group, F.col("m").alias("y"), F.explode(F.sequence(F.lit(0), "block")).alias("row"), F.col("block").alias("column"))
+    met = left.join(right, [group, "row", "column"]).where((F.col("row") < F.col("column")) | (F.col(f"x.{item}") < F.col(f"y.{item}"))).where(F.col(f"x.{item}") != F.col(f"y.{item}"))
+    turned = F.col(f"x.{item}") > F.col(f"y.{item}")
+    return met.select(F.when(turned, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(turned, F.col("x")).otherwise(F.col("y")).alias("y"))
+
+
+def _apart(a: str, b: str, numbers: range) -> Column:
+    """In how many one-bit minhashes two lists of them differ."""
+    out = F.lit(0)
+    for i in numbers:
+        out = out + F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i]))
+    return out
 
 
 class NearDuplicates:
@@ -187,58 +306,67 @@ class NearDuplicates:
         if not 0 < similarity <= 1:
             raise ValueError("a similarity is above 0 and at most 1")
         with_checkpoints(records.sparkSession)
-        self.records = records.select(key.cast("string").alias("key"), text.alias("text"))
+        self.records = records.select(key.cast("string").alias("key"), text.alias("text")).where("key is not null")
         self.similarity, self.words, self.least = similarity, words, least_words
 
-    def _map(self, of_bits) -> DataFrame:
-        return _mapped(self.records, self.words, self.least, of_bits)
+    def _map(self, records: DataFrame, names: list[str], make) -> DataFrame:
+        return _mapped(records, self.words, self.least, {"names": names, "make": make})
 
-    def thresholds(self) -> list[int]:
-        """By the program, from a sample of records chosen by hash and the size of the collection."""
-        count = self.records.count()
+    def plan(self, count: int) -> Plan:
+        """Parts and thresholds for ``count`` records, from a sample of about SAMPLE of them, chosen by a hash of the key."""
         kept = min(1.0, SAMPLE / max(count, 1))
-        sampled = self.records.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(kept * 1_000_000) + 1).limit(2 * SAMPLE)
-        rows = _mapped(sampled, self.words, self.least, lambda s, bits: s.sketch(bits).view(np.int64)).select("id", "values").collect()
-        sketches = np.array(list({r.id: r["values"] for r in rows}.values()), np.int64).reshape(-1, PARTS, WIDTH)
-        gains = [-log(1 - min(caught(self.similarity, t), 1 - 1e-12)) for t in (0, 1)]
-        scale = (count / max(len(sketches), 2)) ** 2
-        costs = []
-        for part in range(PARTS):
-            cost = []
-            for t in (0, 1):
-                pairs = 0
-                for kept_positions in combinations(range(WIDTH), WIDTH - t):
-                    sizes = np.unique(sketches[:, part, list(kept_positions)], axis=0, return_counts=True)[1] if len(sketches) else np.zeros(0)
-                    pairs += float((sizes * (sizes - 1) / 2).sum())
-                cost.append((WIDTH if t else 1) * count + CANDIDATE_COST * pairs * scale)
-            costs.append(cost)
-        return allocate(costs, gains, -log(MISS))
+        sampled = self.records.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000_000)) < int(kept * 1_000_000_000))
+        rows = self._map(sampled, ["values"], lambda s, sets: (_sketches(s, sets).view(np.int64),)).select("id", "values").collect()
+        sketches = np.array(list({r.id: r["values"] for r in sorted(rows, key=lambda r: r.id)}.values()), np.int64).reshape(-1, POSITIONS)
+        return planned(sketches, count, self.similarity)
 
     def _linked(self) -> tuple[DataFrame, DataFrame]:
-        """(different sets a < b that are similar, members (key, id))."""
-        thresholds = self.thresholds()
-        used = np.nonzero(np.repeat(np.array(thresholds) >= 0, WIDTH))[0]
-        marked = self._map(lambda s, bits: probes(s.sketch(bits, used), thresholds))
-        firsts = marked.groupBy("id").agg(F.first("values").alias("values"))
-        spread = firsts.select("id", F.explode("values").alias("probe"))
-        met = spread.alias("x").join(spread.alias("y"), F.col("x.probe") == F.col("y.probe")).where("x.id < y.id")
-        candidates = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().checkpoint()
-        wanted = candidates.select(F.col("a").alias("id")).union(candidates.select("b")).distinct()
-        whole = self._map(lambda s, bits: bits).join(wanted, "id", "left_semi").groupBy("id").agg(F.first("values").alias("bits"))
-        left, right = whole.select(F.col("id").alias("a"), F.col("bits").alias("bits_a")), whole.select(F.col("id").alias("b"), F.col("bits").alias("bits_b"))
-        overlap = candidates.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("bits_a", "bits_b")).alias("o"), (F.size("bits_a") + F.size("bits_b")).alias("n"))
+        """(different sets a < b that are similar, members (key, id)). Every text is shingled once; those of candidates once more."""
+        count = self.records.count()
+        plan = self.plan(count)
+        number = sum(comb(len(p), len(p) - t) for p, t in zip(*plan, strict=True) if t >= 0)
+
+        def make(shingler: Shingler, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+            sketches = _sketches(shingler, sets)
+            return probes(sketches, plan), one_bits(sketches)
+
+        marked = self._map(self.records, ["probes", "bits"], make).checkpoint()
+        firsts = marked.groupBy("id").agg(F.first(F.struct("probes", "bits")).alias("f")).select("id", "f.probes", "f.bits")
+        spread = firsts.select("id", F.slice("bits", 1, 2).alias("bits"), F.explode("probes").alias("probe"))
+        near = lambda n: distance_bound(64 * n, (1 - self.similarity) / 2)
+        met = pairs_within(spread, "probe", "id", count * number, ("bits",)).where(_apart("x.bits", "y.bits", range(2)) <= near(2))
+        pairs = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+        bits = firsts.select("id", "bits")
+        for side in ("a", "b"):
+            pairs = pairs.join(bits.select(F.col("id").alias(side), F.col("bits").alias(f"bits_{side}")), side)
+        candidates = pairs.where(_apart("bits_a", "bits_b", range(POSITIONS // 64)) <= near(POSITIONS // 64)).select("a", "b").checkpoint()
+        members = marked.select("key", "id")
+        ids = candidates.select(F.col("a").alias("id")).union(candidates.select("b")).distinct()
+        wanted = members.join(ids, "id").groupBy("id").agg(F.min("key").alias("key")).checkpoint()
+        if wanted.count() <= MOST_WANTED:
+            texts = self.records.join(F.broadcast(wanted.select("key")), "key", "left_semi")
+        else:
+            texts = self.records
+        whole = self._map(texts, ["shingles"], lambda s, sets: (sets,)).join(wanted.select("id"), "id", "left_semi").groupBy("id").agg(F.first("shingles").alias("s"))
+        sets = {side: whole.select(F.col("id").alias(side), F.col("s").alias(f"s_{side}")) for side in ("a", "b")}
+        overlap = candidates.join(sets["a"], "a").join(sets["b"], "b").select("a", "b", F.size(F.array_intersect("s_a", "s_b")).alias("o"), (F.size("s_a") + F.size("s_b")).alias("n"))
         linked = overlap.where(F.col("o") >= F.lit(self.similarity) * (F.col("n") - F.col("o")) - 1e-9).select("a", "b").checkpoint()
-        members = self._map(lambda s, bits: bits[:0]).select("key", "id")
         return linked, members
 
     def pairs(self) -> DataFrame:
         """(key_a, key_b), key_a < key_b: all similar pairs of records, copies expanded."""
         linked, members = self._linked()
-        members = members.checkpoint()
-        across = linked.join(members.select(F.col("key").alias("k"), F.col("id").alias("a")), "a").join(members.select(F.col("key").alias("l"), F.col("id").alias("b")), "b")
-        alike = members.join(members.groupBy("id").count().where("count > 1").select("id"), "id")
-        within = alike.select("id", F.col("key").alias("k")).join(alike.select("id", F.col("key").alias("l")), "id").where("k < l")
-        return across.select(F.least("k", "l").alias("key_a"), F.greatest("k", "l").alias("key_b")).unionByName(within.select(F.col("k").alias("key_a"), F.col("l").alias("key_b")))
+        members = members.distinct()
+        total = self.records.count()
+        hot = F.broadcast(hot_groups(members, "id", total))  # MOST_HOT rows of two numbers at most
+        salted = members.join(hot, "id", "left").select("key", "id", F.pmod(F.xxhash64("key"), F.coalesce("blocks", F.lit(1))).cast("int").alias("salt"))
+        across = linked
+        for side, name in (("a", "k"), ("b", "l")):
+            blocks = F.coalesce("blocks", F.lit(1)) - 1
+            across = across.join(hot.withColumnRenamed("id", side), side, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), blocks))).drop("blocks")
+            across = across.join(salted.select(F.col("id").alias(side), F.col("key").alias(name), "salt"), [side, "salt"]).drop("salt")
+        within = pairs_within(members, "id", "key", total).select(F.col("x.key").alias("key_a"), F.col("y.key").alias("key_b"))
+        return across.select(F.least("k", "l").alias("key_a"), F.greatest("k", "l").alias("key_b")).where("key_a < key_b").unionByName(within)
 
     def groups(self) -> DataFrame:
         """(key, class_id, copies, links): one row a record: its group, how many records have its set, to how many other sets it is linked."""

@@ -76,12 +76,20 @@ QUERIES = {f.__name__: f for f in (p2_found, p2_by_defect, p3_pieces, p5_found,
 
 _WORDS = """list_filter(regexp_extract_all(lower(coalesce(section_1, '') || ' ' || coalesce(section_7, '')), '[a-z0-9]+'), lambda x: x <> '')"""
 
-ORACLE = {
-    # Exact by an inverted index over all shingles.
-    "p5_found": f"""
-with w as (select filename, {_WORDS} as w from edgar),
+# Exact by an inverted index over all shingles.
+_PAIRS = f"""w as (select filename, {_WORDS} as w from edgar),
 s as (select distinct filename, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) as g from w where len(w) >= 30),
-n as (select filename, count(*) as n from s group by all),
-p as (select a.filename as filename_a, b.filename as filename_b, count(*) as o from s a join s b on a.g = b.g and a.filename < b.filename group by all)
-select filename_a, filename_b from p join n x on x.filename = filename_a join n y on y.filename = filename_b where o >= 0.5 * (x.n + y.n - o)""",
+n as (select filename, count(*) as n, sha256(string_agg(g, '|' order by g)) as set_mark from s group by all),
+p as (select a.filename as filename_a, b.filename as filename_b, count(*) as o from s a join s b on a.g = b.g and a.filename < b.filename group by all),
+found as (select filename_a, filename_b from p join n x on x.filename = filename_a join n y on y.filename = filename_b where o >= 0.5 * (x.n + y.n - o))"""
+
+ORACLE = {
+    "p5_found": f"with {_PAIRS} select * from found",
+    "p5_groups": f"""with recursive {_PAIRS},
+ends as (select filename_a as a, filename_b as b from found union select filename_b, filename_a from found),
+reach(f, r) as (select filename, filename from n union select reach.f, ends.b from reach join ends on reach.r = ends.a),
+class as (select f, min(r) as class_id from reach group by 1),
+sets as (select set_mark, count(*) as copies from n group by 1),
+links as (select a, count(distinct y.set_mark) as links from ends join n x on x.filename = a join n y on y.filename = b where x.set_mark <> y.set_mark group by 1)
+select n.filename, class_id, copies, coalesce(links, 0) as links from n join class on f = n.filename join sets using (set_mark) left join links on a = n.filename""",
 }

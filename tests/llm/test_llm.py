@@ -111,14 +111,59 @@ def test_no_room():
 def test_allocation_is_optimal():
     rng = random.Random(2)
     for _ in range(150):
-        n, gains, needed = rng.randint(1, 4), [0.06, 0.3], rng.choice([0.05, 0.2, 0.5, 0.9])
-        costs = [[rng.randint(1, 9), rng.randint(5, 30)] for _ in range(n)]
-        got = neardup.allocate(costs, gains, needed)
-        all_costs = [sum(c[t] for c, t in zip(costs, x, strict=True) if t >= 0) for x in product((-1, 0, 1), repeat=n) if sum(gains[t] for t in x if t >= 0) >= needed - 1e-9]
-        if not all_costs:
-            assert got == [1] * n
+        n, width, goal = rng.randint(1, 4), rng.randint(1, 3), rng.randint(0, 9)
+        costs = [[0, *(rng.randint(1, 30) for _ in range(width))] for _ in range(n)]
+        got = neardup.allocate(costs, goal)
+        sums = [sum(c[u] for c, u in zip(costs, x, strict=True)) for x in product(range(width + 1), repeat=n) if sum(x) == goal]
+        if not sums:
+            assert got is None
         else:
-            assert sum(c[t] for c, t in zip(costs, got, strict=True) if t >= 0) == min(all_costs)
+            assert sum(t + 1 for t in got) == goal and sum(c[t + 1] for c, t in zip(costs, got, strict=True)) == min(sums)
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.8])
+def test_pairs_within_the_bound_always_meet(similarity):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 32, (40, neardup.POSITIONS), dtype=np.uint64)
+    parts, thresholds = neardup.planned(base.view(np.int64), 10_000, similarity)
+    places = sorted(p for part in parts for p in part)
+    assert places == list(range(len(places)))
+    bound = neardup.distance_bound(len(places), 1 - similarity)
+    assert sum(t + 1 for t in thresholds) == bound + 1
+    for _ in range(200):
+        a = base[rng.integers(40)].copy()
+        b = a.copy()
+        b[rng.choice(len(places), bound, replace=False)] += np.uint64(1)
+        mine, other = neardup.probes(np.stack([a, b]), (parts, thresholds))
+        assert set(mine.tolist()) & set(other.tolist())
+
+
+def test_positions_that_agree_together_share_a_part():
+    rng = np.random.default_rng(4)
+    sketches = rng.integers(0, 3, (400, 8))
+    sketches[:, 6], sketches[:, 3] = sketches[:, 1], sketches[:, 0]
+    parts = neardup.correlated_parts(sketches, 8, 2)
+    assert [1, 6] in parts and [0, 3] in parts
+
+
+def test_distance_bound_is_the_tail():
+    from math import comb
+
+    for n, p in ((64, 0.5), (128, 0.25), (40, 0.2)):
+        d = neardup.distance_bound(n, p, 1e-4)
+        tail = lambda d: sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(d + 1, n + 1))
+        assert tail(d) <= 1e-4 < tail(d - 1)
+    assert neardup.distance_bound(64, 0.0) == 0
+
+
+def test_hot_groups_give_the_same_pairs(spark, monkeypatch):
+    rows = [(1, i) for i in range(45)] + [(2, 100), (2, 101), (3, 200), (None, 300), (None, 301)]
+    df = spark.createDataFrame(rows, "g int, item bigint")
+    want = {(a, b) for g, a in rows for h, b in rows if g is not None and g == h and a < b}
+    for limit in (4096, 7):
+        monkeypatch.setattr(neardup, "HOT", limit)
+        got = [(r.x.item, r.y.item) for r in neardup.pairs_within(df, "g", "item", len(rows)).collect()]
+        assert len(got) == len(want) and set(got) == want
 
 
 def edited(rng, ws, changes):
