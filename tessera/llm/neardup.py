@@ -14,10 +14,10 @@ Hamming bound, found by the generalised pigeonhole principle:
   programming takes the cheapest by probes written and estimated candidates;
 * a part is probed by its values without t_i of its positions, all choices of them.
 
-Pairs that meet are compared at once by 128 one-bit minhashes, then by all 256,
-each against a Hamming bound missed with a chance of ``MISS`` as well; what is left
-is verified exactly on the whole sets. A pair of exactly the similarity is lost
-with a chance of 1e-5 at most in all, a more similar one far more rarely.
+Pairs that meet are compared at once by one bit of each position, against a Hamming
+bound missed with a chance of ``MISS`` as well; what is left is verified exactly on
+the whole sets. A pair of exactly the similarity is lost with a chance of 1e-5 at
+most in all, a more similar one far more rarely.
 
 Copies of one set are reduced to one before probes are joined. Probes and groups
 of copies that many records share are counted and joined block by block, so that
@@ -45,8 +45,8 @@ from tessera.session import with_checkpoints
 
 WORDS, LEAST_WORDS = 5, 30
 POSITIONS, SAMPLE = 256, 2000
-#: three bounds are each missed with this chance at most
-MISS = 1e-5 / 3
+#: two bounds are each missed with this chance at most
+MISS = 1e-5 / 2
 #: numbers of positions and widths of a part that are considered; the later ones only where the earlier cannot hold the bound
 PLANS = (((64, 4), (96, 4), (80, 8)), ((128, 4), (256, 4)))
 #: estimated cost of comparing a pair that meets, in probes written
@@ -189,8 +189,8 @@ class Shingler:
     def __init__(self, words: int, least_words: int, positions: int = POSITIONS):
         self.least, self.shingles, self.known = max(least_words, words), _hashes(words), {}
         rng = np.random.default_rng(20240229)
-        self.odd = rng.integers(1, 1 << 62, positions, dtype=np.uint64) | np.uint64(1)
-        self.add = rng.integers(1, 1 << 62, positions, dtype=np.uint64)
+        self.odd = rng.integers(1, 1 << 31, positions, dtype=np.uint32) | np.uint32(1)
+        self.add = rng.integers(1, 1 << 31, positions, dtype=np.uint32)
 
     def set_of(self, text: str | None) -> np.ndarray | None:
         words = _WORD.findall((text or "").lower())
@@ -204,12 +204,12 @@ class Shingler:
         return self.shingles(np.array([self.known[w] for w in words], np.uint64))
 
     def sketch(self, shingles: np.ndarray) -> np.ndarray:
-        """The least value of each hash function over the set (its high 32 bits)."""
-        values = shingles.view(np.uint64)
-        out = np.empty(len(self.odd), np.uint64)
-        for at in range(0, len(self.odd), 64):
-            out[at : at + 64] = (self.odd[at : at + 64, None] * values[None, :] + self.add[at : at + 64, None]).min(axis=1)
-        return out >> np.uint64(32)
+        """The least value of each (32-bit) hash function over the set."""
+        values = (shingles.view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+        out = np.empty(len(self.odd), np.uint32)
+        for at in range(0, len(self.odd), 16):
+            out[at : at + 16] = (self.odd[at : at + 16, None] * values[None, :] + self.add[at : at + 16, None]).min(axis=1)
+        return out.astype(np.uint64)
 
 
 def probes(sketches: np.ndarray, plan: Plan) -> np.ndarray:
@@ -229,8 +229,9 @@ def probes(sketches: np.ndarray, plan: Plan) -> np.ndarray:
 
 
 def one_bits(sketches: np.ndarray) -> np.ndarray:
-    """The lowest bit of every position, 64 to a number."""
-    return np.packbits((sketches & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
+    """A bit of every position, mixed from its whole value; 64 to a number."""
+    mixed = (sketches * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)
+    return np.packbits(mixed.astype(np.uint8), axis=1).view(np.int64)
 
 
 def _identity(shingles: np.ndarray) -> int:
@@ -276,26 +277,32 @@ def hot_groups(members: DataFrame, group: str, total: int) -> DataFrame:
     return members.groupBy(group).agg(F.count("*").alias("n")).where(F.col("n") > limit).select(group, F.ceil(F.col("n") / limit).cast("int").alias("blocks"))
 
 
-def pairs_within(members: DataFrame, group: str, item: str, total: int, also: tuple[str, ...] = ()) -> DataFrame:
-    """(x, y), item x < item y, structs of item and ``also``: the pairs of members of a group.
+def pairs_within(members: DataFrame, group: str, item: str, total: int, also: tuple[str, ...] = (), alike: Column | None = None) -> DataFrame:
+    """(x, y), x < y: the pairs of items of a group, several times if they share several groups.
 
-    A hot group is cut into blocks by a hash of its items, and every two of its blocks meet in a task of their own.
+    A hot group is cut into blocks by a hash of its items, and every two of its blocks
+    meet in a task of their own. ``alike`` is a condition on the columns ``also`` of
+    both, named x_... and y_....
     """
     hot = F.broadcast(hot_groups(members, group, total))  # MOST_HOT rows of two numbers at most
-    cut = members.join(hot, group, "left").withColumns({"blocks": F.coalesce("blocks", F.lit(1))})
-    cut = cut.select(group, F.struct(item, *also).alias("m"), "blocks", F.pmod(F.xxhash64(item), "blocks").cast("int").alias("block"))
-    left = cut.select(group, F.col("m").alias("x"), F.col("block").alias("row"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("column"))
-    right = cut.select(group, F.col("m").alias("y"), F.explode(F.sequence(F.lit(0), "block")).alias("row"), F.col("block").alias("column"))
-    met = left.join(right, [group, "row", "column"]).where((F.col("row") < F.col("column")) | (F.col(f"x.{item}") < F.col(f"y.{item}"))).where(F.col(f"x.{item}") != F.col(f"y.{item}"))
-    turned = F.col(f"x.{item}") > F.col(f"y.{item}")
-    return met.select(F.when(turned, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(turned, F.col("x")).otherwise(F.col("y")).alias("y"))
+    cut = members.join(hot, group, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    cut = cut.select(group, item, *also, "blocks", F.pmod(F.xxhash64(item), "blocks").cast("int").alias("block"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    cells = cut.select(group, item, *also, "block", other.alias("other")).select(group, item, *also, "block", F.least("block", "other").alias("row"), F.greatest("block", "other").alias("column"))
+    x, y = (cells.select(group, "row", "column", *(F.col(c).alias(f"{side}_{c}") for c in (item, "block", *also))) for side in "xy")
+    met = x.join(y, [group, "row", "column"]).where(F.col(f"x_{item}") < F.col(f"y_{item}")).where((F.col("row") == F.col("column")) | (F.col("x_block") != F.col("y_block")))
+    return (met if alike is None else met.where(alike)).select(F.col(f"x_{item}").alias("x"), F.col(f"y_{item}").alias("y"))
 
 
-def _apart(a: str, b: str, numbers: range) -> Column:
-    """In how many one-bit minhashes two lists of them differ."""
+#: one-bit minhashes of a record
+_BITS = tuple(f"b{i}" for i in range(POSITIONS // 64))
+
+
+def _apart() -> Column:
+    """In how many one-bit minhashes two records differ."""
     out = F.lit(0)
-    for i in numbers:
-        out = out + F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i]))
+    for b in _BITS:
+        out = out + F.bit_count(F.col(f"x_{b}").bitwiseXOR(F.col(f"y_{b}")))
     return out
 
 
@@ -331,15 +338,10 @@ class NearDuplicates:
             return probes(sketches, plan), one_bits(sketches)
 
         marked = self._map(self.records, ["probes", "bits"], make).checkpoint()
-        firsts = marked.groupBy("id").agg(F.first(F.struct("probes", "bits")).alias("f")).select("id", "f.probes", "f.bits")
-        spread = firsts.select("id", F.slice("bits", 1, 2).alias("bits"), F.explode("probes").alias("probe"))
-        near = lambda n: distance_bound(64 * n, (1 - self.similarity) / 2)
-        met = pairs_within(spread, "probe", "id", count * number, ("bits",)).where(_apart("x.bits", "y.bits", range(2)) <= near(2))
-        pairs = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-        bits = firsts.select("id", "bits")
-        for side in ("a", "b"):
-            pairs = pairs.join(bits.select(F.col("id").alias(side), F.col("bits").alias(f"bits_{side}")), side)
-        candidates = pairs.where(_apart("bits_a", "bits_b", range(POSITIONS // 64)) <= near(POSITIONS // 64)).select("a", "b").checkpoint()
+        firsts = marked.groupBy("id").agg(F.first(F.struct("probes", "bits")).alias("f"))
+        spread = firsts.select("id", *(F.col("f.bits")[i].alias(b) for i, b in enumerate(_BITS)), F.explode("f.probes").alias("probe"))
+        near = _apart() <= distance_bound(POSITIONS, (1 - self.similarity) / 2)
+        candidates = pairs_within(spread, "probe", "id", count * number, _BITS, near).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct().checkpoint()
         members = marked.select("key", "id")
         ids = candidates.select(F.col("a").alias("id")).union(candidates.select("b")).distinct()
         wanted = members.join(ids, "id").groupBy("id").agg(F.min("key").alias("key")).checkpoint()
@@ -365,7 +367,7 @@ class NearDuplicates:
             blocks = F.coalesce("blocks", F.lit(1)) - 1
             across = across.join(hot.withColumnRenamed("id", side), side, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), blocks))).drop("blocks")
             across = across.join(salted.select(F.col("id").alias(side), F.col("key").alias(name), "salt"), [side, "salt"]).drop("salt")
-        within = pairs_within(members, "id", "key", total).select(F.col("x.key").alias("key_a"), F.col("y.key").alias("key_b"))
+        within = pairs_within(members, "id", "key", total).select(F.col("x").alias("key_a"), F.col("y").alias("key_b"))
         return across.select(F.least("k", "l").alias("key_a"), F.greatest("k", "l").alias("key_b")).where("key_a < key_b").unionByName(within)
 
     def groups(self) -> DataFrame:

@@ -162,7 +162,7 @@ def test_hot_groups_give_the_same_pairs(spark, monkeypatch):
     want = {(a, b) for g, a in rows for h, b in rows if g is not None and g == h and a < b}
     for limit in (4096, 7):
         monkeypatch.setattr(neardup, "HOT", limit)
-        got = [(r.x.item, r.y.item) for r in neardup.pairs_within(df, "g", "item", len(rows)).collect()]
+        got = [(r.x, r.y) for r in neardup.pairs_within(df, "g", "item", len(rows)).collect()]
         assert len(got) == len(want) and set(got) == want
 
 
