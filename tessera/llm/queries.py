@@ -67,7 +67,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     """Documents and characters by subject; a document of two subjects counts in both, one of none under ``none``."""
-    documents = table(spark, d, "documents").select("doc_id", F.length("text").alias("chars"))
+    documents = table(spark, d, "documents").select("doc_id", F.col("n_chars").alias("chars"))
     found = documents.join(p9_found(spark, d), "doc_id", "left")
     return found.groupBy(F.coalesce("subject", F.lit("none")).alias("subject")).agg(F.count("*").alias("documents"), F.sum("chars").alias("chars"))
 
@@ -83,7 +83,21 @@ n as (select filename, count(*) as n, sha256(string_agg(g, '|' order by g)) as s
 p as (select a.filename as filename_a, b.filename as filename_b, count(*) as o from s a join s b on a.g = b.g and a.filename < b.filename group by all),
 found as (select filename_a, filename_b from p join n x on x.filename = filename_a join n y on y.filename = filename_b where o >= 0.5 * (x.n + y.n - o))"""
 
+# Normalisation as far as SQL has it: width of Latin letters and digits, invisible characters, words divided at a line end.
+_WIDE, _NARROW = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
+_PLAIN_WORDS = r"""regexp_extract_all(regexp_replace(regexp_replace(lower(translate({c}, '{w}', '{n}')), '[\x{{200B}}-\x{{200F}}\x{{2060}}\x{{FEFF}}]|\x{{00AD}}(\r\n|\n|\r)?', '', 'g'), '([\p{{L}}\p{{N}}])[-\x{{2010}}\x{{2011}}](\r\n|\n|\r)[ \t]*([\p{{L}}\p{{N}}])', '\1\3', 'g'), '[\p{{L}}\p{{N}}]+')"""
+_GRAMS = "unnest(list_distinct(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))))"
+
+
+def _plain_words(column: str) -> str:
+    return _PLAIN_WORDS.format(c=column, w=_WIDE, n=_NARROW)
+
+
 ORACLE = {
+    # Exact by a join of all runs of 13 words.
+    "p8_found": f"""with d as (select doc_id, {_plain_words('text')} as w from documents where text is not null), i as (select item_id, {_plain_words('passage')} as w from eval_items where passage is not null),
+g as (select item_id, {_GRAMS} as g from i where len(w) >= 13), k as (select distinct g from g), h as (select doc_id, {_GRAMS} as g from d where len(w) >= 13)
+select distinct doc_id, item_id from h join k using (g) join g using (g)""",
     "p5_found": f"with {_PAIRS} select * from found",
     "p5_groups": f"""with recursive {_PAIRS},
 ends as (select filename_a as a, filename_b as b from found union select filename_b, filename_a from found),

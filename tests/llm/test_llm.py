@@ -222,7 +222,7 @@ def test_groups_of_a_shuffled_chain(spark):
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(0, 100), max_size=40), st.integers(100, 160))
 def test_packing_is_valid(sizes, capacity):
-    bins = packing.pack(sizes, capacity)
+    bins, _ = packing.pack(sizes, capacity)
     assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
     assert all(sum(sizes[i] for i in b) <= capacity for b in bins)
     assert len(bins) <= len(packing.best_fit(sizes, capacity))
@@ -247,22 +247,45 @@ def fewest(sizes, capacity):
 
 
 def test_packing_reaches_the_optimum():
-    assert len(packing.pack([6, 6, 5, 5, 5, 4, 4, 3, 2], 10)) == 4
+    assert len(packing.pack([6, 6, 5, 5, 5, 4, 4, 3, 2], 10)[0]) == 4
     rng = random.Random(7)
     worse = 0
     for _ in range(60):
         sizes = [rng.randint(15, 70) for _ in range(9)]
-        worse += len(packing.pack(sizes, 100)) > fewest(sorted(sizes, reverse=True), 100)
+        worse += len(packing.pack(sizes, 100)[0]) > fewest(sorted(sizes, reverse=True), 100)
     assert worse == 0
 
 
 def test_large_pools_are_searched():
     rng = random.Random(11)
     sizes = [rng.randint(200, 700) for _ in range(600)]
-    bins = packing.pack(sizes, 1000)
+    bins, _ = packing.pack(sizes, 1000)
     assert sorted(i for b in bins for i in b) == list(range(600)) and all(sum(sizes[i] for i in b) <= 1000 for b in bins)
     assert len(bins) < len(packing.best_fit(sizes, 1000))
-    assert len(packing.pack([rng.randint(510, 1000) for _ in range(1024)], 1000)) == 1024
+    alone, proved = packing.pack([rng.randint(510, 1000) for _ in range(1024)], 1000)
+    assert len(alone) == 1024 and proved
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 60), max_size=9), st.integers(60, 90))
+def test_bounds_and_proofs_hold(sizes, capacity):
+    best = fewest(sorted(sizes, reverse=True), capacity) if sizes else 0
+    bins, proved = packing.pack(sizes, capacity)
+    assert packing.least_containers(sizes, capacity) <= best <= len(bins)
+    assert not proved or len(bins) == best
+
+
+def test_fillings_are_undominated():
+    rng = random.Random(3)
+    for _ in range(60):
+        sizes = sorted((rng.randint(5, 50) for _ in range(8)), reverse=True)
+        got, whole, _ = packing.fillings(list(range(8)), sizes, 70, most=10_000, steps=10_000)
+        fits = [c for n in range(9) for c in combinations(range(8), n) if sum(sizes[i] for i in c) <= 70]
+        maximal = {tuple(sorted(sizes[i] for i in c)) for c in fits if not any(i not in c and sizes[i] <= 70 - sum(sizes[k] for k in c) for i in range(8))}
+        mine = {tuple(sorted(sizes[i] for i in c)) for c in got}
+        assert whole and mine <= maximal
+        # Each filling can be put into one that is kept.
+        assert all(any(packing._fits_into(list(m), list(k)) for k in mine) for m in maximal)
 
 
 def test_containers(spark):
@@ -306,7 +329,7 @@ def test_automaton_against_windows():
         texts = [[rng.choice([*vocabulary, "other"]) for _ in range(60)] for _ in range(5)] + [passages[0][1] + ["z"] + passages[1][1]]
         least = 4
         automaton = leakage.Automaton(passages, least)
-        got = {(t, i) for t, _, s in automaton.stretches(texts) for _, _, state in automaton.matches(s) for i in automaton.items[state]}
+        got = {(t, i) for t, _, s in automaton.stretches(texts) for _, _, state in automaton.matches(s) for i in automaton.held(state)}
         windows = lambda ws: {tuple(ws[k : k + least]) for k in range(len(ws) - least + 1)}
         assert got == {(t, i) for t, ws in enumerate(texts) for i, p in passages if windows(ws) & windows(p)}
 
@@ -320,6 +343,10 @@ def test_leaks_and_cleaning(spark):
     assert {tuple(r) for r in leakage.leaked(d, items, most=5).collect()} == {(1, 7), (1, 10), (5, 7), (5, 10)}
     clean = {r.doc_id: r for r in leakage.cleaned(d, items, coverage=0.95).collect()}
     assert clean[1].text == "Before.  After." and clean[5].dropped
+    one = sorted(map(tuple, leakage.cleaned(d, items).collect()))
+    for most, scan_bytes in ((5, 1 << 30), (5, 1)):  # several automata in one scan, and one a scan
+        assert sorted(map(tuple, leakage.cleaned(d, items, most=most, scan_bytes=scan_bytes).collect())) == one
+        assert {tuple(r) for r in leakage.leaked(d, items, most=most, scan_bytes=scan_bytes).collect()} == {(1, 7), (1, 10), (5, 7), (5, 10)}
     assert leakage.leaked(d, items.limit(0)).count() == 0 and leakage.leaked(d.limit(0), items).count() == 0
 
 
