@@ -36,9 +36,11 @@ GRAMS = (3, 4, 5)
 ROUNDS = 30
 WARM_ROUNDS = 10
 RATE = 0.2
-#: a document has a subject from this (soft) share of its sentences on: about a quarter; where held-out
-#: labels are as often right as wrong (sentences of a subject are accepted with less than certainty)
-ACCEPT = 0.18
+#: every so manieth labelled document is held out, to choose the share of sentences from which a document has a subject
+HELD_OUT = 5
+#: that share where no held-out label says one
+ACCEPT = 0.2
+_STEPS = 100
 #: partitions of the labelled sample; the sample is bounded, so this need not follow the cluster
 PARTS = 6
 SHARPNESS = 20.0
@@ -181,14 +183,50 @@ def _differentiate(shared, warm: bool):
     return run
 
 
-def train(corpus: DataFrame, labels: DataFrame, subjects: list[str], sample: int = SAMPLE, rounds: int = ROUNDS, warm: int = WARM_ROUNDS) -> Params:
-    """Parameters fitted on at most ``sample`` labelled documents, gradients summed over partitions in every round."""
+def _tallied(shared):
+    """(step, tp, fp) of each step of the share: labels held out that a document's share of that step would meet or not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, outputs, bias = shared.value
+        for b in batches:
+            for part in b.column(0).to_pylist():
+                coded, (flat, first, sizes), y = pickle.loads(part)
+                if not len(coded.words):
+                    continue
+                words = np.add.reduceat(table[flat], first) / sizes[:, None].astype(np.float32)
+                z = np.add.reduceat(words[coded.words], coded.starts) / coded.lengths[:, None] @ outputs + bias
+                step = np.minimum((shares(z, coded) * _STEPS).astype(np.int64), _STEPS)[coded.counts > 0]
+                y = y[coded.counts > 0] > 0
+                tp, fp = np.bincount(step[y], minlength=_STEPS + 1), np.bincount(step[~y], minlength=_STEPS + 1)
+                yield pa.RecordBatch.from_pydict({"step": pa.array(range(_STEPS + 1), pa.int32()), "tp": pa.array(tp, pa.int64()), "fp": pa.array(fp, pa.int64())})
+
+    return run
+
+
+def best_share(tp: np.ndarray, fp: np.ndarray) -> float:
+    """The share with the best F1, given the labels met and not met by step; the middle of the steps that are within 0.001 of the best."""
+    if not tp.sum():
+        return ACCEPT
+    met, missed = np.cumsum(tp[::-1])[::-1], np.cumsum(fp[::-1])[::-1]
+    f1 = 2 * met / np.maximum(met + missed + tp.sum(), 1)
+    best = np.nonzero(f1 >= f1.max() - 0.001)[0]
+    return max(float(best[len(best) // 2]), 1.0) / _STEPS
+
+
+def train(corpus: DataFrame, labels: DataFrame, subjects: list[str], sample: int = SAMPLE, rounds: int = ROUNDS, warm: int = WARM_ROUNDS) -> tuple[Params, float]:
+    """(parameters, share from which a subject is accepted), fitted on at most ``sample`` labelled documents.
+
+    Gradients are summed over partitions in every round; one document in HELD_OUT is
+    kept out of them, and the share is the one with the best F1 on these.
+    """
     spark = corpus.sparkSession
     given = labels.where("doc_id is not null and subject is not null").groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("given"))
     given = given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # Bounded by ``sample`` rows, so it is sent to the documents and not they to it.
     chosen = corpus.where("text is not null").select("doc_id", "text").join(F.broadcast(given), "doc_id")
-    parts = chosen.repartition(PARTS, "doc_id").select("text", "given").mapInArrow(_encode(subjects), "part binary").persist(StorageLevel.MEMORY_AND_DISK)
+    out = F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(HELD_OUT)) == 0
+    coded = chosen.withColumn("out", out).repartition(PARTS, "doc_id").persist(StorageLevel.MEMORY_AND_DISK)
+    parts = coded.where("not out").select("text", "given").mapInArrow(_encode(subjects), "part binary").persist(StorageLevel.MEMORY_AND_DISK)
     adam = Adam(initial(len(subjects)))
     try:
         for r in range(rounds):
@@ -202,9 +240,16 @@ def train(corpus: DataFrame, labels: DataFrame, subjects: list[str], sample: int
             if not docs:
                 break
             adam.step(total, 1 / docs)
+        shared = spark.sparkContext.broadcast(adam.params)
+        tally = coded.where("out").select("text", "given").mapInArrow(_encode(subjects), "part binary").mapInArrow(_tallied(shared), "step int, tp bigint, fp bigint")
+        tp, fp = np.zeros(_STEPS + 1, np.int64), np.zeros(_STEPS + 1, np.int64)
+        for row in tally.groupBy("step").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp")).collect():
+            tp[row.step], fp[row.step] = row.tp, row.fp
+        shared.destroy()
     finally:
         parts.unpersist()
-    return adam.params
+        coded.unpersist()
+    return adam.params, best_share(tp, fp)
 
 
 def _score(shared, subjects: list[str], accept: float, rows_at_once: int = 1000):
@@ -237,13 +282,14 @@ def _score(shared, subjects: list[str], accept: float, rows_at_once: int = 1000)
     return run
 
 
-def assign(corpus: DataFrame, labels: DataFrame, subjects_table: DataFrame, accept: float = ACCEPT, **training) -> DataFrame:
+def assign(corpus: DataFrame, labels: DataFrame, subjects_table: DataFrame, accept: float | None = None, **training) -> DataFrame:
     """(doc_id, subject, share): a row for each subject that about a quarter of a document's sentences deal with.
 
     ``subjects_table`` is the list of subjects, a fixed small table; its names are
-    the outputs of the model and are read by the driver.
+    the outputs of the model and are read by the driver. ``accept`` is the share of
+    sentences from which a document has a subject; by default it is chosen in training.
     """
     subjects = sorted({r.subject for r in subjects_table.select("subject").where("subject is not null").distinct().collect()})
-    params = train(corpus, labels, subjects, **training)
+    params, share = train(corpus, labels, subjects, **training)
     shared = corpus.sparkSession.sparkContext.broadcast(params)
-    return corpus.where("text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_score(shared, subjects, accept), "doc_id bigint, subject string, share double")
+    return corpus.where("text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_score(shared, subjects, share if accept is None else accept), "doc_id bigint, subject string, share double")
