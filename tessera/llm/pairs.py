@@ -30,24 +30,29 @@ CITATION = re.compile(rf"{_OPEN}\s*[\w.\-]+\s*(?:::|：：)\s*\w+\s*{_CLOSE}", r
 OPEN_CITATION = re.compile(rf"{_OPEN}\s*[\w.\-]*(?:[:：]{{0,2}}\w*)$", re.I)
 LABEL = re.compile(r"^[\s>*_#`-]*(?:answer|response|question|reply|a|q|antwort|frage|réponse|question|respuesta|pregunta)[\s*_`]*[:：][\s*_`]*", re.I)
 
-# Phrases by which an answer is declined (one alternative a line), in the languages of the corpus.
-_REFUSALS = re.compile(
-    r"""\b(?:
-    (?:i|we)\s(?:cannot|can't|can\snot|could\snot|couldn't|am\snot\sable|are\snot\sable|am\sunable|are\sunable|won't|will\snot|must\sdecline|have\sto\sdecline|do\snot\shave|don't\shave|am\snot\sallowed)
-    |i'?d\srather\snot | i\swould\srather\snot | i'm\s(?:not\sable|unable|afraid)
-    |unable\sto\s(?:find|answer|provide|help|determine)
-    |not\spossible\s(?:for\sme\s)?to
-    |(?:context|excerpts?|documents?|passages?)\s(?:provided\s|supplied\s)?(?:does|do)(?:\snot|n't)\s(?:contain|include|mention|provide)
-    |no\sanswer\scan\sbe\sgiven | not\senough\sinformation | insufficient\sinformation
-    |against\smy\sguidelines | decline\sto\s(?:answer|comment)
-    |(?:kann|können|darf|dürfen)\s(?:ich|wir)?\s?(?:\w+\s){0,4}(?:nicht|keine)
-    |enthalten\s(?:\w+\s){0,3}kein\w* | nicht\s(?:möglich|beantworten)
-    |ne\s(?:peux|pouvons|puis)\s?pas | impossible\sde | ne\scontien(?:t|nent)\spas
-    |no\s(?:puedo|podemos) | no\sme\ses\sposible | no\ses\sposible | no\scontienen?
-    |non\sposso | non\sè\spossibile | não\sposso | não\sé\spossível | kan\sik\sniet
-    )\b""",
-    re.I | re.X,
-)
+# How an answer is declined, by language: what cannot be done or is not known, and what the sources lack.
+_SOURCE = r"(?:contexts?|excerpts?|documents?|passages?|sources?|(?:provided|supplied|given|available)\s(?:text|filing|information|material)s?)"
+_DECLINING = {
+    "en": (
+        r"(?:i|we)\s(?:cannot|can't|can\snot|could\snot|couldn't|am\snot\sable|are\snot\sable|am\sunable|are\sunable|won't|will\snot|must\sdecline|have\sto\sdecline|do\snot\s(?:have|know)|don't\s(?:have|know)|am\snot\sallowed|have\sno\s(?:idea|information|answer|data))",
+        r"i'?d\srather\snot", r"i\swould\srather\snot", r"i'm\s(?:not\s(?:able|sure|allowed)|unable|afraid)",
+        r"(?:cannot|can't|could\snot|couldn't|unable\sto)\s(?:be\s)?(?:answer(?:ed)?|determined?|sa(?:y|id)|tell|told|find|found|provide|help|assist|establish(?:ed)?|identif(?:y|ied))",
+        r"not\spossible\s(?:for\sme\s)?to", r"no\sanswer\s(?:can\sbe\sgiven|is\savailable|available)", r"(?:not\senough|insufficient|no\srelevant)\sinformation", r"against\smy\sguidelines", r"decline\sto\s(?:answer|comment)",
+        _SOURCE + r"\s(?:(?:provided|supplied|given)\s)?(?:(?:does|do)(?:\snot|n't)\s(?:contain|include|mention|provide|say|state|specify|answer|address)|lacks?\b|omits?\b|(?:is|are)\ssilent|(?:contains?|includes?|provides?|gives?|has|have|says?)\s(?:no\b|nothing))",
+    ),
+    "de": (r"(?:kann|können|darf|dürfen)\s(?:ich|wir)?\s?(?:\w+\s){0,4}(?:nicht|keine)", r"enthalten\s(?:\w+\s){0,3}kein\w*", r"nicht\s(?:möglich|beantworten)", r"keine\s(?:ahnung|antwort|informationen|angaben)\b", r"weiß\s(?:ich\s)?(?:es\s|das\s)?(?:leider\s)?nicht"),
+    "fr": (r"ne\s(?:peux|pouvons|puis|sais|savons|dispose|disposons)\s?pas", r"n'(?:ai|avons)\s(?:pas|aucune)", r"impossible\sde", r"ne\scontien(?:t|nent)\spas", r"(?:pas|aucune)\s(?:de\s)?réponse"),
+    "es": (r"no\s(?:puedo|podemos|sé|sabemos|tengo|tenemos|dispongo|disponemos)", r"no\s(?:me\s)?es\sposible", r"no\scontienen?", r"no\shay\s(?:respuesta|información|datos)"),
+    "it": (r"non\s(?:posso|possiamo|so|sappiamo|ho|abbiamo)\b", r"non\sè\spossibile", r"non\sconten(?:gono|ga)", r"nessuna\s(?:risposta|informazione)"),
+    "pt": (r"não\s(?:posso|podemos|sei|sabemos|tenho|temos|consigo)", r"não\sé\spossível", r"não\scont[ée]m", r"não\shá\s(?:resposta|informaç\w+|dados)"),
+    "nl": (r"kan\s(?:ik|het)\sniet", r"ik\skan\s(?:\w+\s){0,3}niet", r"weet\sik\s(?:het\s)?niet", r"geen\s(?:antwoord|informatie|idee)"),
+    "sv": (r"kan\s(?:jag\s)?(?:tyvärr\s)?inte", r"vet\s(?:jag\s)?inte", r"(?:inget\ssvar|ingen\sinformation)"),
+    "da": (r"kan\s(?:jeg\s)?(?:desværre\s)?ikke", r"ved\s(?:jeg\s)?(?:det\s)?ikke", r"(?:intet\ssvar|ingen\soplysninger|ingen\sinformasjon)"),
+    "fi": (r"en\s(?:voi|tiedä|pysty|osaa)", r"ei\s(?:vastausta|tietoa)"),
+    "pl": (r"nie\s(?:mogę|możemy|wiem|wiemy|mam|potrafię)", r"brak\s(?:informacji|odpowiedzi|danych)"),
+    "cs": (r"(?:nemohu|nemůžu|nevím|nemám)", r"není\s(?:možné|odpověď)"),
+}
+_REFUSALS = re.compile(r"\b(?:" + "|".join(p for phrases in _DECLINING.values() for p in phrases) + r")(?!\w)", re.I)
 #: a figure that answers: an amount or a share, not a year
 FIGURE = re.compile(r"[$€£¥]\s?\**\d|\d[\d.,]*\s?\**\s?(?:%|percent|per\scent|thousand|[mb]illion|prozent|millionen|milliarden|tausend|millions|milliards|mille|millones|mil\b|milh|milion|miliard)", re.I)
 
@@ -60,6 +65,14 @@ _WORDS = {
     "it": "il lo gli di e nel nella è stato pari rispetto al per della dell dei ha raggiunto precedente che con non una un anno esercizio",
     "pt": "o os da do das dos e no na foi em para com não uma um ao chegou contra anterior exercício receita ano de que é",
     "nl": "het een van bedroeg niet voor met wat hoe werd zijn is aan naar jaar boekjaar de en in",
+    "sv": "och att det som är av till på med inte den ett har jag från hos år räkenskapsåret var uppgick intäkter miljoner under",
+    "da": "og at det som er af til på med ikke den et har jeg fra hos år regnskabsåret var beløb sig omsætningen millioner ved",
+    "fi": "ja oli on ei että vuonna tilikaudella yhtiön liikevaihto miljoonaa euroa dollaria mukaan sekä oli nousi laski verrattuna",
+    "pl": "jest był była było nie że się w na z oraz roku przychody wyniosły wyniosła milionów dolarów spółki zysk netto przez wzrosły",
+    "cs": "je byl byla bylo že se v na s roce výnosy činily milionů dolarů společnosti čistý zisk oproti podle",
+    "hu": "és az volt nem hogy évben bevétele millió dollár szerint vállalat nettó nyereség mint",
+    "ro": "și de la în cu nu este a fost pentru anul venituri milioane dolari conform societății",
+    "tr": "ve bir bu için ile yılında olarak gelir milyon dolar şirketin net kâr göre oldu",
 }
 LANGUAGES = {k: frozenset(v.split()) for k, v in _WORDS.items()}
 #: a word of several languages speaks less for each
@@ -72,7 +85,6 @@ _AMOUNT = r"\**[$€£¥]?\s?\d[\d.,]*\s?(?:%|percent|thousand|[mb]illion|prozen
 _ENTRY = re.compile(rf"^(?:[-*•]|\d+[.)])\s+[^\n:]+:\s*{_AMOUNT}$", re.I)
 _ENTRY_AMOUNT = re.compile(r"(?:%|thousand|illion|rozent|illionen|illions|illones|ilh\w+|ilion\w*|iliard\w*|dollars?|ólares|euros?)\**$", re.I)
 _BARE = re.compile(rf"^(?:{_AMOUNT}|(?:about|around|roughly|some|etwa|rund|environ|cerca|alrededor)\b.*\d\**|yes|no|ja|nein|oui|non|sí|si|none)$", re.I)
-_ABBREVIATION = re.compile(r"\b(?:Inc|Corp|Co|Ltd|N\.V|vs|approx|e\.g|i\.e)\.$")
 _CUT_NUMBER = re.compile(r"(?:[$€£¥]\s?\d[\d,]*|\b(?:by|with|of|or|from|than|to|um|von|de|un|contre|nach|frente\sa)\s\d{1,2})\.$")
 _SENTENCE = re.compile(r"(?<=[.!?])[\"')*\]]*\s+")
 _NOT_AN_END = re.compile(r"\b(Inc|Corp|Co|Ltd|N\.V|U\.S|No|St)\.")
@@ -107,8 +119,13 @@ def novelty(prompt: str, response: str) -> float:
 
 
 def copies(prompt: str, response: str, most: float = 0.4) -> bool:
-    """Whether a response only repeats its prompt: cheap given the prompt, most of the prompt's words in their order, next to nothing of its own."""
+    """Whether a response only repeats its prompt: cheap given the prompt, most of the prompt's words in their order, next to nothing of its own.
+
+    A prompt under 8 bytes is too short for a dictionary: it is only copied by the same words.
+    """
     p, r = " ".join(_words(_said(prompt))), " ".join(_words(response))
+    if p and p == r:
+        return True
     if not p or not r or novelty(p, r) > most:
         return False
     known, words = set(p.split()) | set(_words(prompt)), r.split()
@@ -151,10 +168,9 @@ def refuses(text: str) -> bool:
 def breaks_off(text: str) -> bool:
     """Whether a text ends within a word, sentence, list entry or citation."""
     body = text.rstrip()
-    if OPEN_CITATION.search(body) and not CITATION.search(body[body.rfind("\n") + 1 :][-60:] if body.endswith(("]", "】", ")", "）")) else ""):
-        tail = OPEN_CITATION.search(body).group(0)
-        if not re.search(_CLOSE, tail):
-            return True
+    open_end = OPEN_CITATION.search(body)
+    if open_end and not re.search(_CLOSE, open_end.group(0)):
+        return True
     said = CITATION.sub("", body).rstrip()
     said = re.sub(r"\s+\.$", ".", said)
     if not said:
@@ -165,9 +181,7 @@ def breaks_off(text: str) -> bool:
     if last.count("**") % 2:
         return True
     if _TERMINAL.search(said):
-        if _CUT_NUMBER.search(said):
-            return True
-        return bool(_ABBREVIATION.search(said)) and not FIGURE.search(said)
+        return bool(_CUT_NUMBER.search(said))
     if re.match(r"(?:[-*•]|\d+[.)])\s", last) or re.fullmatch(r"[-*•]|\d+[.)]", last):
         return not (_ENTRY.match(last) and _ENTRY_AMOUNT.search(last))
     plain = LABEL.sub("", said)
