@@ -68,15 +68,15 @@ _WORDS = {
     "sv": "och att det som är av till på med inte den ett har jag från hos år räkenskapsåret var uppgick intäkter miljoner under",
     "da": "og at det som er af til på med ikke den et har jeg fra hos år regnskabsåret var beløb sig omsætningen millioner ved",
     "fi": "ja oli on ei että vuonna tilikaudella yhtiön liikevaihto miljoonaa euroa dollaria mukaan sekä oli nousi laski verrattuna",
-    "pl": "jest był była było nie że się w na z oraz roku przychody wyniosły wyniosła milionów dolarów spółki zysk netto przez wzrosły",
+    "pl": "jest był była było nie że się w na z oraz roku przychody wyniosły wyniosła milionów dolarów spółki zysk przez wzrosły",
     "cs": "je byl byla bylo že se v na s roce výnosy činily milionů dolarů společnosti čistý zisk oproti podle",
-    "hu": "és az volt nem hogy évben bevétele millió dollár szerint vállalat nettó nyereség mint",
-    "ro": "și de la în cu nu este a fost pentru anul venituri milioane dolari conform societății",
-    "tr": "ve bir bu için ile yılında olarak gelir milyon dolar şirketin net kâr göre oldu",
+    "hu": "és az volt nem hogy évben bevétele millió dollár szerint vállalat nyereség mint",
+    "ro": "și de la în cu nu fost pentru anul venituri milioane dolari conform societății",
+    "tr": "ve bir bu için ile yılında olarak gelir milyon dolar şirketin kâr göre oldu",
 }
 LANGUAGES = {k: frozenset(v.split()) for k, v in _WORDS.items()}
-#: a word of several languages speaks less for each
-_WEIGHT = {w: 1 / sum(w in v for v in LANGUAGES.values()) for v in LANGUAGES.values() for w in v}
+#: the languages of a word; a word of several speaks less for each
+_LANGUAGES_OF = {w: [k for k, v in LANGUAGES.items() if w in v] for v in LANGUAGES.values() for w in v}
 _WORD = re.compile(r"[^\W\d_]+")
 
 _TERMINAL = re.compile(r"[.!?…。！？][\"'”’»)\]*_]*$")
@@ -138,8 +138,11 @@ def copies(prompt: str, response: str, most: float = 0.4) -> bool:
 
 def language(text: str) -> tuple[str | None, dict[str, float]]:
     """The language with most common words, and all (weighted) counts; None where none leads."""
-    words = [w for w in map(str.lower, _WORD.findall(text)) if w in _WEIGHT]
-    score = {k: sum(_WEIGHT[w] for w in words if w in v) for k, v in LANGUAGES.items()}
+    score = dict.fromkeys(LANGUAGES, 0.0)
+    for w in _WORD.findall(text.lower()):
+        if spoken := _LANGUAGES_OF.get(w):
+            for k in spoken:
+                score[k] += 1 / len(spoken)
     best = sorted(score, key=score.get, reverse=True)
     return (best[0] if score[best[0]] > score[best[1]] else None), score
 
