@@ -12,6 +12,9 @@ would begin within a word. ``section_aware`` texts are cut at every heading firs
 and share nothing across it. A piece is a half-open range of characters; its
 ``tokens`` never exceed the window.
 
+A piece that begins or ends within a word is counted by itself as well, and made
+smaller where that is more than the window.
+
 Null, blank and short texts give no rows. A stretch without any boundary is cut
 between characters. A configuration without a positive window, or whose overlap
 leaves no room, raises an error.
@@ -29,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import tokens as T
+from tessera.operators.documents import SECTIONS as FILING_SECTIONS
 
 HASHED = 8
 SECTION, PARAGRAPH, SENTENCE, WORD, CHARACTER = 4, 3, 2, 1, 0
@@ -41,10 +45,6 @@ _HEADING_LF = re.compile(rf"^{_TITLE}$", re.I | re.M)
 _ENDS, _CLOSERS, _BLANKS = (0x2E, 0x21, 0x3F, 0x3002, 0xFF01, 0xFF1F, 0x2026), (0x22, 0x27, 0x29, 0x5D, 0x201D, 0x2019), (0x20, 0x09, 0x0A, 0x0D, 0xA0, 0x3000)
 SCHEMA = "source_table string, record_key string, config_id string, piece int, char_start int, char_end int, tokens int, boundary string, text string"
 
-# Section columns of a filing, in order, with their headings.
-SECTIONS = ("1", "1a", "1b", "2", "3", "4", "5", "6", "7", "7a", "8", "9", "9a", "9b", "10", "11", "12", "13", "14", "15")
-
-
 @dataclass(frozen=True)
 class Config:
     config_id: str
@@ -90,6 +90,7 @@ class Tokenised:
     """A text with its token ends (in characters), natural boundaries and landmarks (as token places)."""
 
     def __init__(self, text: str, path: str = T.VOCABULARY):
+        self.text, self.path = text, path
         ids = np.asarray(T.ids(text, path), np.int64)
         self.count = len(ids)
         byte_ends = T.byte_ends(ids, path)
@@ -147,16 +148,28 @@ def _cut(t: Tokenised, least: int, most: int) -> tuple[int, int]:
     return most, CHARACTER
 
 
+def _alone(t: Tokenised, start: int, end: int) -> int:
+    """Tokens of a piece by itself: those within the text, but where it begins or ends within a word it is counted anew."""
+    if t.words[start] and t.words[end] or start == 0 and t.words[end] or end == t.count and t.words[start]:
+        return end - start
+    return T.count(t.text[t.places[start] : t.places[end]], t.path)
+
+
 def _stretch(t: Tokenised, begin: int, end: int, config: Config) -> Iterator[tuple[int, int, int]]:
     """(first token, end token, kind of the cut) of the pieces of a stretch of tokens."""
     start = fresh = begin
     while True:
-        if end - start <= config.window:
+        if end - start <= config.window and _alone(t, start, end) <= config.window:
             yield start, end, 5
             return
-        most = start + config.window
-        least = min(max(fresh + 1, start + config.window // 2), most)
-        cut, kind = _cut(t, least, most)
+        most = min(start + config.window, end)
+        while True:
+            least = min(max(fresh + 1, start + config.window // 2), most)
+            cut, kind = _cut(t, least, most)
+            beyond = _alone(t, start, cut) - config.window
+            if beyond <= 0 or cut - 1 <= max(fresh, start):
+                break
+            most = max(cut - max(beyond, 1), max(fresh, start) + 1)
         yield start, cut, kind
         fresh, back = cut, cut - config.overlap
         if config.overlap:
@@ -207,7 +220,7 @@ def _split(configs: list[Config], path: str, with_text: bool):
 
 def filing_bodies(edgar: DataFrame) -> DataFrame:
     """(record_key, text): the non-blank sections of a filing under their headings; line ends made plain."""
-    parts = [F.when(F.trim(F.regexp_replace(f"section_{s}", r"\s+", " ")) != "", F.concat(F.lit(f"## Item {s.upper()}\n\n"), F.regexp_replace(f"section_{s}", r"\r\n?", "\n"))) for s in SECTIONS]
+    parts = [F.when(F.trim(F.regexp_replace(f"section_{s}", r"\s+", " ")) != "", F.concat(F.lit(f"## Item {s.upper()}\n\n"), F.regexp_replace(f"section_{s}", r"\r\n?", "\n"))) for s in FILING_SECTIONS]
     return edgar.select(F.col("filename").alias("record_key"), F.concat_ws("\n\n", *parts).alias("text"))
 
 
