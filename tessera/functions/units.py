@@ -132,6 +132,8 @@ def parse_unit(expression: str | None) -> tuple[Unit, list[str]]:
             out = out.times(_CASED[cased], power)
         elif word in ("/", "per"):
             power = -1
+        elif word == "m" and i < len(words) and words[i] == "/":
+            unknown.append(word)  # metres per something, no million
         elif word.strip("'") in MULTIPLES and not (word == "m" and power < 0):
             multiple = Decimal(MULTIPLES[word.strip("'")])
         elif (unit := _unit(word)) is not None:

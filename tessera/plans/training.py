@@ -19,6 +19,10 @@ def p1_by_unit(spark: SparkSession, d: str) -> DataFrame:
     return p1_found(spark, d).groupBy("source_table", "common_unit").agg(F.count("*").alias("records"))
 
 
+def p1_mismatches(spark: SparkSession, d: str) -> DataFrame:
+    return units.mismatches(table(spark, d, "facts"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return rowparse.rejected(table(spark, d, "raw_lines"))
 
@@ -40,7 +44,7 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.by_month(p6_found(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_by_unit, p4_found, p4_facts, p4_submissions, p6_found, p6_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_by_unit, p1_mismatches, p4_found, p4_facts, p4_submissions, p6_found, p6_report)}
 
 _LAYOUT = r"""^(?:"(?:[^"]|"")*"|[^"\t][^\t]*|)(?:\t(?:"(?:[^"]|"")*"|[^"\t][^\t]*|))*$"""
 _FIELDS = r"""(?:^|\t)("(?:[^"]|"")*"|[^"\t][^\t]*|)"""

@@ -86,3 +86,25 @@ def test_table_with_nulls_and_extra_columns(spark):
     got = {tuple(r) for r in units.common_units(f, e).collect()}
     assert got == {("facts", "1", "USD", 25000000000), ("facts", "3", "USD", 10000000000), ("facts", "6", "USD", None), ("evidence_records", "a", "USD", 50000)}
     assert units.common_units(f.limit(0), e.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("concept", "uom"),
+    [("AreaOfRealEstateProperty", "MWh"), ("CommonStockSharesOutstanding", "USD thousands"), ("OreProcessed", "MMbbl"), ("Assets", "shares"), ("EffectiveIncomeTaxRateContinuingOperations", "USD"), ("Revenues", "%"), ("Assets", "USD/shares"), ("LoanLossReserves", "bbl/shares")],
+)
+def test_other_dimensions_give_no_value(concept, uom):
+    assert units.recorded(concept, uom, None) == units.MISMATCH and units.recorded_factor(concept, uom, None) is None
+
+
+def test_offsets_and_unknown_concepts():
+    assert units.read_display("25 degC", "AverageTemperature", None, None) == ("K", 2981500)
+    assert units.read_display("77 degF", "AverageTemperature", None, None) == ("K", 2981500)
+    assert units.read_display("25 degC", "Assets", None, None) is None
+    assert units.recorded_factor("LoanLossReserves", "USD thousands", None) == ("USD", Decimal("1E+3"))
+    assert U.parse_unit("m/s")[1] and not U.parse_unit("m/s")[0].scaled
+
+
+def test_mismatches_of_a_table(spark):
+    df = spark.createDataFrame([(1, "OreProcessed", "MWh", None, 1.0, "x"), (2, "OreProcessed", "kt", None, 1.0, "x"), (3, None, None, None, None, "x")], "fact_id bigint, tag string, uom string, footnote string, value double, concept string")
+    assert [tuple(r) for r in units.mismatches(df).collect()] == [("1", "OreProcessed", "MWh")]
+    assert units.mismatches(df.limit(0)).count() == 0
