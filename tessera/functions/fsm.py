@@ -1,9 +1,8 @@
 """Quote-aware finite-state tokenizer for separated records, over a byte buffer.
 
 The buffer is cut into chunks without regard to records. Each chunk is reduced
-to its transition function (an end state for each start state); a prefix
-composition of these functions gives every chunk's start state, and a second
-pass over all chunks at once gives the state after every byte. Nothing is
+to its transition function (an end state for each start state); composing these
+functions one after the other gives every chunk's start state, and a second pass over all chunks at once gives the state after every byte. Nothing is
 scanned byte by byte in Python: each step advances all chunks together.
 """
 

@@ -6,13 +6,15 @@ each document). Sorted keys are compressed into contiguous runs, cut at every
 reference joins the runs of its bucket and is matched as of: the run with the
 greatest start at or before the key; beyond the run's end it is an orphan.
 
-Only compressed runs and slim references are shuffled. Parents are reduced
-before the shuffle; references of a hot key are spread over ``salts`` copies of
-the (small) runs.
-
-Null and blank keys are no references. A key that has no integer form is
-missing. A child without a time is only checked for existence; its period is
-null. Of a parent delivered again the earliest arrival and removal count.
+Only compressed runs and slim references are shuffled. Parents are reduced before
+the shuffle. References are counted by bucket first: those of a bucket with more
+than ``HOT`` are spread over as many salts as it needs, and only the runs of such
+buckets are copied.
+
+Null and blank keys are no references. A key that has no integer form is a space
+of its own with one key, so that it meets the parent of the same text. A child
+without a time is only checked for existence; its period is null. Of a parent
+delivered again the earliest arrival and removal count.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKET = 256
+#: references of a bucket in one task
+HOT = 1_000_000
 COLUMNS = ("child_table", "child_key", "parent_key", "kind", "period")
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 _PLAIN = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
@@ -43,6 +47,11 @@ def _plainly(df: DataFrame, column: str, usual: str) -> DataFrame:
     return df.withColumn("folded", F.when(F.col(column).rlike(usual), F.col(column)).otherwise(_folded(F.col(column))))
 
 
+def _by_text(keyed: DataFrame) -> DataFrame:
+    """A key without integer form as a space of its text, with the one key 0."""
+    return keyed.withColumns({"space": F.when(F.col("key").isNotNull(), F.col("space")).otherwise(F.concat(F.lit("?"), F.col("folded"))), "key": F.coalesce("key", F.lit(0).cast("bigint"))})
+
+
 def with_adsh(df: DataFrame, column: str) -> DataFrame:
     """``space``, ``key`` and ``usual`` of an accession number: one space, its 18 digits, 10-2-6 digits."""
     plain = _plainly(df, column, "^[0-9]{10}-[0-9]{2}-[0-9]{6}$")
@@ -50,7 +59,7 @@ def with_adsh(df: DataFrame, column: str) -> DataFrame:
     key = F.when(F.length("digits") == 18, F.col("digits").try_cast("bigint"))
     usual = F.concat_ws("-", F.substring("digits", 1, 10), F.substring("digits", 11, 2), F.substring("digits", 13, 6))
     keyed = digits.withColumns({"space": F.lit(""), "key": key})
-    return keyed.withColumn("usual", F.when(F.col("key").isNotNull(), usual).otherwise(F.col("folded"))).drop("folded", "digits")
+    return _by_text(keyed.withColumn("usual", F.when(F.col("key").isNotNull(), usual).otherwise(F.col("folded")))).drop("folded", "digits")
 
 
 _CHUNK = "^(.*?)::chunk0*([0-9]{1,18})$"
@@ -61,7 +70,7 @@ def with_chunk(df: DataFrame, column: str) -> DataFrame:
     plain = _plainly(df, column, "^[a-z0-9_.\\-]+::chunk[0-9]{1,18}$")
     keyed = plain.withColumns({"space": F.regexp_extract("folded", _CHUNK, 1), "key": F.regexp_extract("folded", _CHUNK, 2).try_cast("bigint")})
     usual = F.concat("space", F.lit("::chunk"), F.col("key").cast("string"))
-    return keyed.withColumn("usual", F.when(F.col("key").isNotNull(), usual).otherwise(F.col("folded"))).drop("folded")
+    return _by_text(keyed.withColumn("usual", F.when(F.col("key").isNotNull(), usual).otherwise(F.col("folded")))).drop("folded")
 
 
 def runs(parents: DataFrame) -> DataFrame:
@@ -80,13 +89,15 @@ def runs(parents: DataFrame) -> DataFrame:
     return sorted_keys.select("space", "bucket", F.expr(compress).alias("runs"))
 
 
-def orphans(children: DataFrame, parents: DataFrame, salts: int = 8) -> DataFrame:
+def orphans(children: DataFrame, parents: DataFrame, hot: int = HOT) -> DataFrame:
     """Orphans among children (child_table, child_key, space, key, parent_key, at) of parents (space, key, arrived, removed)."""
-    spread = runs(parents).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    # Keys without integer form match nothing; they get buckets of their own, so that they are not all sent to one task.
-    nowhere = -1 - F.pmod(F.xxhash64("child_key"), F.lit(4096))
-    refs = children.withColumns({"bucket": F.coalesce(F.shiftright("key", 8), nowhere), "salt": F.pmod(F.xxhash64("child_key"), F.lit(salts)).cast("int")})
-    joined = refs.join(spread, ["space", "bucket", "salt"], "left")
+    refs = children.withColumn("bucket", F.shiftright("key", 8))
+    # At most a row for every ``hot`` references: a million rows of 40 bytes for 10^12 of them, so it may be sent to all tasks.
+    spread = refs.groupBy("space", "bucket").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("space", "bucket", F.ceil(F.col("n") / hot).cast("int").alias("salts"))
+    spread, last = F.broadcast(spread), F.coalesce("salts", F.lit(1)) - 1
+    copied = runs(parents).join(spread, ["space", "bucket"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), last))).drop("salts")
+    salted = refs.join(spread, ["space", "bucket"], "left").withColumn("salt", F.pmod(F.xxhash64("child_key"), last + 1).cast("int")).drop("salts")
+    joined = salted.join(copied, ["space", "bucket", "salt"], "left")
     found = joined.withColumn("run", F.when(F.size("runs") > 0, F.expr("try_element_at(filter(runs, r -> r.start <= key), -1)")))
     inside = F.col("run").isNotNull() & (F.col("key") <= F.col("run.end"))
     place = (F.col("key") - F.col("run.start") + 1).cast("int")
@@ -103,18 +114,18 @@ def _children(keyed: DataFrame, child_table: str, child_key: str, at: str) -> Da
     return keyed.select(F.lit(child_table).alias("child_table"), F.col(child_key).cast("string").alias("child_key"), "space", "key", F.col("usual").alias("parent_key"), _ntz(at).alias("at"))
 
 
-def fact_orphans(facts: DataFrame, submissions: DataFrame, salts: int = 8) -> DataFrame:
+def fact_orphans(facts: DataFrame, submissions: DataFrame, hot: int = HOT) -> DataFrame:
     children = _children(with_adsh(facts.where(_says_something("adsh")).select("fact_id", "adsh", "loaded_at"), "adsh"), "facts", "fact_id", "loaded_at")
     parents = with_adsh(submissions.select("adsh", "loaded_at", "withdrawn_at"), "adsh").select("space", "key", _ntz("loaded_at").alias("arrived"), _ntz("withdrawn_at").alias("removed"))
-    return orphans(children, parents, salts)
+    return orphans(children, parents, hot)
 
 
-def citation_orphans(runs_table: DataFrame, chunks: DataFrame, child_table: str, salts: int = 8) -> DataFrame:
+def citation_orphans(runs_table: DataFrame, chunks: DataFrame, child_table: str, hot: int = HOT) -> DataFrame:
     """One row a case and cited chunk, however often the case cites it."""
     cited = runs_table.select("case_id", "run_ts", F.explode("citation_checks.chunk_id").alias("chunk_id")).where(_says_something("chunk_id"))
     children = _children(with_chunk(cited, "chunk_id"), child_table, "case_id", "run_ts")
     parents = with_chunk(chunks.select("chunk_id", "indexed_at", "removed_at"), "chunk_id").select("space", "key", _ntz("indexed_at").alias("arrived"), _ntz("removed_at").alias("removed"))
-    return orphans(children, parents, salts).distinct()
+    return orphans(children, parents, hot).distinct()
 
 
 def by_month(found: DataFrame) -> DataFrame:

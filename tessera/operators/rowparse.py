@@ -2,7 +2,8 @@
 
 Every line gives one row: either its typed fields or a reason with the byte
 offset of the fault. A null line counts as an empty one; lines of a file of an
-unknown kind get the reason ``unknown_file``. No shuffle.
+unknown kind get the reason ``unknown_file``. No shuffle. A row of the table is a
+whole record, so the tokenizer composes its chunks within a batch and no further.
 """
 
 from __future__ import annotations
@@ -88,7 +89,8 @@ def rejected(lines: DataFrame) -> DataFrame:
 
 
 def _typed(kind: str, lines: DataFrame, casts: dict[str, str]) -> DataFrame:
-    good = parsed(lines).where((F.col("kind") == kind) & F.col("reason").isNull())
+    own = F.lower(F.substring_index("file_name", "/", -1)) == f"{kind}.txt"  # before the lines go to Python
+    good = parsed(lines.where(own)).where((F.col("kind") == kind) & F.col("reason").isNull())
     field = lambda i: F.when(F.col("fields")[i] != "", F.col("fields")[i])
     return good.select("line_id", *(F.expr(f"try_cast(nullif(fields[{i}], '') as {casts[n]})").alias(n) if n in casts else field(i).alias(n) for i, n in enumerate(LAYOUTS[kind])))
 

@@ -35,6 +35,7 @@ def test_against_brute_force(spark):
     s = spark.createDataFrame(subs, "adsh string, loaded_at timestamp_ntz, withdrawn_at timestamp_ntz").withColumn("extra", orphans.F.lit(2))
     got = {tuple(r) for r in orphans.fact_orphans(f, s).collect()}
     assert got == want | {("facts", "9003", "x1", "missing", None)}
+    assert {tuple(r) for r in orphans.fact_orphans(f, s, hot=50).collect()} == got  # many buckets are salted
     assert orphans.fact_orphans(f.limit(0), s).count() == 0
     assert orphans.fact_orphans(f, s.limit(0)).count() == 3001
 
@@ -44,3 +45,9 @@ def test_chunk_keys(spark):
     rows = [("a", T0, [(x,) for x in ("d.htm::chunk007", "[D.htm：：Chunk7]", "d.htm::chunk8", " d.htm::chunk8", None)]), ("b", T0, None)]
     r = spark.createDataFrame(rows, "case_id string, run_ts timestamp_ntz, citation_checks array<struct<chunk_id:string>>")
     assert [tuple(x) for x in orphans.citation_orphans(r, c, "t").collect()] == [("t", "a", "d.htm::chunk8", "missing", "2020-01")]
+
+
+def test_keys_without_integer_form_meet_the_same_text(spark):
+    s = spark.createDataFrame([("ABC-1", T0 + timedelta(days=9), None), ("x2", T0, None)], "adsh string, loaded_at timestamp_ntz, withdrawn_at timestamp_ntz")
+    f = spark.createDataFrame([(1, "[abc-1]", T0), (2, "x2", T0), (3, "x3", T0)], "fact_id bigint, adsh string, loaded_at timestamp_ntz")
+    assert sorted(tuple(r) for r in orphans.fact_orphans(f, s).collect()) == [("facts", "1", "abc-1", "late", "2020-01"), ("facts", "3", "x3", "missing", "2020-01")]
