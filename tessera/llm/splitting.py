@@ -65,9 +65,21 @@ def _among(codes: np.ndarray, values: tuple[int, ...]) -> np.ndarray:
     return out
 
 
+def _after_blank(text: str, places: np.ndarray) -> np.ndarray:
+    """Which places are after a blank character."""
+    codes = _codes(text)
+    if not len(codes):
+        return np.ones(len(places), bool)
+    return (places > 0) & _among(codes[np.maximum(places - 1, 0)], _BLANKS)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode(), np.uint8) if text.isascii() else np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+
+
 def _breaks(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Characters at which sentences (or lines) and paragraphs break: the blank after a sentence, the character after a line end."""
-    codes = np.frombuffer(text.encode(), np.uint8) if text.isascii() else np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    codes = _codes(text)
     if len(codes) < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     blank, end = _among(codes, _BLANKS), _among(codes, _ENDS)
@@ -107,6 +119,11 @@ class Tokenised:
         words = np.ones(self.count + 1, bool)
         words[: self.count] = T.word_starts(path)[ids]
         self.words = words & self.clean
+        #: places that divide no word: before a blank, after one, and the ends
+        whole = self.words.copy()
+        whole[self.clean & _after_blank(text, self.places)] = True
+        whole[0] = True
+        self.whole = whole.tolist()
         heads = [m.start() for m in (_HEADING if "\r" in text else _HEADING_LF).finditer(text)]
         self.sections = self._at(np.array(heads, np.int64))
         kinds = np.zeros(self.count + 1, np.int8)
@@ -150,7 +167,7 @@ def _cut(t: Tokenised, least: int, most: int) -> tuple[int, int]:
 
 def _alone(t: Tokenised, start: int, end: int) -> int:
     """Tokens of a piece by itself: those within the text, but where it begins or ends within a word it is counted anew."""
-    if t.words[start] and t.words[end] or start == 0 and t.words[end] or end == t.count and t.words[start]:
+    if t.whole[start] and t.whole[end]:
         return end - start
     return T.count(t.text[t.places[start] : t.places[end]], t.path)
 
