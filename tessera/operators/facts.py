@@ -9,13 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Fixed values: (tag, quarters of its period, unit).
-REGISTRY = (
-    ("Assets", 0, "USD"), ("Liabilities", 0, "USD"), ("StockholdersEquity", 0, "USD"), ("CashAndCashEquivalentsAtCarryingValue", 0, "USD"), ("LongTermDebt", 0, "USD"),
-    ("Revenues", 4, "USD"), ("NetIncomeLoss", 4, "USD"), ("OperatingIncomeLoss", 4, "USD"), ("ResearchAndDevelopmentExpense", 4, "USD"),
-    ("EarningsPerShareBasic", 4, "USD"), ("EarningsPerShareDiluted", 4, "USD"),
-)
-FIRST_YEAR, LAST_YEAR = 2012, 2024
+from tessera.operators.phrases import CONCEPTS, FIRST_YEAR, LAST_YEAR, SUPPORTED_FORM
+
+#: (tag, quarters of its period, unit)
+REGISTRY = tuple((tag, quarters, unit) for tag, _, quarters, unit in CONCEPTS)
 GRAIN = ("adsh", "tag", "ddate", "qtrs", "uom")
 
 
@@ -31,11 +28,11 @@ def finite(c: str) -> Column:
     return F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
 
 
-def rules() -> dict[str, Column]:
+def rules(first_year: int = FIRST_YEAR, last_year: int = LAST_YEAR) -> dict[str, Column]:
     """What each eligibility rule rejects; a fact may be rejected by several."""
     return {
-        "wrong_form": ~F.coalesce(F.col("form") == "10-K", F.lit(False)),
-        "wrong_year": ~F.coalesce(F.col("fiscal_year").between(FIRST_YEAR, LAST_YEAR), F.lit(False)),
+        "wrong_form": ~F.coalesce(F.col("form") == SUPPORTED_FORM, F.lit(False)),
+        "wrong_year": ~F.coalesce(F.col("fiscal_year").between(first_year, last_year), F.lit(False)),
         "coregistrant": ~blank("coreg"),
         "segmented": ~blank("segments"),
         "custom_taxonomy": ~F.coalesce(F.col("version").like("us-gaap/%"), F.lit(False)),
@@ -45,19 +42,24 @@ def rules() -> dict[str, Column]:
     }
 
 
-def eligible(facts: DataFrame, submissions: DataFrame, tags: DataFrame) -> DataFrame:
-    """Facts that pass every rule and state the period of their own submission, one row a grain.
+def eligible(facts: DataFrame, submissions: DataFrame, tags: DataFrame, first_year: int = FIRST_YEAR, last_year: int = LAST_YEAR) -> DataFrame:
+    """Facts that pass every rule and state the period of their own submission, one row a grain; ``in_order`` sorts them.
 
     ``conflict`` marks a grain with different values; identical repeats collapse.
     """
     keep = facts.join(F.broadcast(tags), "tag")  # the registry is a fixed table of a few rows
-    for bad in rules().values():
+    for bad in rules(first_year, last_year).values():
         keep = keep.where(~bad)
     periods = submissions.where("period is not null").select("adsh", F.col("period").alias("ddate")).distinct()
     aligned = keep.join(periods, ["adsh", "ddate"], "left_semi")
     return aligned.groupBy(*GRAIN).agg(F.min("cik").alias("cik"), F.min("fiscal_year").alias("fiscal_year"), F.min("value").alias("value"), (F.min("value") != F.max("value")).alias("conflict"))
 
 
+def in_order(facts: DataFrame) -> DataFrame:
+    """Facts in the total order of their grain."""
+    return facts.orderBy(*GRAIN)
+
+
 def require_consistent(facts: DataFrame) -> DataFrame:
     """The facts, or an error while they are read if a grain has conflicting values."""
     return facts.where(F.when(F.col("conflict"), F.raise_error(F.concat(F.lit("conflicting values for "), F.col("adsh"), F.lit(" "), F.col("tag"))).cast("boolean")).otherwise(True))
@@ -89,6 +91,34 @@ def changes(facts: DataFrame) -> DataFrame:
     return one.join(before, ["cik", "tag", "fiscal_year"]).select("cik", "tag", "fiscal_year", (F.col("value") - F.col("previous")).alias("change"))
 
 
+def _operands(requests: DataFrame, facts: DataFrame, tags: DataFrame, sides: dict[str, tuple[str, str]]) -> DataFrame:
+    """Requests with status and value of both operands; a side is its (cik, fiscal_year) columns."""
+    out = requests
+    for side, (cik, year) in sides.items():
+        asked = requests.select("request_id", F.col(cik).alias("cik"), F.col(year).alias("fiscal_year"), "tag")
+        found = lookup(asked, facts, tags).select("request_id", F.col("status").alias(f"status_{side}"), F.col("value").alias(f"value_{side}"))
+        out = out.join(found, "request_id")
+    return out
+
+
+def _unavailable() -> Column:
+    return F.when(F.col("status_a") != "found", "operand_a_unavailable").when(F.col("status_b") != "found", "operand_b_unavailable")
+
+
+def difference(requests: DataFrame, facts: DataFrame, tags: DataFrame) -> DataFrame:
+    """outcome and value (b less a) of requests (request_id, cik, tag, year_a, year_b): computed, or the first operand that is unavailable, a before b. request_id is unique."""
+    j = _operands(requests, facts, tags, {"a": ("cik", "year_a"), "b": ("cik", "year_b")})
+    return j.select("request_id", _unavailable().otherwise("computed").alias("outcome"), F.when(_unavailable().isNull(), F.col("value_b") - F.col("value_a")).alias("value"))
+
+
+def greater_than(requests: DataFrame, facts: DataFrame, tags: DataFrame) -> DataFrame:
+    """outcome and winner of requests (request_id, cik_a, cik_b, tag, fiscal_year): computed, tie, or the first operand that is unavailable, a before b. request_id is unique."""
+    j = _operands(requests, facts, tags, {"a": ("cik_a", "fiscal_year"), "b": ("cik_b", "fiscal_year")})
+    outcome = _unavailable().when(F.col("value_a") == F.col("value_b"), "tie").otherwise("computed")
+    winner = F.when(F.col("value_a") > F.col("value_b"), F.col("cik_a")).otherwise(F.col("cik_b"))
+    return j.select("request_id", outcome.alias("outcome"), F.when(outcome == "computed", winner).alias("winner_cik"))
+
+
 def compare(facts: DataFrame) -> DataFrame:
     """Neighbouring filers (by cik) of a tag and year in pairs, with the outcome of a > b; every filer is in one pair at most."""
     from pyspark.sql.window import Window
@@ -100,6 +130,75 @@ def compare(facts: DataFrame) -> DataFrame:
     return pair.where("k = 2").select("tag", "fiscal_year", "cik_a", "cik_b", outcome.alias("greater"))
 
 
+def path_rates(asked: DataFrame) -> DataFrame:
+    """(path, attempted, found, exact, leaked): the rates of rows (path, attempted, found, exact, trap).
+
+    attempted over all rows that are no trap, found and exact over the attempted of
+    these, leaked (found) over the traps; a rate over no row is null.
+    """
+    real = ~F.coalesce("trap", F.lit(False))
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    rate = lambda of, hit: F.round(F.count_if(of & hit) / F.nullif(F.count_if(of), F.lit(0)), 9)
+    tried = real & yes("attempted")
+    return asked.groupBy("path").agg(rate(real, yes("attempted")).alias("attempted"), rate(tried, yes("found")).alias("found"), rate(tried, yes("exact")).alias("exact"), rate(~real, yes("found")).alias("leaked"))
+
+
+def raw_match(requests: DataFrame, facts: DataFrame) -> DataFrame:
+    """match of requests (request_id, adsh, cik, tag, ddate, qtrs, uom, value) with undivided facts of the same six keys: exact, unmatched or ambiguous (different values)."""
+    keys = ["adsh", "cik", "tag", "ddate", "qtrs", "uom"]
+    plain = facts.where(blank("coreg") & blank("segments") & F.col("value").isNotNull())
+    known = plain.groupBy(*keys).agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    match = F.when(F.col("low").isNull(), "unmatched").when(F.col("low") != F.col("high"), "ambiguous").when(F.col("low") == F.col("value"), "exact").otherwise("unmatched")
+    return requests.join(known, keys, "left").select("request_id", match.alias("match"))
+
+
+def alignment_status(tag_supported: Column, dimension_free: Column, year_in_window: Column, match: Column, nodes: Column) -> Column:
+    """The status of a piece of evidence: the first rule that fails decides; a match that was not looked up counts as unmatched."""
+    return (
+        F.when(~F.coalesce(tag_supported, F.lit(False)), "unsupported_tag")
+        .when(~F.coalesce(dimension_free, F.lit(False)), "ineligible_dimensional")
+        .when(match == "ambiguous", "ambiguous")
+        .when(F.coalesce(match, F.lit("unmatched")) == "unmatched", "unmatched")
+        .when(~F.coalesce(year_in_window, F.lit(False)), "ineligible_year_window")
+        .when(F.coalesce(nodes, F.lit(0)) == 0, "exact_no_node")
+        .otherwise("exact")
+    )
+
+
+def built_evidence(found: DataFrame, facts: DataFrame, nodes: DataFrame, tags: DataFrame, first_year: int = FIRST_YEAR, last_year: int = LAST_YEAR) -> DataFrame:
+    """(request_id, status, eligible, node_ids) of facts found in documents.
+
+    found: (request_id, document_id, adsh, cik, fiscal_year, tag, ddate, qtrs, uom,
+    segments, value, display); nodes: (document_id, node_id, text). A missing period
+    or fiscal year, or a supported tag without unit, is a parse_error. Nodes are
+    searched only for exact matches; all that hold the display, blanks made even, are
+    named in order.
+    """
+    even = lambda c: F.trim(F.regexp_replace(c, "\\s+", " "))
+    known = F.broadcast(tags.select("tag", "want_qtrs", "want_uom", F.lit(True).alias("supported")))  # a fixed table of a few rows
+    keyed = found.join(known, "tag", "left")
+    broken = F.col("ddate").isNull() | F.col("fiscal_year").isNull() | (F.coalesce("supported", F.lit(False)) & blank("uom"))
+    matched = keyed.join(raw_match(found, facts), "request_id", "left").withColumn("broken", broken)
+    searched = matched.where((F.col("match") == "exact") & blank("segments") & ~F.col("broken") & (F.length(even("display")) > 0)).select("request_id", "document_id", even("display").alias("needle"))
+    hit = searched.join(nodes.select("document_id", "node_id", even("text").alias("body")), "document_id").where(F.expr("instr(body, needle) > 0"))
+    named = hit.groupBy("request_id").agg(F.sort_array(F.collect_set("node_id")).alias("node_ids"))
+    in_window = F.col("fiscal_year").between(first_year, last_year)
+    status = F.when(F.col("broken"), "parse_error").otherwise(alignment_status(F.col("supported"), blank("segments"), in_window, F.col("match"), F.coalesce(F.size("node_ids"), F.lit(0))))
+    fits = F.coalesce((F.col("qtrs") == F.col("want_qtrs")) & (F.col("uom") == F.col("want_uom")), F.lit(False))
+    return matched.join(named, "request_id", "left").select("request_id", status.alias("status"), ((status == "exact") & fits).alias("eligible"), F.coalesce("node_ids", F.array().cast("array<string>")).alias("node_ids"))
+
+
+def wanted(cik: int | None = None, fiscal_year: int | None = None) -> Column:
+    """A filter on company and year, each left out where it is None; only whole numbers are taken."""
+    out = F.lit(True)
+    for name, value in (("cik", cik), ("fiscal_year", fiscal_year)):
+        if value is not None:
+            if isinstance(value, bool) or not isinstance(value, int):
+                raise TypeError(f"{name} is a whole number")
+            out = out & (F.col(name) == value)
+    return out
+
+
 def revision_rate(facts: DataFrame, key: tuple[str, ...], filing: str = "adsh") -> DataFrame:
     """How many keys are reported by several filings, and of these how many with different values.
 

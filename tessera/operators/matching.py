@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.session import with_checkpoints
+
 _TOKEN = "[\\p{L}\\p{N}.&'\\-]+"
 
 
@@ -47,14 +49,27 @@ def neighbour(items: DataFrame, pages: DataFrame) -> DataFrame:
     return items.select("item_id", "page").join(found, "item_id", "left").select("item_id", status.alias("status"), F.when(status == "stated", F.col("page")).when(status == "neighbour", F.col("at")).alias("at"))
 
 
-def navigate(requests: DataFrame, sections: DataFrame, documents: DataFrame) -> DataFrame:
-    """status of requests (request_id, document_id, section_id): found, section_not_found, filing_not_parsed or filing_not_found."""
-    parsed = sections.select("document_id", "section_id", F.length("text").alias("chars"))
-    any_section = parsed.select("document_id").distinct().withColumn("parsed", F.lit(1))
-    there = documents.select("document_id").distinct().withColumn("known", F.lit(1))
-    j = requests.join(there, "document_id", "left").join(any_section, "document_id", "left").join(parsed, ["document_id", "section_id"], "left")
-    status = F.when(F.col("known").isNull(), "filing_not_found").when(F.col("parsed").isNull(), "filing_not_parsed").when(F.col("chars").isNull(), "section_not_found").otherwise("found")
-    return j.select("request_id", status.alias("status"), "chars")
+def navigate(requests: DataFrame, filings: DataFrame, sections: DataFrame) -> DataFrame:
+    """(request_id, outcome, document_id, chars, nodes, all_nodes) of requests (request_id, cik, fiscal_year, section_id).
+
+    filings: (document_id, cik, fiscal_year); sections: (document_id, section_id, text), a
+    row a node. not_found and ambiguous: no filing, or several; filing_not_parsed: it has
+    no section; section_not_found; found, with the characters and nodes of the section
+    and the nodes of the whole document.
+    """
+    per_key = filings.where("cik is not null and fiscal_year is not null").groupBy("cik", "fiscal_year").agg(F.countDistinct("document_id").alias("n"), F.min("document_id").alias("document_id"))
+    whole = sections.groupBy("document_id").agg(F.count("*").alias("all_nodes"))
+    one = sections.groupBy("document_id", "section_id").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("nodes"))
+    j = requests.join(per_key, ["cik", "fiscal_year"], "left").withColumn("document_id", F.when(F.col("n") == 1, F.col("document_id")))
+    j = j.join(whole, "document_id", "left").join(one, ["document_id", "section_id"], "left")
+    outcome = F.when(F.col("n").isNull(), "not_found").when(F.col("n") > 1, "ambiguous").when(F.col("all_nodes").isNull(), "filing_not_parsed").when(F.col("nodes").isNull(), "section_not_found").otherwise("found")
+    return j.select("request_id", outcome.alias("outcome"), "document_id", "chars", "nodes", "all_nodes")
+
+
+def scope_leaks(navigated: DataFrame) -> DataFrame:
+    """How many navigations found their section, and how many of these gave as many nodes as the whole document of several has."""
+    found = F.col("outcome") == "found"
+    return navigated.agg(F.count("*").alias("attempts"), F.count_if(found).alias("found"), F.count_if(found & (F.col("nodes") >= F.col("all_nodes"))).alias("whole_document"))
 
 
 def repeated_texts(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -63,12 +78,38 @@ def repeated_texts(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.where(F.col(text).isNotNull()).groupBy(mark.alias("fingerprint")).agg(F.count("*").alias("n"), F.min(key).alias("first")).where("n > 1")
 
 
-def double_first_number(text: Column) -> Column:
-    """The text with its first number doubled, thousands separators left out; null where there is none."""
-    number = F.regexp_extract(text, "([0-9][0-9,]*(?:[.][0-9]+)?)", 1)
-    value = F.regexp_replace(number, ",", "").try_cast("decimal(30,2)") * 2
+def repeated_meaning(questions: DataFrame) -> DataFrame:
+    """(meaning, n, first): questions (question_id, category, subtype, tag, cik, fiscal_year, operands of (cik, fiscal_year)) that ask the same.
+
+    A comparison of companies is told by tag, year and its companies in any order, one
+    of years by company, tag and years in order, others by company, tag and year.
+    """
+    ciks = F.array_join(F.array_sort(F.transform("operands", lambda o: o["cik"].cast("string"))), ",")
+    order = F.array_join(F.transform("operands", lambda o: o["fiscal_year"].cast("string")), ",")
+    s = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    own = F.when(F.col("subtype") == "cross_entity_comparison", F.concat_ws("|", s("tag"), s("fiscal_year"), ciks)).when(F.col("subtype") == "year_over_year_difference", F.concat_ws("|", s("cik"), s("tag"), order)).otherwise(F.concat_ws("|", s("cik"), s("tag"), s("fiscal_year")))
+    meaning = F.concat_ws("|", s("category"), s("subtype"), own)
+    return questions.groupBy(meaning.alias("meaning")).agg(F.count("*").alias("n"), F.min("question_id").alias("first")).where("n > 1")
+
+
+#: a number with thousands separators and decimals
+_NUMBER = "([0-9][0-9,]*(?:[.][0-9]+)?)"
+
+
+def corrupted(text: Column, clause: str = " This was confirmed by the auditors.") -> Column:
+    """The text with its first number doubled in the same format (separators, number of decimals); one without a number gets a clause nothing supports."""
+    number = F.regexp_extract(text, _NUMBER, 1)
+    plain = F.regexp_replace(number, ",", "")
+    twice = (plain.try_cast("decimal(30,6)") * 2).cast("decimal(32,6)")
+    decimals = F.when(plain.contains("."), F.length(F.substring_index(plain, ".", -1))).otherwise(0)
+    whole = F.regexp_extract(twice.cast("string"), "^([0-9]+)", 1)
+    grouped = F.when(number.contains(","), F.regexp_replace(whole, "(?<=[0-9])(?=(?:[0-9]{3})+$)", ",")).otherwise(whole)
+    part = F.substring(F.substring_index(twice.cast("string"), ".", -1), F.lit(1), decimals)
+    said = F.when(decimals > 0, F.concat(grouped, F.lit("."), part)).otherwise(grouped)
     at = F.instr(text, number)
-    return F.when(number != "", F.concat(F.substr(text, F.lit(1), at - 1), value.cast("decimal(32,2)").cast("string"), F.substr(text, at + F.length(number))))
+    # Seven decimals or more, and more than 24 digits, are beyond the type: such a number is repeated instead of doubled.
+    new = F.when(twice.isNull() | (decimals > 6), F.concat(number, number)).otherwise(said)
+    return F.when(number == "", F.concat(text, F.lit(clause))).otherwise(F.concat(F.substr(text, F.lit(1), at - 1), new, F.substr(text, at + F.length(number))))
 
 
 def sequential(candidates: DataFrame, categories: list[str], quota: int, entity: str) -> DataFrame:
@@ -88,7 +129,20 @@ def sequential(candidates: DataFrame, categories: list[str], quota: int, entity:
     return out
 
 
-def numbered(df: DataFrame, stratum: str, order: list[str], prefix: str) -> DataFrame:
-    """Rows with ids such as prefix_stratum_000001, counted within each stratum."""
-    w = Window.partitionBy(stratum).orderBy(*order)
-    return df.withColumn("assigned_id", F.concat(F.lit(f"{prefix}_"), F.col(stratum), F.lit("_"), F.lpad(F.row_number().over(w).cast("string"), 6, "0")))
+def numbered(df: DataFrame, stratum: str, order: list[str], prefix: str, digits: int = 6) -> DataFrame:
+    """Rows with ids such as prefix_stratum_000001, counted within each stratum in order; larger numbers keep all their digits.
+
+    Rows are sorted by range into blocks, so that no task sees a whole stratum: a row's
+    number is its place within its block and the rows of its stratum before.
+    """
+    ranged = df.repartitionByRange(stratum, *order).withColumn("__block", F.spark_partition_id())
+    # The plan is cut here: the blocks must be the same for the counts and for the places.
+    with_checkpoints(df.sparkSession)
+    ranged = ranged.checkpoint()
+    counts = ranged.groupBy(stratum, "__block").agg(F.count("*").alias("n"))
+    before = counts.select(stratum, "__block", (F.sum("n").over(Window.partitionBy(stratum).orderBy("__block")) - F.col("n")).alias("before"))
+    place = F.row_number().over(Window.partitionBy(stratum, "__block").orderBy(*order))
+    placed = ranged.withColumn("__place", place).join(before.withColumnRenamed(stratum, "__s"), F.col(stratum).eqNullSafe(F.col("__s")) & (ranged["__block"] == before["__block"])).drop(before["__block"])
+    number = (F.col("__place") + F.col("before")).cast("string")
+    padded = F.when(F.length(number) >= digits, number).otherwise(F.lpad(number, digits, "0"))
+    return placed.withColumn("assigned_id", F.concat(F.lit(f"{prefix}_"), F.coalesce(F.col(stratum), F.lit("")), F.lit("_"), padded)).drop("__block", "__place", "before", "__s")

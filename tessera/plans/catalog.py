@@ -6,21 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import audit, documents, facts, guards, matching, metrics, sampling, search
+from tessera.plans.registering import registry
 from tessera.session import table
 from tessera.streaming import events as stream
 
 RERUN = "phase_1_7a_citation_format_correction_rerun"
-QUERIES, ORACLE = {}, {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, ORACLE, query = registry()
 
 
 def _integer(column: str, kind: str):
@@ -30,9 +21,12 @@ def _integer(column: str, kind: str):
 
 # --- structured facts
 
-_REG = "(values " + ", ".join(f"('{t}', {q}, '{u}')" for t, q, u in facts.REGISTRY) + ") r(tag, want_qtrs, want_uom)"
+# Spelled out here a second time, so that the SQL does not repeat a slip of the operator.
+_REG = """(values ('Assets', 0, 'USD'), ('Liabilities', 0, 'USD'), ('StockholdersEquity', 0, 'USD'), ('CashAndCashEquivalentsAtCarryingValue', 0, 'USD'), ('Revenues', 4, 'USD'),
+('ResearchAndDevelopmentExpense', 4, 'USD'), ('NetIncomeLoss', 4, 'USD'), ('OperatingIncomeLoss', 4, 'USD'), ('CostOfRevenue', 4, 'USD'), ('GrossProfit', 4, 'USD'),
+('RevenueFromContractWithCustomerExcludingAssessedTax', 4, 'USD'), ('OperatingExpenses', 4, 'USD'), ('EarningsPerShareBasic', 4, 'USD'), ('EarningsPerShareDiluted', 4, 'USD'), ('IncomeTaxExpenseBenefit', 4, 'USD')) r(tag, want_qtrs, want_uom)"""
 _BAD = {
-    "wrong_form": "coalesce(form <> '10-K', true)", "wrong_year": f"coalesce(fiscal_year not between {facts.FIRST_YEAR} and {facts.LAST_YEAR}, true)", "coregistrant": "coalesce(coreg, '') <> ''", "segmented": "coalesce(segments, '') <> ''",
+    "wrong_form": "coalesce(form <> '10-K', true)", "wrong_year": "coalesce(fiscal_year not between 2016 and 2020, true)", "coregistrant": "coalesce(coreg, '') <> ''", "segmented": "coalesce(segments, '') <> ''",
     "custom_taxonomy": "coalesce(version not like 'us-gaap/%', true)", "no_value": "(value is null or isnan(value) or isinf(value))", "wrong_qtrs": "coalesce(qtrs <> want_qtrs, true)", "wrong_unit": "coalesce(uom <> want_uom, true)",
 }
 _ELIGIBLE = f"""e as (select adsh, f.tag, ddate, qtrs, uom, min(cik) as cik, min(fiscal_year) as fiscal_year, min(value) as value, min(value) <> max(value) as conflict
@@ -527,46 +521,12 @@ def w7_heading_spans(s, d):
     return documents.heading_spans(table(s, d, "documents"), "doc_id", "text").groupBy("heading").agg(F.count("*").alias("spans"), F.count_if(F.expr("current")).alias("current"))
 
 
-def _has(words):
-    return "(" + " or ".join(f"contains(low, '{w}')" for w in words) + ")"
-
-
-_CC = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]"
-_GUARD = f"""select case_id, case when question is null then 'invalid_type' when not regexp_matches(question, '\\S') then 'empty_input' when length(question) > 2000 then 'input_too_long' when regexp_matches(question, '{_CC}') then 'disallowed_control_character'
-when {_has(guards.INJECTION)} then 'prompt_injection_detected' when {_has(guards.ADVICE)} then 'advice_request_detected' when {' or '.join(f"regexp_matches(question, '{p}')" for p in guards.PII.values())} then 'pii_detected'
-when not ({_has(guards.DOMAIN)} or regexp_matches(question, '{guards.YEAR}')) then 'out_of_scope' end as reason from (select *, lower(question) as low from {RERUN})"""
-
-
-@query(_GUARD)
-def d13_input_guard(s, d):
-    return table(s, d, RERUN).select("case_id", guards.input_reason(F.col("question")).alias("reason"))
-
-
-@query(f"""select case when {_has(guards.INJECTION)} then 'out_of_scope' when {_has(guards.ADVICE)} then 'advice' when {_has(guards.COMPARISON)} then 'comparison' when {_has(guards.CHANGE)} then 'numeric_derived'
-when not {_has(guards.DOMAIN)} and not regexp_matches(question, '{guards.YEAR}') then 'out_of_scope' when contains(low, 'what drove') or contains(low, 'which factors') or contains(low, 'summarize') then 'narrative' else 'fact' end as intent, count(*) as questions
-from (select *, lower(question) as low from {RERUN} where question is not null) group by 1""")
-def d12_intents(s, d):
-    return table(s, d, RERUN).where("question is not null").groupBy(guards.intent(F.col("question")).alias("intent")).agg(F.count("*").alias("questions"))
-
-
 @query(f"""with c as (select distinct case_id, supplied_chunk_ids as given, unnest(list_distinct(regexp_extract_all(answer, '\\[([^\\[\\]]+::chunk\\d+)\\]', 1))) as id from {RERUN} where answer is not null)
 select case_id, count(*) as cited, count(*) filter (id not in (select chunk_id from chunks where chunk_id is not null)) as unknown, count(*) filter (not coalesce(list_contains(given, id), false)) as not_supplied from c group by 1""")
 def d16_citation_verdicts(s, d):
     return guards.citation_verdicts(table(s, d, RERUN), table(s, d, "chunks"), "case_id", "answer", "supplied_chunk_ids")
 
 
-_FLAG = {n: p.replace("\\u200B-\\u200F\\u2060\\uFEFF\\u00AD", "\\x{200B}-\\x{200F}\\x{2060}\\x{FEFF}\\x{00AD}") for n, (_, p) in guards.POISON.items()}
-_POISON = f"""with f as (select lower(text) as low, {', '.join(f"coalesce(regexp_matches(text, '{p}'), false) as {n}" for n, p in _FLAG.items())} from documents),
-w as (select *, coalesce({_has(("security training", "cybersecurity", "prompt injection", "training example"))} and {_has(("example", "training", "warned", "avoid", "discussed"))}, false) and not ({' or '.join(n for n in _FLAG if n != "instruction_override")}) as words from f),
-s as (select case when words then 'approved' when instruction_override or role_impersonation or prompt_exfiltration or tool_instruction or boundary_escape then 'blocked' when {' or '.join(_FLAG)} then 'suspicious' else 'approved' end as status,
-round(case when words then 0.1 else least(1.0, {' + '.join(f"{n}::int * {guards.POISON[n][0]}" for n in _FLAG)}) end, 2)::double as risk from w) select status, count(*) as documents, max(risk) as most_risk from s group by 1"""
-
-
-@query(_POISON)
-def d17_poison_status(s, d):
-    return guards.poison(table(s, d, "documents").select("doc_id", "text"), "text").groupBy("status").agg(F.count("*").alias("documents"), F.max("risk").alias("most_risk"))
-
-
 @query("""with m as (select cik, doc_id, sha256(lower(trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\r]+', ' ', 'g')))) as mark from documents where cik is not null)
 select doc_id, nullif(min(doc_id) over (partition by cik, mark), doc_id) as duplicate_of, count(*) over (partition by cik, mark) as copies from m""")
 def w11_duplicate_collapse(s, d):
@@ -593,11 +553,10 @@ def events_sessions(s, d):
 # --- matching and selection
 
 
-@query("""with i as (select chunk_id as item_id, document_id, ordinal + 1 as page, text[1:60] as needle from chunks where length(text) > 0), h as (select item_id, page, c.ordinal as near from i join chunks c on i.document_id = c.document_id and c.ordinal between page - 1 and page + 1 and contains(c.text, needle)),
+@query("""with i as (select chunk_id as item_id, document_id, ordinal + 1 as page, text as needle from chunks where length(text) > 0), h as (select item_id, page, c.ordinal as near from i join chunks c on i.document_id = c.document_id and c.ordinal between page - 1 and page + 1 and contains(c.text, needle)),
 g as (select item_id, max((near = page)::int) as own, count(*) as n, min(near) as nat from h group by 1)
 select item_id, case when own = 1 then 'stated' when n > 1 then 'ambiguous' when n = 1 then 'neighbour' else 'none' end as status, case when own = 1 then page when n = 1 then nat end as "at" from i left join g using (item_id)""")
 def j22_neighbour_pages(s, d):
-    """Whole texts are looked for; the SQL cuts them to 60 characters, so chunks with a common beginning may differ from it."""
     c = table(s, d, "chunks")
     items = c.where("length(text) > 0").select(F.col("chunk_id").alias("item_id"), "document_id", (F.col("ordinal") + 1).alias("page"), F.col("text").alias("needle"))
     return matching.neighbour(items, c.select("document_id", F.col("ordinal").alias("page"), "text"))
@@ -609,26 +568,11 @@ def j25_companies_in_questions(s, d):
     return matching.gazetteer(table(s, d, RERUN), "case_id", "question", names)
 
 
-@query(f"""with l as ({_LONG}), p as (select * from l where length(text) > 0), r as (select doc_id as request_id, cast(cik as varchar) || '_' || fiscal_year || '.htm' as document_id, section_id from documents)
-select request_id, case when e.filename is null then 'filing_not_found' when not exists (select 1 from p where p.document_id = r.document_id) then 'filing_not_parsed' when p.text is null then 'section_not_found' else 'found' end as status, length(p.text) as chars
-from r left join edgar e on e.filename = r.document_id left join p on p.document_id = r.document_id and p.section_id = r.section_id""")
-def f6_navigation(s, d):
-    requests = table(s, d, "documents").select(F.col("doc_id").alias("request_id"), F.concat(F.col("cik").cast("string"), F.lit("_"), F.col("fiscal_year").cast("string"), F.lit(".htm")).alias("document_id"), "section_id")
-    edgar = table(s, d, "edgar")
-    return matching.navigate(requests, documents.sections(edgar), edgar.select(F.col("filename").alias("document_id")))
-
-
 @query(f"select sha256(lower(trim(regexp_replace(question, '[ \\t\\n\\r]+', ' ', 'g')))) as fingerprint, count(*) as n, min(case_id) as first from {RERUN} where question is not null group by 1 having count(*) > 1")
 def d11_repeated_questions(s, d):
     return matching.repeated_texts(table(s, d, RERUN), "case_id", "question")
 
 
-@query(f"""with n as (select case_id, answer, regexp_extract(answer, '([0-9][0-9,]*(?:[.][0-9]+)?)', 1) as num from {RERUN} where answer is not null)
-select case_id, case when num <> '' then answer[1:instr(answer, num) - 1] || cast(try_cast(replace(num, ',', '') as decimal(30,2)) * 2 as varchar) || substr(answer, instr(answer, num) + length(num)) end as corrupted from n""")
-def d28_doubled_numbers(s, d):
-    return table(s, d, RERUN).where("answer is not null").select("case_id", matching.double_first_number(F.col("answer")).alias("corrupted"))
-
-
 @query("""with c as (select case when o_orderpriority = '1-URGENT' then 'urgent' when o_orderstatus = 'F' then 'filled' else 'open' end as category, o_custkey, sha256(cast(o_orderkey as varchar) || chr(0) || 'pick') as k from orders),
 a as (select 'urgent' as category, o_custkey, min(k) as selection_key from c where category = 'urgent' group by 2 order by 3, 2 limit 40),
 b as (select 'filled' as category, o_custkey, min(k) as selection_key from c where category = 'filled' and o_custkey not in (select o_custkey from a) group by 2 order by 3, 2 limit 40),
@@ -640,7 +584,7 @@ def o6_sequential_selection(s, d):
     return matching.sequential(c, ["urgent", "filled", "open"], 40, "o_custkey")
 
 
-@query("select o_orderkey, 'ord_' || o_orderstatus || '_' || lpad(cast(row_number() over (partition by o_orderstatus order by o_orderdate, o_orderkey) as varchar), 6, '0') as assigned_id from orders")
+@query("select o_orderkey, 'ord_' || o_orderstatus || '_' || case when n < 1000000 then lpad(cast(n as varchar), 6, '0') else cast(n as varchar) end as assigned_id from (select *, row_number() over (partition by o_orderstatus order by o_orderdate, o_orderkey) as n from orders)")
 def o10_assigned_ids(s, d):
     return matching.numbered(table(s, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate"), "o_orderstatus", ["o_orderdate", "o_orderkey"], "ord").select("o_orderkey", "assigned_id")
 

@@ -42,9 +42,33 @@ def test_selection_without_reuse(spark):
     assert rows(matching.sequential(c, ["a", "b"], 1, "e").select("category", "e")) == [("a", 1), ("b", 3)]
 
 
-def test_doubling(spark):
-    df = spark.createDataFrame([("was $1,200.50 and 3",), ("none",), (None,)], "t string")
-    assert [r[0] for r in df.select(matching.double_first_number(F.col("t"))).collect()] == ["was $2401.00 and 3", None, None]
+def test_corrupted_numbers_keep_their_format(spark):
+    df = spark.createDataFrame([("was $1,200.50 and 3",), ("none",), (None,), ("5",), ("0.1234567",)], "t string")
+    assert [r[0] for r in df.select(matching.corrupted(F.col("t"))).collect()] == ["was $2,401.00 and 3", "none This was confirmed by the auditors.", None, "10", "0.12345670.1234567"]
+
+
+def test_numbers_beyond_the_padding_stay_apart(spark):
+    df = spark.range(250).selectExpr("id", "if(id % 2 = 0, 'a', null) as s", "'x' as assigned")
+    got = matching.numbered(df, "s", ["id"], "p", digits=2)
+    ids = {r.id: r.assigned_id for r in got.collect()}
+    assert len(set(ids.values())) == 250 and ids[0] == "p_a_01" and ids[248] == "p_a_125" and ids[1] == "p__01"
+    assert matching.numbered(df.limit(0), "s", ["id"], "p").count() == 0
+
+
+def test_navigation_has_five_outcomes(spark):
+    filings = spark.createDataFrame([("d1", 1, 2018), ("d2", 2, 2018), ("d3", 2, 2018), ("d4", 3, 2018), ("d5", None, 2018)], "document_id string, cik bigint, fiscal_year int")
+    sections = spark.createDataFrame([("d1", "item_1", "ab"), ("d1", "item_1", "c"), ("d1", "item_7", "d")], "document_id string, section_id string, text string")
+    asked = spark.createDataFrame([(1, 1, 2018, "item_1"), (2, 1, 2018, "item_9"), (3, 2, 2018, "item_1"), (4, 3, 2018, "item_1"), (5, 9, 2018, "item_1"), (6, None, None, None)], "request_id int, cik bigint, fiscal_year int, section_id string")
+    got = {r.request_id: r for r in matching.navigate(asked, filings, sections).collect()}
+    assert [got[i].outcome for i in range(1, 7)] == ["found", "section_not_found", "ambiguous", "filing_not_parsed", "not_found", "not_found"]
+    assert (got[1].chars, got[1].nodes, got[1].all_nodes) == (3, 2, 3)
+
+
+def test_questions_of_the_same_meaning(spark):
+    op = "array<struct<cik:bigint, fiscal_year:int>>"
+    q = [("q1", "comparative", "cross_entity_comparison", "Assets", None, 2018, [(1, 2018), (2, 2018)]), ("q2", "comparative", "cross_entity_comparison", "Assets", None, 2018, [(2, 2018), (1, 2018)]), ("q3", "comparative", "year_over_year_difference", "Assets", 1, None, [(1, 2018), (1, 2019)]), ("q4", "comparative", "year_over_year_difference", "Assets", 1, None, [(1, 2019), (1, 2018)]), ("q5", None, None, None, None, None, None)]
+    df = spark.createDataFrame(q, f"question_id string, category string, subtype string, tag string, cik bigint, fiscal_year int, operands {op}")
+    assert [(r.n, r.first) for r in matching.repeated_meaning(df).collect()] == [(2, "q1")]
 
 
 XML = """<html xmlns:ix="x" xmlns:xbrli="y"><xbrli:context id="c"><xbrli:entity><xbrli:identifier>7</xbrli:identifier></xbrli:entity><xbrli:period><xbrli:startDate>2019-01-01</xbrli:startDate><xbrli:endDate>2019-12-31</xbrli:endDate></xbrli:period></xbrli:context>
