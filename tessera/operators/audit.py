@@ -44,8 +44,16 @@ def latest(df: DataFrame, key: str, order: list[str], columns: list[str]) -> Dat
     return last.select(key, *(F.col(f"x.{c}").alias(c) for c in columns))
 
 
-def percentiles(df: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
-    """Positional percentiles: the value at round-half-even of share * (n - 1) in order; none is interpolated.
+#: positions (from 0) of a percentile in n sorted values, by convention
+CONVENTIONS = {
+    "share_of_count": lambda p, n: F.floor(F.lit(p) * n),  # s[int(p n)]
+    "share_of_last": lambda p, n: F.floor(F.lit(p) * (n - 1)),  # s[int(p (n - 1))]
+    "nearest": lambda p, n: F.bround(F.lit(p) * (n - 1)),  # s[round(p (n - 1))], halves to even
+}
+
+
+def percentiles(df: DataFrame, key: str, value: str, shares: dict[str, float], convention: str = "nearest", least: int = 0) -> DataFrame:
+    """Positional percentiles by a convention; none is interpolated. ``least``: a group of fewer values has null.
 
     Equal values are counted before anything is ordered, so a hot key costs its distinct values.
     """
@@ -54,12 +62,69 @@ def percentiles(df: DataFrame, key: str, value: str, shares: dict[str, float]) -
     placed = counts.select(key, value, F.sum("__rows").over(w.orderBy(value)).alias("__upto"), "__rows", F.sum("__rows").over(w).alias("__all"))
 
     def at(share: float) -> Column:
-        place = F.bround(F.lit(share) * (F.col("__all") - 1)) + 1
-        return F.max(F.when((F.col("__upto") >= place) & (F.col("__upto") - F.col("__rows") < place), F.col(value)))
+        place = F.least(CONVENTIONS[convention](share, F.col("__all")), F.col("__all") - 1) + 1
+        return F.max(F.when((F.col("__upto") >= place) & (F.col("__upto") - F.col("__rows") < place) & (F.col("__all") >= least), F.col(value)))
 
     return placed.groupBy(key).agg(*(at(s).alias(name) for name, s in shares.items()))
 
 
+def medians(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, median): the middle value, or the mean of the two in the middle."""
+    numbers = df.withColumn(value, F.col(value).cast("double"))
+    both = percentiles(numbers, key, value, {"m": 0.5}, "share_of_last").unionByName(percentiles(numbers, key, value, {"m": 0.5}, "share_of_count"))
+    return both.groupBy(key).agg(F.avg("m").alias("median"))
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """(least, median, p95, most, keys) of the numbers of rows a key; the number of distinct counts is small, so one task orders them."""
+    sizes = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).withColumn("g", F.lit(1))
+    ends = sizes.agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("keys"))
+    return ends.join(percentiles(sizes, "g", "n", {"median": 0.5, "p95": 0.95}, "share_of_count").drop("g"), F.lit(True), "left").select("least", "median", "p95", "most", "keys")
+
+
+def distinct_tuples(df: DataFrame, columns: list[str]) -> DataFrame:
+    """How many different tuples there are, those with nulls included."""
+    return df.agg(F.countDistinct(F.struct(*columns)).alias("tuples"))
+
+
+def inconsistent(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, values, greatest) of keys with different values."""
+    return df.groupBy(key).agg(F.countDistinct(value).alias("values"), F.max(value).alias("greatest")).where("values > 1")
+
+
+def drifted_headers(headers: dict[str, list[str]]) -> list[tuple[str, list[str], list[str]]]:
+    """(archive, columns that the first archive lacks, columns of the first that it lacks) of archives whose header differs."""
+    if not headers:
+        return []
+    first = next(iter(headers.values()))
+    return [(name, [c for c in h if c not in first], [c for c in first if c not in h]) for name, h in headers.items() if set(h) != set(first)]
+
+
+def suite(df: DataFrame, name: str, checks: dict[str, tuple[str, float, float]]) -> DataFrame:
+    """(suite, check_name, bad, total, level) of checks (a condition that every row must meet, shares of bad rows that warn and fail), in one pass.
+
+    A null condition counts as not met. PASS, WARN, FAIL, or SKIP for an empty table.
+    """
+    one = df.agg(*(F.count_if(~F.coalesce(F.expr(c), F.lit(False))).alias(n) for n, (c, _, _) in checks.items()), F.count("*").alias("total"))
+    rows = F.inline(F.array(*(F.struct(F.lit(n).alias("check_name"), F.col(n).alias("bad"), F.col("total").alias("total"), F.lit(float(w)).alias("warn"), F.lit(float(f)).alias("fail")) for n, (_, w, f) in checks.items())))
+    share = F.col("bad") / F.nullif(F.col("total"), F.lit(0))
+    level = F.when(share.isNull(), "SKIP").when(share > F.col("fail"), "FAIL").when(share > F.col("warn"), "WARN").otherwise("PASS")
+    return one.select(rows).select(F.lit(name).alias("suite"), "check_name", "bad", "total", level.alias("level"))
+
+
+def latest_status(events: DataFrame) -> DataFrame:
+    """(run_id, status, written, expected) of runs by their events (run_id, seq, status, expected): the last status.
+
+    A run is complete only if as many rows were written as expected; a completed one
+    takes no further status.
+    """
+    done = events.where("status = 'complete'").groupBy("run_id").agg(F.min("seq").alias("done_at"))
+    open_events = events.join(done, "run_id", "left").where("done_at is null or seq <= done_at")
+    last = open_events.groupBy("run_id").agg(F.max_by("status", "seq").alias("status"), F.max("expected").alias("expected"), F.sum(F.coalesce("written", F.lit(0))).alias("written"))
+    status = F.when((F.col("status") == "complete") & (F.col("written") != F.coalesce("expected", F.col("written"))), "partial").otherwise(F.col("status"))
+    return last.select("run_id", status.alias("status"), "written", "expected")
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
     """An order-free fingerprint: the rows and the sum of their hashes."""
     return df.agg(F.count("*").alias("rows"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("hashes"))

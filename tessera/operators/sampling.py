@@ -39,13 +39,8 @@ def quotas(counts: DataFrame, name: str, total: int) -> DataFrame:
 
 
 def strided(df: DataFrame, order: str, step: int) -> DataFrame:
-    """Every step-th row in order. Rows are numbered within ranges of the order, so no task sees all rows."""
-    numbered = df.withColumn("bucket", F.floor(F.col(order) / 65_536))
-    counts = numbered.groupBy("bucket").agg(F.count("*").alias("in_bucket"))
-    before = counts.select("bucket", (F.sum("in_bucket").over(Window.orderBy("bucket")) - F.col("in_bucket")).alias("before"))
-    w = Window.partitionBy("bucket").orderBy(order)
-    placed = numbered.withColumn("rn", F.row_number().over(w)).join(before, "bucket")
-    return placed.where((F.col("before") + F.col("rn") - 1) % step == 0).drop("bucket", "rn", "before")
+    """Every step-th row in order, the first one included."""
+    return ranked(df, order).where((F.col("rank") - 1) % step == 0).drop("rank")
 
 
 def hash_split(df: DataFrame, key: Column, dev_share: float) -> DataFrame:
@@ -85,3 +80,88 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def leakage(df: DataFrame, group: str, split: str = "split") -> DataFrame:
     """Groups that stand in more than one split; empty for a good split."""
     return df.groupBy(group).agg(F.countDistinct(split).alias("splits")).where("splits > 1")
+
+
+def ranked(df: DataFrame, *order: str) -> DataFrame:
+    """Rows with ``rank`` 1..n in order (nulls first). Rows are sorted by range into blocks; no task sees all rows."""
+    with_checkpoints(df.sparkSession)
+    blocks = df.repartitionByRange(*order).withColumn("__block", F.spark_partition_id()).checkpoint()  # counts and places must see the same blocks
+    counts = blocks.groupBy("__block").agg(F.count("*").alias("n"))
+    # A row a block: a few thousand at most.
+    before = counts.select("__block", (F.sum("n").over(Window.orderBy("__block")) - F.col("n")).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__block").orderBy(*order))
+    return blocks.withColumn("__place", place).join(F.broadcast(before), "__block").withColumn("rank", F.col("__place") + F.col("__before")).drop("__block", "__place", "__before")
+
+
+def evenly(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """n rows evenly spaced in order, the first and the last among them; all rows where there are no more."""
+    if n < 2:
+        raise ValueError("two rows at least: the first and the last")
+    total = df.count()
+    if total <= n:
+        return df
+    places = df.sparkSession.range(n).select((F.bround(F.col("id") * F.lit((total - 1) / (n - 1))) + 1).cast("bigint").alias("rank")).distinct()
+    return ranked(df, *order).join(F.broadcast(places), "rank", "left_semi").drop("rank")  # n rows
+
+
+def pilot(df: DataFrame, stratum: str, key: str, size: str) -> DataFrame:
+    """The first row (by key) of each stratum, the smallest and the largest row, and the first without a size; each once."""
+    firsts = df.groupBy(stratum).agg(F.min(key).alias(key)).select(key)
+    some = df.where(F.coalesce(size, F.lit(0)) > 0).agg(F.min(F.struct(size, key)).alias("a"), F.max(F.struct(size, key)).alias("z"))
+    ends = some.select(F.explode(F.array(f"a.{key}", f"z.{key}")).alias(key))
+    none = df.where(F.coalesce(size, F.lit(0)) == 0).agg(F.min(key).alias(key))
+    return firsts.union(ends).union(none).where(F.col(key).isNotNull()).distinct()
+
+
+def hash_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """n rows in the order of a hash of key and seed: the same rows each time."""
+    return df.withColumn("__h", F.xxhash64(key, F.lit(seed))).orderBy("__h", key).limit(n).drop("__h")
+
+
+def filled_quotas(df: DataFrame, stratum: str, key: str, quota: DataFrame, total: int, purpose: str) -> DataFrame:
+    """Rows by quota (stratum, quota) of each stratum, in the order of a selection key, then of any stratum until there are ``total``.
+
+    ``backfilled`` marks the latter.
+    """
+    own = selection_key(purpose, F.col(stratum).cast("string"), F.col(key).cast("string"))
+    w = Window.partitionBy(stratum).orderBy("__k", key)
+    placed = df.withColumn("__k", own).withColumn("__place", F.row_number().over(w)).join(F.broadcast(quota.select(F.col(quota.columns[0]).alias(stratum), F.col(quota.columns[1]).alias("quota"))), stratum, "left")  # a row a stratum
+    taken = placed.where(F.col("__place") <= F.coalesce("quota", F.lit(0)))
+    have = taken.count()
+    rest = placed.join(taken.select(key), key, "left_anti").withColumn("__k", selection_key(f"{purpose} backfill", F.col(key).cast("string")))
+    more = rest.orderBy("__k", key).limit(max(0, total - have))
+    return taken.withColumn("backfilled", F.lit(False)).unionByName(more.withColumn("backfilled", F.lit(True))).drop("__k", "__place", "quota")
+
+
+def balanced_split(components: DataFrame, dev_share: float, purpose: str = "split") -> DataFrame:
+    """(component, weight, split) of components (component, weight): one after the other, in the order of a selection key, to the side that is further behind its share.
+
+    A component is a row, so a task that walks through them in order holds two
+    numbers; what follows depends on what went before, so it is one task.
+    """
+    import pyarrow as pa
+
+    total = components.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
+    dev = round(dev_share * total)
+    wanted = (dev, total - dev)
+
+    def walk(batches):
+        have = [0, 0]
+        for b in batches:
+            sides = []
+            for weight in b.column(1).to_pylist():
+                share = [h / w if w > 0 else 1.0 for h, w in zip(have, wanted, strict=True)]
+                side = 0 if share[0] <= share[1] else 1
+                have[side] += weight
+                sides.append(("dev", "test")[side])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sides, pa.string())], names=["component", "weight", "split"])
+
+    keyed = components.select(F.col("component").cast("string").alias("component"), F.col("weight").cast("bigint").alias("weight"), selection_key(purpose, F.col("component").cast("string")).alias("k"))
+    return keyed.repartition(1).sortWithinPartitions("k", "component").select("component", "weight").mapInArrow(walk, "component string, weight bigint, split string")
+
+
+def completeness(all_ids: DataFrame, dev: DataFrame, test: DataFrame, key: str) -> DataFrame:
+    """How many ids are in both splits, in none, and in a split but not among all; all 0 for a complete split."""
+    tagged = all_ids.select(key, F.lit(1).alias("a"), F.lit(0).alias("d"), F.lit(0).alias("t")).union(dev.select(key, F.lit(0), F.lit(1), F.lit(0))).union(test.select(key, F.lit(0), F.lit(0), F.lit(1)))
+    each = tagged.groupBy(key).agg(F.max("a").alias("a"), F.max("d").alias("d"), F.max("t").alias("t"))
+    return each.agg(F.count_if(F.expr("d = 1 and t = 1")).alias("both"), F.count_if(F.expr("a = 1 and d = 0 and t = 0")).alias("missing"), F.count_if(F.expr("a = 0")).alias("extra"))

@@ -404,7 +404,7 @@ def a21_agreement(s, d):
 
 @query()
 def d23_bootstrap(s, d):
-    return metrics.bootstrap(metrics.retrieval(_knn(s, d, 10), _relevant(s, d), 10), "ndcg")
+    return metrics.bootstrap(metrics.retrieval(_knn(s, d, 10), _relevant(s, d), 10), "query_id", "ndcg")
 
 
 # --- samples and splits

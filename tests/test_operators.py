@@ -65,7 +65,7 @@ def test_metrics(spark):
     assert got[2].recall == 0.0
     k = metrics.kappa(spark.createDataFrame([(1, 1), (1, 1), (None, 1)], "a int, b int"), "a", "b").first()
     assert (k.n, k.agreement, k.kappa) == (2, 1.0, 1.0)
-    b = metrics.bootstrap(spark.createDataFrame([(float(i),) for i in range(50)], "v double"), "v", 400).first()
+    b = metrics.bootstrap(spark.createDataFrame([(i, float(i)) for i in range(50)], "k int, v double"), "k", "v", 400).first()
     assert b.low < b.delta < b.high
 
 
