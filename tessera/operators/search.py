@@ -25,6 +25,22 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
+def _best(scores: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k best scores of each row; equal ones (to 9 places) at the edge in order of key, as in the merge."""
+    rows, columns = [], []
+    place = max(scores.shape[1] - k, 0)
+    edges = np.partition(scores, place, axis=1)[:, place]
+    for r, edge in enumerate(edges):
+        # Scores that only differ in rounding belong to the same edge.
+        near = np.nonzero(scores[r] >= edge - 1e-9)[0]
+        near = near[np.isfinite(scores[r, near])]
+        if len(near) > k:
+            near = near[np.lexsort((keys[near], -np.round(scores[r, near], 9)))[:k]]
+        rows.append(np.full(len(near), r))
+        columns.append(near)
+    return np.concatenate(rows).astype(np.int64), np.concatenate(columns).astype(np.int64)
+
+
 def _scan(shared, k: int, skip_self: bool, dims: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = shared.value
@@ -36,9 +52,7 @@ def _scan(shared, k: int, skip_self: bool, dims: int):
                 scores = q[at : at + 256] @ x.T
                 if skip_self:
                     scores[ids[at : at + 256][:, None] == keys[None, :]] = -np.inf
-                # Ties at the edge are all kept: the merge settles them by id.
-                edge = np.partition(scores, max(scores.shape[1] - k, 0), axis=1)[:, max(scores.shape[1] - k, 0)]
-                r, c = np.nonzero((scores >= edge[:, None]) & np.isfinite(scores))
+                r, c = _best(scores, keys, k)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 256][r]), pa.array(keys[c]), pa.array(scores[r, c])], names=["query_id", "id", "score"])
 
     return run
@@ -83,62 +97,21 @@ def norm_audit(vectors: DataFrame, vector: str = "embedding", tolerance: float =
     return vectors.agg(F.count("*").alias("vectors"), F.count_if(off).alias("not_unit"), F.min(F.size(vector)).alias("least_dims"), F.max(F.size(vector)).alias("most_dims"))
 
 
-#: Java and SQL agree on this class, unlike on \w
-TERM = "[a-z0-9]+"
-
-
-def terms(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf): postings; lower-case runs of ASCII letters and digits of at most 40 characters."""
-    exploded = df.where(F.col(text).isNotNull()).select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"))).alias("term"))
-    return exploded.where((F.length("term") <= 40) & (F.col("term") != "")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-
-
-def bm25(postings: DataFrame, queries: DataFrame, k: int, key: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, rank, key, score): queries are (query_id, term). Only postings of query terms are scored."""
-    lengths = postings.groupBy(key).agg(F.sum("tf").alias("length"))
-    totals = lengths.agg(F.count("*").alias("docs"), F.avg("length").alias("mean")).first()  # two numbers
-    docs, mean = F.lit(float(totals.docs)), F.lit(float(totals.mean or 1.0))
-    wanted = queries.select("query_id", "term").distinct()
-    hits = postings.join(wanted.select("term").distinct(), "term", "left_semi")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    scored = hits.join(df, "term").join(lengths, key)
-    idf = F.log(1 + (docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
-    scores = scored.select(key, "term", weight.alias("w")).join(wanted, "term").groupBy("query_id", key).agg(F.sum("w").alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), F.asc(key))
-    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", key, F.round("score", 6).alias("score"))
-
-
-#: query terms that are looked for while a text is read; more of them go through the postings
-INLINE_TERMS = 200
-
-
-def bm25_texts(texts: DataFrame, queries: DataFrame, k: int, key: str, text: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """As ``bm25`` of ``terms``, without building postings of words that no query has: texts are read once, only hits are shuffled."""
-    wanted = queries.select("query_id", "term").distinct()
-    found = [r.term for r in wanted.select("term").distinct().limit(INLINE_TERMS + 1).collect()]
-    if len(found) > INLINE_TERMS:
-        return bm25(terms(texts, key, text), queries, k, key, k1, b)
-    words = F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"))
-    read = texts.where(F.col(text).isNotNull()).select(key, F.filter(words, lambda w: F.length(w).between(1, 40)).alias("words"))
-    docs = read.where(F.size("words") > 0)
-    totals = docs.agg(F.count("*").alias("docs"), F.avg(F.size("words")).alias("mean")).first()  # two numbers
-    n, mean = F.lit(float(totals.docs)), F.lit(float(totals.mean or 1.0))
-    hits = docs.select(key, F.size("words").alias("length"), F.explode(F.filter("words", lambda w: w.isin(found))).alias("term")).groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    weight = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
-    scored = hits.join(F.broadcast(df), "term").select(key, "term", weight.alias("w"))  # one row an inline term at most
-    scores = scored.join(wanted, "term").groupBy("query_id", key).agg(F.sum("w").alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), F.asc(key))
-    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", key, F.round("score", 6).alias("score"))
+def _once(stream: DataFrame) -> DataFrame:
+    """(query_id, id, rank) of a stream, or an error while read where a query has an id twice."""
+    one = stream.groupBy("query_id", "id").agg(F.min("rank").alias("rank"), F.count("*").alias("n"))
+    twice = F.raise_error(F.concat(F.lit("an id is twice in the stream of query "), F.col("query_id").cast("string"))).cast("int")
+    return one.select("query_id", "id", F.when(F.col("n") > 1, twice).otherwise(F.col("rank")).alias("rank"))
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, k: int = 60, limit: int = 50) -> DataFrame:
     """Reciprocal rank fusion of two (query_id, rank, id); a missing side adds nothing.
 
     Equal sums are ordered by the better rank, the dense rank, the sparse rank and the id, missing ranks last.
+    An id twice in a stream of a query is an error while read.
     """
     far = 1 << 30
+    dense, sparse = (_once(d) for d in (dense, sparse))
     both = dense.select("query_id", "id", F.col("rank").alias("dense_rank")).join(sparse.select("query_id", "id", F.col("rank").alias("sparse_rank")), ["query_id", "id"], "full_outer")
     part = lambda c: F.coalesce(1 / (F.lit(float(k)) + F.col(c)), F.lit(0.0))
     scored = both.withColumn("score", part("dense_rank") + part("sparse_rank"))
@@ -147,11 +120,40 @@ def fuse(dense: DataFrame, sparse: DataFrame, k: int = 60, limit: int = 50) -> D
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("query_id", "rank", "id", "dense_rank", "sparse_rank", F.round("score", 9).alias("score"))
 
 
-def rerank(candidates: DataFrame, scores: DataFrame, k: int) -> DataFrame:
-    """Candidates (query_id, rank, id) by new scores (query_id, id, score); equal scores keep their order, the old rank stays as base_rank."""
-    joined = candidates.join(scores, ["query_id", "id"])
+def rerank(candidates: DataFrame, scores: DataFrame, k: int, base_k: int) -> DataFrame:
+    """The first ``base_k`` candidates (query_id, rank, id) by new scores (query_id, id, score); equal scores keep their order, the old rank stays as base_rank.
+
+    More results than candidates asked for is an error; a score that is missing, NaN
+    or infinite is one while read.
+    """
+    if k > base_k:
+        raise ValueError(f"{k} results of {base_k} candidates")
+    joined = candidates.where(F.col("rank") <= base_k).join(scores, ["query_id", "id"], "left")
+    bad = F.col("score").isNull() | F.isnan("score") | (F.abs("score") == float("inf"))
+    sound = F.when(bad, F.raise_error(F.concat(F.lit("no finite score of "), F.col("id").cast("string"))).cast("double")).otherwise(F.col("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("rank"))
-    return joined.select("query_id", "id", "score", F.col("rank").alias("base_rank"), F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
+    return joined.withColumn("score", sound).select("query_id", "id", "score", F.col("rank").alias("base_rank"), F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
+
+
+def same_candidates(before: DataFrame, after: DataFrame, relevant: DataFrame, k: int = 50, tolerance: float = 1e-12) -> DataFrame:
+    """(query_id, before, after, same): recall at k, which reordering the candidates must not change."""
+
+    def recall(ranked: DataFrame, name: str) -> DataFrame:
+        hits = ranked.where(F.col("rank") <= k).select("query_id", "id").distinct().join(relevant.distinct(), ["query_id", "id"]).groupBy("query_id").agg(F.count("*").alias("n"))
+        wanted = relevant.distinct().groupBy("query_id").agg(F.count("*").alias("all"))
+        return wanted.join(hits, "query_id", "left").select("query_id", (F.coalesce("n", F.lit(0)) / F.col("all")).alias(name))
+
+    j = recall(before, "before").join(recall(after, "after"), "query_id")
+    return j.withColumn("same", F.abs(F.col("before") - F.col("after")) <= tolerance)
+
+
+def shaped(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Hits (query_id, rank, id, score) as results: citation_id of document and local id, the company, or its number where it has no name.
+
+    chunks: (id, document_id, local_id, company, cik, text).
+    """
+    name = F.coalesce(F.nullif(F.trim("company"), F.lit("")), F.concat(F.lit("CIK "), F.col("cik").cast("string")))
+    return hits.join(chunks, "id").select("query_id", "rank", F.concat_ws("::", "document_id", "local_id").alias("citation_id"), name.alias("company"), "document_id", "text", "score")
 
 
 def confidence(ranked: DataFrame) -> DataFrame:
@@ -160,16 +162,26 @@ def confidence(ranked: DataFrame) -> DataFrame:
     return ranked.groupBy("query_id").agg(F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("top1"), F.round(F.avg(F.when(F.col("rank") <= 3, F.col("score"))), 6).alias("mean3"), F.round(F.max(F.when(F.col("rank") == 1, F.col("score"))) - last, 6).alias("lead"))
 
 
-def youden(scored: DataFrame) -> DataFrame:
+def refused(features: DataFrame, threshold: float) -> DataFrame:
+    """Confidence features with whether the answer is refused: the best score lies below the threshold, or there is none."""
+    return features.withColumn("refused", F.coalesce(F.col("top1") < threshold, F.lit(True)))
+
+
+def youden(scored: DataFrame, blocks: int = 64) -> DataFrame:
     """The threshold on top1 that separates answerable (good = 1) from other queries best; the least of equals.
 
-    Counts below each distinct score come from one running sum over distinct scores.
+    Counts below each distinct score are running sums within blocks of scores, plus those of the blocks before.
     """
-    counts = scored.groupBy("top1").agg(F.count_if(F.expr("good = 1")).alias("pos"), F.count_if(F.expr("good = 0")).alias("neg"))
-    w = Window.orderBy("top1").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    run = counts.select("top1", F.coalesce(F.sum("pos").over(w), F.lit(0)).alias("below_pos"), F.coalesce(F.sum("neg").over(w), F.lit(0)).alias("below_neg"), F.sum("pos").over(everything).alias("all_pos"), F.sum("neg").over(everything).alias("all_neg"))
-    j = F.round(F.col("below_neg") / F.nullif(F.col("all_neg"), F.lit(0)) - F.col("below_pos") / F.nullif(F.col("all_pos"), F.lit(0)), 9)
+    counts = scored.where("top1 is not null").groupBy("top1").agg(F.count_if(F.expr("good = 1")).alias("pos"), F.count_if(F.expr("good = 0")).alias("neg"))
+    ends = counts.agg(F.min("top1").alias("low"), F.max("top1").alias("high"))
+    block = F.least(F.lit(blocks - 1), F.floor((F.col("top1") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0)) * blocks))
+    cut = counts.join(F.broadcast(ends), F.lit(True)).withColumn("block", F.coalesce(block, F.lit(0)))  # one row
+    sums = cut.groupBy("block").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    w, everything = Window.orderBy("block"), Window.partitionBy()  # a row a block
+    before = sums.select("block", (F.sum("p").over(w) - F.col("p")).alias("before_p"), (F.sum("n").over(w) - F.col("n")).alias("before_n"), F.sum("p").over(everything).alias("all_pos"), F.sum("n").over(everything).alias("all_neg"))
+    within = Window.partitionBy("block").orderBy("top1").rowsBetween(Window.unboundedPreceding, -1)
+    run = cut.select("block", "top1", F.coalesce(F.sum("pos").over(within), F.lit(0)).alias("p"), F.coalesce(F.sum("neg").over(within), F.lit(0)).alias("n")).join(F.broadcast(before), "block")
+    j = F.round((F.col("before_n") + F.col("n")) / F.nullif(F.col("all_neg"), F.lit(0)) - (F.col("before_p") + F.col("p")) / F.nullif(F.col("all_pos"), F.lit(0)), 9)
     return run.select(F.col("top1").alias("threshold"), j.alias("j")).orderBy(F.desc("j"), "threshold").limit(1)
 
 

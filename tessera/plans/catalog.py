@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import audit, documents, facts, guards, matching, metrics, sampling, search
+from tessera.operators import audit, documents, facts, fulltext, guards, matching, metrics, sampling, search
 from tessera.plans.registering import registry
 from tessera.session import table
 from tessera.streaming import events as stream
@@ -273,15 +273,16 @@ def _queries(s, d):
     return numbered.select("query_id", F.explode(F.regexp_extract_all(F.lower("description"), F.lit("([a-z0-9]+)"))).alias("term")).distinct()
 
 
+def _index(s, d, how=fulltext.Analysis()):
+    return fulltext.Index.of(table(s, d, "documents"), "doc_id", "text", how)
+
+
 def _bm25(s, d, k=50):
-    return search.bm25_texts(table(s, d, "documents"), _queries(s, d), k, "doc_id", "text")
+    return _index(s, d).search(_queries(s, d), k)
 
 
 def _overlap(s, d, k=50):
-    from pyspark.sql.window import Window
-
-    hits = search.terms(table(s, d, "documents"), "doc_id", "text").join(_queries(s, d), "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("n"))
-    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), "doc_id"))).where(F.col("rank") <= k).select("query_id", "rank", F.col("doc_id").alias("id"), "n")
+    return _index(s, d).overlap(_queries(s, d), k)
 
 
 @query(f"with {_BM25} select * from b")
@@ -291,7 +292,7 @@ def r6_bm25(s, d):
 
 @query(f"with {_POSTINGS} select term, count(*) as df, sum(tf)::bigint as tf from p group by 1")
 def r6_term_statistics(s, d):
-    return search.terms(table(s, d, "documents"), "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    return _index(s, d).postings().groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
 _FULL = "f as (select coalesce(o.query_id, b.query_id) as query_id, coalesce(o.doc_id, b.doc_id) as id, o.rank as dense_rank, b.rank as sparse_rank from o full join b on o.query_id = b.query_id and o.doc_id = b.doc_id)"
@@ -322,7 +323,7 @@ def a26_rank_movement(s, d):
 def r10_rerank(s, d):
     candidates = _bm25(s, d).withColumnRenamed("doc_id", "id")
     lengths = candidates.join(table(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("new")), "id").select("query_id", "id", F.col("new").alias("score"))
-    return search.rerank(candidates.drop("score"), lengths, 10)
+    return search.rerank(candidates.drop("score"), lengths, 10, 50)
 
 
 _HITS = f"h as ({_KNN.format(w='', k=10)})"

@@ -12,9 +12,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def with_checkpoints(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where that is unset, as in tests, a temporary one."""
+    """The folder named in spark.checkpoint.dir; where that is unset, a temporary one in local mode, and an error on a cluster, whose machines share none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not context.getCheckpointDir():
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-"))
     return context.getCheckpointDir()

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import audit, documents, facts, guards, metrics, sampling, search, security
+from tessera.operators import audit, documents, facts, fulltext, guards, metrics, sampling, search, security
 from tessera.sources import files
 from tessera.streaming import events
 
@@ -50,11 +50,47 @@ def test_fusion_order(spark):
     assert search.fuse(d.limit(0), s).count() == 3
 
 
-def test_bm25_terms(spark):
-    df = spark.createDataFrame([(1, "revenue revenue grew"), (2, "Revenue"), (3, "other"), (4, None), (5, "")], "doc_id int, text string")
-    p = search.terms(df, "doc_id", "text")
-    q = spark.createDataFrame([(1, "revenue"), (1, "revenue")], "query_id int, term string")
-    assert {r.doc_id for r in search.bm25(p, q, 5, "doc_id").collect()} == {1, 2}
+def test_stored_index(spark, tmp_path):
+    df = spark.createDataFrame([(1, "revenue revenue grew"), (2, "Revenue"), (3, "other"), (4, None), (5, "")], "doc_id int, text string").withColumn("term", F.lit("clash"))
+    index = fulltext.Index.write(df, "doc_id", "text", str(tmp_path / "i"))
+    q = spark.createDataFrame([(1, "revenue"), (1, "revenue"), (2, "nothing"), (3, None)], "query_id int, term string")
+    assert {r.doc_id for r in index.search(q, 5).collect()} == {1, 2} and index.docs == 3
+    assert rows(index.search(q, 5)) == rows(index.search(q, 5, inline=0))  # terms pushed down, and joined
+    assert index.search(q.limit(0), 5).count() == 0
+    empty = fulltext.Index.write(df.limit(0), "doc_id", "text", str(tmp_path / "e"))
+    assert empty.search(q, 5).count() == 0
+    with pytest.raises(ValueError):
+        index.search(q, 0)
+
+
+def test_analysis():
+    how = fulltext.Analysis(fold=True, stop=True, stem=True)
+    assert fulltext.words("The Résumés of straße, hopping and " + "x" * 41, how) == ["resume", "strasse", "hop"]
+    assert fulltext.words("", how) == [] and fulltext.words("Net-Income 2019") == ["net", "income", "2019"]
+
+
+def test_embeddings_are_of_unit_length(spark):
+    df = spark.createDataFrame([(1, "net income rose"), (2, None), (3, "!"), (4, "net income rose")], "k bigint, t string")
+    got = {r.k: r.embedding for r in fulltext.embedded(df, "k", "t").collect()}
+    assert set(got) == {1, 3, 4} and got[1] == got[4] and sum(x * x for x in got[1]) == pytest.approx(1) and not any(got[3])
+
+
+def test_streams_and_scores_are_checked(spark):
+    d = spark.createDataFrame([(1, 1, "a"), (1, 2, "a")], "query_id int, rank int, id string")
+    one = d.where("rank = 1")
+    with pytest.raises(Exception, match="twice"):
+        search.fuse(d, one).collect()
+    with pytest.raises(ValueError):
+        search.rerank(one, one, 3, 2)
+    for bad in (None, float("nan"), float("inf")):
+        with pytest.raises(Exception, match="no finite score"):
+            search.rerank(one, one.select("query_id", "id", F.lit(bad).cast("double").alias("score")), 1, 1).collect()
+
+
+def test_ties_at_the_edge_keep_k(spark):
+    v = spark.createDataFrame([(i, [0.0, 0.0] if i < 40 else [1.0, 0.0]) for i in range(80)], "vec_id bigint, embedding array<double>").repartition(3)
+    got = search.knn(v, v.where("vec_id in (3, 77)"), 4, 2)
+    assert rows(got.select("query_id", "rank", "id")) == [(3, i, x) for i, x in enumerate((0, 1, 2, 4), 1)] + [(77, i, 39 + i) for i in range(1, 5)]
 
 
 def test_metrics(spark):
