@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -35,6 +36,120 @@ def markdown(filings: DataFrame) -> DataFrame:
     return filings.select(F.col("filename").alias("document_id"), F.when(F.size(filled) > 0, F.concat(F.array_join(filled, "\n\n"), F.lit("\n"))).alias("body"), F.size(filled).alias("headings"))
 
 
+def _quoted(c: str) -> Column:
+    """A value of the front matter: a JSON text, or null."""
+    return F.coalesce(F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(F.col(c).cast("string"), "\\\\", "\\\\\\\\"), '"', "\\\\\""), F.lit('"')), F.lit("null"))
+
+
+def rendered(filings: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """(document_id, text, headings): the Markdown of a filing under front matter with the named columns (name: column); one without text has no body."""
+    named = [F.concat(F.lit(f"{name}: "), _quoted(column)) for name, column in fields.items()]
+    front = filings.select(F.col("filename").alias("document_id"), F.concat(F.lit("---\n"), F.array_join(F.array(*named), "\n"), F.lit("\n---\n")).alias("front"))
+    return front.join(markdown(filings), "document_id").select("document_id", F.concat("front", F.coalesce(F.concat(F.lit("\n"), "body"), F.lit(""))).alias("text"), "headings")
+
+
+def parsed(texts: DataFrame, key: str, text: str, fields: list[str]) -> DataFrame:
+    """(key, fields, body) of rendered texts; a field that is not there is null, a text without front matter is all body."""
+    whole = F.regexp_extract(text, r"(?s)\A---\n(.*?)\n---\n\n?(.*)\z", 1)
+    has = F.col(text).rlike(r"(?s)\A---\n.*?\n---\n")
+
+    def field(name: str) -> Column:
+        line = F.regexp_extract(F.concat(F.lit("\n"), whole, F.lit("\n")), rf'\n{name}: "((?:[^"\\]|\\.)*)"\n', 1)
+        there = F.concat(F.lit("\n"), whole, F.lit("\n")).rlike(rf'\n{name}: "')
+        return F.when(there, F.regexp_replace(line, r"\\(.)", "$1")).alias(name)
+
+    return texts.select(key, *(field(f) for f in fields), F.when(has, F.regexp_extract(text, r"(?s)\A---\n(.*?)\n---\n\n?(.*)\z", 2)).otherwise(F.col(text)).alias("body"))
+
+
+def render_faults(filings: DataFrame, texts: DataFrame) -> DataFrame:
+    """(document_id, fault) of rendered texts (document_id, text): headings that are not as many as non-blank sections, no newline or several at the end, carriage returns, no front matter; missing texts."""
+    want = markdown(filings).select("document_id", F.col("headings").alias("want"))
+    j = want.join(texts.select("document_id", "text"), "document_id", "left")
+    got = F.size(F.regexp_extract_all("text", F.lit(r"(?m)^(## Item (?:1[0-5]?|[2-9])[A-C]?)$"), 1))
+    rules = ((F.col("text").isNull(), "missing"), (F.col("text").isNotNull() & (got != F.col("want")), "headings"), (~F.col("text").rlike(r"(?s)[^\n]\n\z"), "end"), (F.col("text").contains("\r"), "carriage_return"), (~F.col("text").startswith("---\n"), "front_matter"))
+    return j.select("document_id", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(n)) for c, n in rules)))).alias("fault"))
+
+
+def offset_windows(texts: DataFrame, key: str, text: str, size: int, overlap: int) -> DataFrame:
+    """(key, ordinal, char_start, char_end, tokens, chunk): windows of blank-separated words with their half-open range of characters; chunk is the text's own slice, blanks within it kept."""
+    if not 0 <= overlap < size:
+        raise ValueError("the overlap must be less than the size")
+    stride = size - overlap
+    word = re.compile(r"[^ \t\n\r\f\v]+")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, rows = [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                spans = [m.span() for m in word.finditer(t)]
+                start = n = 0
+                while start < len(spans):
+                    last = min(start + size, len(spans))
+                    a, z = spans[start][0], spans[last - 1][1]
+                    at.append(i)
+                    rows.append((n, a, z, last - start, t[a:z]))
+                    if last == len(spans):
+                        break
+                    start, n = start + stride, n + 1
+            types = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array([r[k] for r in rows], ty) for k, ty in enumerate(types))], names=[key, "ordinal", "char_start", "char_end", "tokens", "chunk"])
+
+    slim = texts.where(F.col(text).isNotNull()).select(key, F.col(text).alias("__t"))
+    return slim.mapInArrow(run, f"{key} {slim.schema[key].dataType.simpleString()}, ordinal int, char_start int, char_end int, tokens int, chunk string")
+
+
+def page_chunks(pages: DataFrame, size: int, overlap: int) -> DataFrame:
+    """Windows of pages (document_id, page, text) that cross no page, with ids document::p0001::chunk0."""
+    marked = pages.withColumn("__page", F.concat_ws("\0", "document_id", F.col("page").cast("string")))
+    cut = offset_windows(marked, "__page", "text", size, overlap)
+    parts = F.split("__page", "\0")
+    named = cut.withColumns({"document_id": parts[0], "page": parts[1].cast("int")})
+    return named.select("document_id", "page", F.concat(F.col("document_id"), F.lit("::p"), F.lpad(F.col("page").cast("string"), 4, "0"), F.lit("::chunk"), F.col("ordinal").cast("string")).alias("chunk_id"), "ordinal", "char_start", "char_end", "tokens", "chunk")
+
+
+def table_parts(rows: DataFrame, key: str, order: str, text: str, header: str, most: int = 50) -> DataFrame:
+    """(key, part, rows, table): a table's body rows in groups of ``most``, each a Markdown table under the repeated header row."""
+    body = rows.where(~F.col(header)).withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(order)))
+    grouped = body.groupBy(key, F.floor((F.col("__n") - 1) / most).cast("int").alias("part")).agg(F.count("*").cast("int").alias("rows"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("__n", F.col(text).alias("t")))), lambda x: F.concat(F.lit("| "), x["t"], F.lit(" |"))), "\n").alias("__body"))  # ``most`` rows a group
+    heads = rows.where(F.col(header)).groupBy(key).agg(F.min_by(text, order).alias("__head"))
+    bar = F.array_join(F.transform(F.split("__head", "\\|"), lambda _: F.lit("---")), " | ")
+    head = F.concat(F.lit("| "), F.col("__head"), F.lit(" |\n| "), bar, F.lit(" |\n"))
+    return grouped.join(heads, key, "left").select(key, "part", "rows", F.concat(F.coalesce(head, F.lit("")), "__body").alias("table"))
+
+
+def period_of(start: Column, end: Column) -> Column:
+    """(ddate, qtrs) of a context: its end as YYYYMMDD, and its quarters; 0 for an instant, else the months (a begun one counts if its day is reached) by three, rounded, one at least. A date that cannot be read gives null."""
+    a, z = F.try_to_date(start, "yyyy-MM-dd"), F.try_to_date(end, "yyyy-MM-dd")
+    months = (F.year(z) - F.year(a)) * 12 + F.month(z) - F.month(a) + (F.dayofmonth(z) >= F.dayofmonth(a)).cast("int")
+    quarters = F.when(start.isNull(), 0).otherwise(F.greatest(F.lit(1), F.bround(months / 3))).cast("int")
+    return F.struct(F.date_format(z, "yyyyMMdd").alias("ddate"), F.when(z.isNotNull() & (start.isNull() | a.isNotNull()), quarters).alias("qtrs"))
+
+
+def iso_date(text: Column) -> Column:
+    """Whether a text is a real date written YYYY-MM-DD."""
+    return F.coalesce(text.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & F.try_to_date(text, "yyyy-MM-dd").isNotNull(), F.lit(False))
+
+
+#: ids by what they name
+IDS = {
+    "chunk": lambda document, ordinal: F.concat(document, F.lit("::chunk"), ordinal.cast("string")),
+    "local": lambda ordinal, section: F.concat(F.coalesce(section, F.lit("body")), F.lit("::"), F.lpad(ordinal.cast("string"), 6, "0")),
+    "evidence": lambda document, element, order: F.concat(document, F.lit("#fact-"), F.coalesce(element, F.concat(F.lit("order-"), F.lpad(order.cast("string"), 5, "0")))),
+    "page_chunk": lambda document, page, ordinal: F.concat(document, F.lit("::p"), F.lpad(page.cast("string"), 4, "0"), F.lit("::chunk"), ordinal.cast("string")),
+    "output": lambda document: F.concat(F.regexp_replace(document, "[^A-Za-z0-9._-]", "_"), F.lit(".md")),
+    "document": lambda cik, accession: F.concat(cik.cast("string"), F.lit("_"), accession),
+    "uid": lambda *parts: F.sha2(F.concat_ws("\0", *parts), 256),
+}
+
+
+def judged(response: Column) -> Column:
+    """(label, reason) of a judge's JSON answer, also one within a code fence; anything but supported or unsupported gives no label."""
+    bare = F.regexp_replace(F.trim(response), r"(?s)\A```(?:json)?\s*|\s*```\z", "")
+    read = F.from_json(bare, "label string, reason string")
+    label = F.lower(F.trim(read["label"]))
+    return F.struct(F.when(label.isin("supported", "unsupported"), label).alias("label"), read["reason"].alias("reason"))
+
+
 def token_windows(texts: DataFrame, key: str, text: str, size: int, overlap: int) -> DataFrame:
     """(key, ordinal, first_token, tokens, chunk): windows of blank-separated words; the last one ends at the last word."""
     if not 0 <= overlap < size:

@@ -517,11 +517,6 @@ def d9_evidence_alignment(s, d):
     return documents.aligned(evidence, table(s, d, "chunks").select("document_id", F.col("chunk_id").alias("node_id"), "text"))
 
 
-@query()
-def w7_heading_spans(s, d):
-    return documents.heading_spans(table(s, d, "documents"), "doc_id", "text").groupBy("heading").agg(F.count("*").alias("spans"), F.count_if(F.expr("current")).alias("current"))
-
-
 @query(f"""with c as (select distinct case_id, supplied_chunk_ids as given, unnest(list_distinct(regexp_extract_all(answer, '\\[([^\\[\\]]+::chunk\\d+)\\]', 1))) as id from {RERUN} where answer is not null)
 select case_id, count(*) as cited, count(*) filter (id not in (select chunk_id from chunks where chunk_id is not null)) as unknown, count(*) filter (not coalesce(list_contains(given, id), false)) as not_supplied from c group by 1""")
 def d16_citation_verdicts(s, d):

@@ -37,8 +37,11 @@ def labelled_union(parts: dict[str, DataFrame], column: str = "split") -> DataFr
 
 
 def file_inventory(spark: SparkSession, glob: str) -> DataFrame:
-    """(path, bytes, sha256, empty, copies) of files; contents are hashed where they lie."""
-    files = spark.read.format("binaryFile").load(glob).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """(path, bytes, sha256, empty, copies) of files; contents are hashed where they lie. Empty files, which no scan gives, are taken from the listing."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(glob)
+    listed = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []
+    none = [(f.getPath().toString(), 0, hashlib.sha256(b"").hexdigest()) for f in listed if f.isFile() and f.getLen() == 0]
+    files = spark.read.format("binaryFile").load(glob).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).unionByName(spark.createDataFrame(none, "path string, bytes bigint, sha256 string"))
     copies = files.groupBy("sha256").agg(F.count("*").alias("copies"))
     return files.join(copies, "sha256").select("path", "bytes", "sha256", (F.col("bytes") == 0).alias("empty"), "copies")
 
@@ -72,8 +75,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def write_partitioned(df: DataFrame, path: str, by: list[str]) -> bool:
-    """Partitioned Parquet, one writer a partition value unless that is large; an equal table already there is kept (False), another is an error."""
+def write_partitioned(df: DataFrame, path: str, by: list[str], rows: int = 5_000_000) -> bool:
+    """Partitioned Parquet, a writer for every ``rows`` rows of a partition value; an equal table already there is kept (False), another is an error."""
     spark = df.sparkSession
     if _exists(spark, f"{path}/_SUCCESS"):
         there = spark.read.parquet(path).select(*df.columns)
@@ -81,12 +84,54 @@ def write_partitioned(df: DataFrame, path: str, by: list[str]) -> bool:
         if table_mark(typed)["hashes"] != table_mark(df)["hashes"]:
             raise ValueError(f"{path} holds another table")
         return False
-    df.repartition(*by).write.partitionBy(*by).parquet(path)
+    # At most a row for every ``rows`` rows.
+    large = df.groupBy(*by).agg(F.count("*").alias("__n")).where(F.col("__n") > rows).select(*(F.col(c).alias(f"__k_{c}") for c in by), "__n")
+    keyed = df.join(F.broadcast(large), [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in by], "left").select(*df.columns, F.pmod(F.xxhash64(*df.columns), F.coalesce(F.ceil(F.col("__n") / rows), F.lit(1))).alias("__writer"))
+    keyed.repartition(*by, "__writer").drop("__writer").write.partitionBy(*by).parquet(path)
     return True
 
 
-def write_shards(df: DataFrame, path: str, rows: int = 200_000) -> None:
-    df.write.option("maxRecordsPerFile", rows).option("compression", "zstd").parquet(path)
+def partitioned(spark: SparkSession, path: str, **values) -> DataFrame:
+    """A partitioned table, only the directories of the given partition values."""
+    df = spark.read.parquet(path)
+    for name, value in values.items():
+        df = df.where(F.col(name) == F.lit(value))
+    return df
+
+
+def attach(spark: SparkSession, folder: str, names: list[str], prefix: str = "") -> list[str]:
+    """Temporary views of the tables of a folder, for queries in SQL; nothing can be written through them."""
+    views = []
+    for name in names:
+        spark.read.parquet(f"{folder}/{name}.parquet").createOrReplaceTempView(prefix + name)
+        views.append(prefix + name)
+    return views
+
+
+def write_shards(df: DataFrame, path: str, rows: int = 200_000) -> DataFrame:
+    """Shards of a bounded number of rows, published at once: written beside the path and renamed when whole. (shard, bytes, sha256) of each.
+
+    Shards that are there already are kept.
+    """
+    spark = df.sparkSession
+    if not _exists(spark, f"{path}/_SUCCESS"):
+        jvm = spark._jvm
+        part, final = jvm.org.apache.hadoop.fs.Path(f"{path}.part"), jvm.org.apache.hadoop.fs.Path(path)
+        fs = final.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.delete(part, True)  # what an interrupted run left
+        df.write.option("maxRecordsPerFile", rows).option("compression", "zstd").parquet(f"{path}.part")
+        if not fs.rename(part, final):
+            raise OSError(f"{path} could not be published")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select(F.substring_index("path", "/", -1).alias("shard"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def resumable(identity_there: str | None, identity_now: str) -> bool:
+    """Whether work goes on from a checkpoint: nothing there is a fresh start (False), the same identity goes on, another one is an error."""
+    if identity_there is None:
+        return False
+    if identity_there != identity_now:
+        raise ValueError("the checkpoint belongs to other work")
+    return True
 
 
 def append_unique(df: DataFrame, path: str, key: list[str]) -> None:
@@ -121,15 +166,33 @@ def identity(value) -> str:
     return hashlib.sha256(canonical_json(value)).hexdigest()
 
 
-def write_record(path: str, record: dict) -> None:
-    """A run record with its own hash, written once; an existing file is never overwritten."""
-    with open(path, "x") as f:
-        f.write(json.dumps(record | {"record_sha256": identity(record)}, sort_keys=True))
-
-
-def read_record(path: str) -> dict:
-    with open(path) as f:
-        record = json.load(f)
+def write_record(path: str, record: dict, spark: SparkSession | None = None) -> None:
+    """A run record with its own hash, written once; an existing file is never overwritten.
+
+    With a session it is written to the file system of the path, which a cluster shares.
+    """
+    text = json.dumps(record | {"record_sha256": identity(record)}, sort_keys=True)
+    if spark is None:
+        with open(path, "x") as f:
+            f.write(text)
+        return
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, False)
+    except Exception as e:
+        if "exist" in str(e).lower():
+            raise FileExistsError(path) from e
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def read_record(path: str, spark: SparkSession | None = None) -> dict:
+    if spark is None:
+        with open(path) as f:
+            record = json.load(f)
+    else:
+        record = json.loads(spark.read.text(path, wholetext=True).first()[0])
     mark = record.pop("record_sha256", None)
     if mark != identity(record):
         raise ValueError(f"{os.path.basename(path)} was changed")
@@ -154,3 +217,15 @@ def read_registry(text: str) -> dict[str, dict[str, str]]:
         else:
             current[name] = value.strip().strip("\"'")
     return out
+
+
+def typed_registry(spark: SparkSession, text: str) -> DataFrame:
+    """(name, enabled, quarters, unit, label) of a registry of concepts; a wrong period, missing field or repeated name is an error."""
+    rows = []
+    for name, spec in read_registry(text).items():
+        period = spec.get("period_type")
+        quarters = int(spec["qtrs"]) if spec.get("qtrs", "").isdigit() else None
+        if quarters != {"instant": 0, "duration": 4}.get(period) or not spec.get("unit"):
+            raise ValueError(f"{name}: a balance has 0 quarters, an amount 4, and both a unit")
+        rows.append((name, spec.get("enabled", "true") == "true", quarters, spec["unit"], spec.get("label")))
+    return spark.createDataFrame(rows, "name string, enabled boolean, quarters int, unit string, label string")

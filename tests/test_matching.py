@@ -77,7 +77,7 @@ XML = """<html xmlns:ix="x" xmlns:xbrli="y"><xbrli:context id="c"><xbrli:entity>
 
 
 def test_inline_facts(spark):
-    df = spark.createDataFrame([("d", XML), ("bad", "<a>"), ("n", None)], "id string, xml string")
+    df = spark.createDataFrame([("d", XML), ("bad", "no markup"), ("n", None)], "id string, xml string")
     got = {(r.document_id, r.fact_order): r for r in inline.inline_facts(df, "id", "xml").collect()}
     a, n = got["d", 0], got["d", 1]
     assert (a.name, a.entity, a.end, a.unit, a.scale, a.sign, a.display, a.error) == ("Assets", "7", "2019-12-31", "iso4217:USD", 3, "-", "1,2", None)
