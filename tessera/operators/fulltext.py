@@ -96,11 +96,11 @@ def sanitized(query: str) -> str:
 
 
 def postings(texts: DataFrame, key: str, text: str, how: Analysis = Analysis()) -> DataFrame:
-    """(key, term, tf, length): the words of each text with their counts and the text's number of words. Null and wordless texts have none; a key stands for one text."""
+    """(key, term, tf, length, first): the words of each text with their counts, the text's number of words and 1 on one posting of each text. Null and wordless texts have none; a key stands for one text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, terms, counts, lengths = [], [], [], []
+            at, terms, counts, lengths, first = [], [], [], [], []
             for i, t in enumerate(b.column(1).to_pylist()):
                 found = words(t, how)
                 count = Counter(found)
@@ -108,10 +108,11 @@ def postings(texts: DataFrame, key: str, text: str, how: Analysis = Analysis())
                 terms += count
                 counts += count.values()
                 lengths += [len(found)] * len(count)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(terms, pa.string()), pa.array(counts, pa.int64()), pa.array(lengths, pa.int64())], names=[key, "term", "tf", "length"])
+                first += [1, *[0] * (len(count) - 1)] if count else []
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(terms, pa.string()), pa.array(counts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(first, pa.int64())], names=[key, "term", "tf", "length", "first"])
 
     slim = texts.where(F.col(text).isNotNull()).select(key, F.col(text).cast("string").alias("__text"))
-    return slim.mapInArrow(run, f"{key} {slim.schema[key].dataType.simpleString()}, term string, tf bigint, length bigint")
+    return slim.mapInArrow(run, f"{key} {slim.schema[key].dataType.simpleString()}, term string, tf bigint, length bigint, first bigint")
 
 
 class Index:
@@ -131,8 +132,7 @@ class Index:
         spread = made.repartition(F.col("term"), F.pmod(F.xxhash64(key), F.lit(4)))
         spread.sortWithinPartitions("term").write.option("compression", "zstd").parquet(f"{path}/postings")
         stored = spark.read.parquet(f"{path}/postings")
-        # Every text has one length, told by each of its postings: the sum of tf is the sum of the lengths.
-        total = stored.agg(F.count_distinct(key).alias("docs"), F.sum("tf").alias("words"))
+        total = stored.agg(F.coalesce(F.sum("first"), F.lit(0)).alias("docs"), F.sum("tf").alias("words"))
         total.select("docs", (F.col("words") / F.nullif(F.col("docs"), F.lit(0))).alias("mean")).coalesce(1).write.parquet(f"{path}/totals")
         return cls(spark, path, key)
 
@@ -157,7 +157,7 @@ class Index:
 
     def postings(self, terms: list[str] | None = None) -> DataFrame:
         """All postings, or those of some terms, which are pushed to the files."""
-        df = self.spark.read.parquet(f"{self.path}/postings")
+        df = self.spark.read.parquet(f"{self.path}/postings").drop("first")
         return df if terms is None else df.where(F.col("term").isin(terms)) if terms else df.limit(0)
 
     def search(self, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, inline: int = 2000) -> DataFrame:
