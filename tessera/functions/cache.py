@@ -42,3 +42,14 @@ class ResultCache:
         while len(self.held) > self.most:
             self.held.popitem(last=False)
             self.counts["evicted"] += 1
+
+
+def replay(keys: list[str], most: int, seconds: float, times: list[float]) -> dict[str, int]:
+    """The counts of a cache that is asked for keys at given times, each put in where it was missing."""
+    now = [0.0]
+    cache = ResultCache(most, seconds, lambda: now[0])
+    for key, at in zip(keys, times, strict=True):
+        now[0] = at
+        if cache.get(key) is None:
+            cache.put(key, key)
+    return dict(cache.counts)

@@ -192,6 +192,66 @@ def aligned(evidence: DataFrame, nodes: DataFrame) -> DataFrame:
     return evidence.select("evidence_id").join(found, "evidence_id", "left").select("evidence_id", status.alias("status"), F.coalesce("nodes", F.lit(0)).alias("nodes"), F.when(status == "exact", F.col("node_id")).alias("node_id"))
 
 
+#: marks that begin list entries, taken away where texts are compared
+_BULLETS = "[•●▪◦‣·*–—-]"
+
+
+def even_text(c: Column) -> Column:
+    """A text for comparison: list marks at the beginning of lines and runs of white space taken away, lower case kept."""
+    return F.trim(F.regexp_replace(F.regexp_replace(c, f"(?m)^[ \\t]*{_BULLETS}[ \\t]+", " "), "\\s+", " "))
+
+
+def evidence_pages(items: DataFrame, pages: DataFrame) -> DataFrame:
+    """(item_id, status, page) of evidence (item_id, document_id, page, evidence_text): exact on its page, normalized there, adjacent (the only one of both neighbours), ambiguous (both), or none.
+
+    pages: (document_id, page, text), a page number once a document. Blank evidence is found nowhere.
+    """
+    near = items.where(F.length(F.trim("evidence_text")) > 0).select("item_id", "document_id", "page", "evidence_text", F.explode(F.array(F.col("page") - 1, F.col("page"), F.col("page") + 1)).alias("near"))
+    j = near.join(pages.select("document_id", F.col("page").alias("near"), "text"), ["document_id", "near"])
+    exact = F.expr("instr(text, evidence_text) > 0")
+    same = j.select("item_id", "page", "near", exact.alias("exact"), (exact | (F.instr(even_text(F.col("text")), F.lit("")) > 0) & even_text(F.col("text")).contains(even_text(F.col("evidence_text")))).alias("even"))
+    own, beside = F.col("near") == F.col("page"), F.col("near") != F.col("page")
+    found = same.groupBy("item_id").agg(F.max((own & F.col("exact")).cast("int")).alias("e"), F.max((own & F.col("even")).cast("int")).alias("n"), F.count_if(beside & F.col("even")).alias("k"), F.min(F.when(beside & F.col("even"), F.col("near"))).alias("at"))
+    status = F.when(F.col("e") == 1, "exact").when(F.col("n") == 1, "normalized").when(F.col("k") == 1, "adjacent").when(F.col("k") > 1, "ambiguous").otherwise("none")
+    return items.select("item_id", F.col("page").alias("__p")).join(found, "item_id", "left").select("item_id", status.alias("status"), F.when(status.isin("exact", "normalized"), F.col("__p")).when(status == "adjacent", F.col("at")).alias("page"))
+
+
+def gold_chunks(aligned_items: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(item_id, chunk_ids) of aligned evidence (item_id, document_id, page, evidence_text): the chunks (document_id, page, chunk_id, chunk) of its page that share it, whole or where it begins or ends in them; all chunks of the page where none does."""
+    here = aligned_items.where(F.col("page").isNotNull()).join(chunks, ["document_id", "page"])
+    needle, text = even_text(F.col("evidence_text")), even_text(F.col("chunk"))
+    head, tail = F.substring(needle, 1, 40), F.expr("right(__needle, 40)")
+    marked = here.withColumn("__needle", needle).withColumn("hit", text.contains(F.col("__needle")) | F.col("__needle").contains(text) | text.contains(head) | text.contains(tail))
+    ids = marked.groupBy("item_id").agg(F.sort_array(F.collect_set(F.when(F.col("hit"), F.col("chunk_id")))).alias("some"), F.sort_array(F.collect_set("chunk_id")).alias("every"))
+    return ids.select("item_id", F.when(F.size("some") > 0, F.col("some")).otherwise(F.col("every")).alias("chunk_ids"))
+
+
+def section_windows(filings: DataFrame, size: int, overlap: int) -> DataFrame:
+    """(document_id, section_id, ordinal, char_start, char_end, tokens, chunk): windows of each section, none across a heading; ordinals count through the document, offsets are within the section."""
+    parts = sections(filings).withColumn("__key", F.concat_ws("\0", "document_id", F.lpad(F.col("ordinal").cast("string"), 3, "0"), "section_id")).select("__key", "text")
+    cut = offset_windows(parts, "__key", "text", size, overlap)
+    piece = F.split("__key", "\0")
+    w = Window.partitionBy("document_id").orderBy("__key", "ordinal")  # the windows of a filing
+    return cut.withColumns({"document_id": piece[0], "section_id": piece[2]}).withColumn("__n", F.row_number().over(w) - 1).select("document_id", "section_id", F.col("__n").alias("ordinal"), "char_start", "char_end", "tokens", "chunk")
+
+
+#: a heading that names an item of the canonical list
+_CANONICAL = r"(?i)^\s*item\s+(1[0-5]|[1-9])([abc]?)\b"
+
+
+def detected_sections(nodes: DataFrame, key: str = "key", order: str = "source_order") -> DataFrame:
+    """Nodes (key, order, node_type, text) with section_id: that of the last heading before them that names an item.
+
+    Of several headings of an item the last one counts, so that a table of contents
+    opens no section. Nodes before the first section have none.
+    """
+    item = F.concat(F.lit("item_"), F.regexp_extract("text", _CANONICAL, 1), F.lower(F.regexp_extract("text", _CANONICAL, 2)))
+    named = nodes.withColumn("__item", F.when((F.col("node_type") == "heading") & F.col("text").rlike(_CANONICAL), item))
+    last = F.max(F.when(F.col("__item").isNotNull(), F.col(order))).over(Window.partitionBy(key, "__item"))
+    opening = named.withColumn("section_id", F.when(F.col("__item").isNotNull() & (F.col(order) == last), F.col("__item")))
+    return filled_sections(opening, key, order, "section_id").drop("__item")
+
+
 class _Nodes(HTMLParser):
     """Headings, paragraphs, list items and table rows in source order; scripts, styles and hidden parts are skipped."""
 

@@ -109,3 +109,22 @@ def equal_sets(left: DataFrame, right: DataFrame) -> DataFrame:
     sides = left.select(name, F.lit(1).alias("l"), F.lit(0).alias("r")).union(right.select(F.col(right.columns[0]).alias(name), F.lit(0), F.lit(1))).where(F.col(name).isNotNull())
     each = sides.groupBy(name).agg(F.max("l").alias("l"), F.max("r").alias("r"))
     return each.agg((F.count_if(F.expr("l = 0 or r = 0")) == 0).alias("equal"))
+
+
+def applicability(questions: DataFrame, shapes: DataFrame) -> DataFrame:
+    """Questions with whether retrieval applies to their (category, subtype); a shape that is not in the table is an error while read.
+
+    shapes: (category, subtype, applicable), a small table; a null subtype is a shape of its own.
+    """
+    known = shapes.select(F.col("category").alias("__c"), F.col("subtype").alias("__s"), "applicable", F.lit(1).alias("__k"))
+    j = questions.join(F.broadcast(known), F.col("category").eqNullSafe(F.col("__c")) & F.col("subtype").eqNullSafe(F.col("__s")), "left")
+    unknown = F.raise_error(F.concat(F.lit("an unknown shape: "), F.coalesce("category", F.lit("-")), F.lit(" "), F.coalesce("subtype", F.lit("-")))).cast("boolean")
+    return j.withColumn("applicable", F.when(F.col("__k").isNull(), unknown).otherwise(F.col("applicable"))).drop("__c", "__s", "__k")
+
+
+def next_access(log: DataFrame, test_set: str, most: int = 3) -> int:
+    """The number of the next access to a held-out set, from the log of accesses (test_set); beyond ``most`` it is refused."""
+    number = log.where(F.col("test_set") == test_set).count() + 1
+    if number > most:
+        raise PermissionError(f"{test_set} was read {most} times already")
+    return number

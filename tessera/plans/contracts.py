@@ -23,7 +23,7 @@ def _examples(s, rows, schema):
 
 def _expected(names: str, rows) -> str:
     """The rows that a query over examples must give, spelled out as SQL."""
-    one = lambda v: "null" if v is None else _text(v) if isinstance(v, str) else str(v)
+    one = lambda v: "null" if v is None else _text(v) if isinstance(v, str) else f"{v}::double" if isinstance(v, float) else str(v)
     return f"select * from (values {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) t({names})"
 
 
@@ -279,12 +279,12 @@ def d27_evidence(s, d):
 
 
 @query("select chunk_id, document_id, token_count from chunks where cik = 7000000 and fiscal_year = 2014")
-def p8_safe_predicate(s, d):
+def safe_predicate(s, d):
     return table(s, d, "chunks").where(facts.wanted(cik=7000000, fiscal_year=2014)).select("chunk_id", "document_id", "token_count")
 
 
 @query("select chunk_id, length(text) as chars from chunks where chunk_id = (select min(chunk_id) from chunks)")
-def p9_point_lookup(s, d):
+def point_lookup(s, d):
     chunks = table(s, d, "chunks")
     first = chunks.agg(F.min("chunk_id")).first()[0]
     return chunks.where(F.col("chunk_id") == F.lit(first)).select("chunk_id", F.length("text").alias("chars"))
