@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import cache
 from tessera.operators import documents, evaluation, guards, metrics, sampling, security
-from tessera.plans.catalog import _BM25, _LONG, RERUN, _bm25
+from tessera.plans.catalog import _BM25, _LONG, RERUN, _bm25, _integer
 from tessera.plans.contracts import _POISON, _examples, _expected
 from tessera.plans.corpus import _outcome
 from tessera.plans.registering import registry
@@ -58,7 +58,7 @@ def d9_gold_chunks(s, d):
 @query("select s.cik, s.fiscal_year, count(distinct s.adsh) as filings, min(s.name) as name from submissions s where exists (select 1 from edgar e where try_cast(e.cik as bigint) = s.cik and try_cast(e.year as int) = s.fiscal_year) group by 1, 2")
 def j7_joined_population(s, d):
     """Companies and years that have a filing text, with their submissions."""
-    e = table(s, d, "edgar").select(F.expr("try_cast(cik as bigint)").alias("cik"), F.expr("try_cast(year as int)").alias("fiscal_year")).distinct()
+    e = table(s, d, "edgar").select(_integer("cik", "bigint").alias("cik"), _integer("year", "int").alias("fiscal_year")).distinct()
     return table(s, d, "submissions").join(e, ["cik", "fiscal_year"]).groupBy("cik", "fiscal_year").agg(F.countDistinct("adsh").alias("filings"), F.min("name").alias("name"))
 
 
@@ -142,4 +142,4 @@ _MARKED = f"select case_id, trim(regexp_replace(regexp_replace(answer, '(?m)^[ \
 def even_texts(s, d):
     """Answers without list marks and with white space made even (plain ones: engines differ in what is white space beyond ASCII)."""
     even = documents.even_text(F.col("answer"))
-    return table(s, d, RERUN).where("answer is not null").select("case_id", even.alias("even")).where(~F.col("even").rlike("[^\\x00-\\x7F]")).select("case_id", F.sha2("even", 256).alias("mark"))
+    return table(s, d, RERUN).where(~F.col("answer").rlike("[^\\x00-\\x7F]")).select("case_id", F.sha2(even, 256).alias("mark"))
