@@ -138,7 +138,7 @@ def security_telemetry(s, d):
 _MARKED = f"select case_id, trim(regexp_replace(regexp_replace(answer, '(?m)^[ \\t]*[•●▪◦‣·*–—-][ \\t]+', ' ', 'g'), '\\s+', ' ', 'g')) as even from {RERUN} where answer is not null"
 
 
-@query(f"select case_id, sha256(even) as mark from ({_MARKED}) where not regexp_matches(even, '[^\\x00-\\x7F]')")
+@query(f"select case_id, sha256(even) as mark from ({_MARKED} and not regexp_matches(answer, '[^\\x00-\\x7F]'))")
 def even_texts(s, d):
     """Answers without list marks and with white space made even (plain ones: engines differ in what is white space beyond ASCII)."""
     even = documents.even_text(F.col("answer"))
