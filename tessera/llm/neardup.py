@@ -171,11 +171,12 @@ def _hashes(n: int):
         return x ^ (x >> np.uint64(31))
 
     def shingles(words: np.ndarray) -> np.ndarray:
-        """Distinct hashes of the runs of n words, sorted as signed numbers."""
-        total = np.zeros(len(words) - n + 1, np.uint64)
-        for i in range(n):
-            total = mix(total + words[i : len(words) - n + 1 + i] * odd[i % len(odd)] + np.uint64(i + 1))
-        return np.unique(total.view(np.int64))
+        """Distinct hashes of the runs of n words, sorted as signed numbers: words are hashes themselves, each place has its own odd factor."""
+        total = words[: len(words) - n + 1] * odd[0]
+        for i in range(1, n):
+            # Beyond the factors there are, places are told apart by mixing what came before.
+            total = (mix(total) if i % len(odd) == 0 else total) + words[i : len(words) - n + 1 + i] * odd[i % len(odd)]
+        return np.unique(mix(total).view(np.int64))
 
     return shingles
 
@@ -198,17 +199,21 @@ class Shingler:
             return None
         if len(self.known) > 500_000:  # only a cache
             self.known = {}
-        for w in set(words):
-            if w not in self.known:
-                self.known[w] = xxhash.xxh3_64_intdigest(w)
-        return self.shingles(np.array([self.known[w] for w in words], np.uint64))
+        try:
+            codes = list(map(self.known.__getitem__, words))
+        except KeyError:
+            for w in set(words):
+                if w not in self.known:
+                    self.known[w] = xxhash.xxh3_64_intdigest(w)
+            codes = list(map(self.known.__getitem__, words))
+        return self.shingles(np.array(codes, np.uint64))
 
     def sketch(self, shingles: np.ndarray) -> np.ndarray:
         """The least value of each (32-bit) hash function over the set."""
         values = (shingles.view(np.uint64) >> np.uint64(32)).astype(np.uint32)
-        out = np.empty(len(self.odd), np.uint32)
-        for at in range(0, len(self.odd), 16):
-            out[at : at + 16] = (self.odd[at : at + 16, None] * values[None, :] + self.add[at : at + 16, None]).min(axis=1)
+        out = np.full(len(self.odd), 0xFFFFFFFF, np.uint32)
+        for at in range(0, len(values), 4096):  # a long text takes no more memory than this
+            np.minimum(out, (values[at : at + 4096, None] * self.odd[None, :] + self.add[None, :]).min(axis=0), out=out)
         return out.astype(np.uint64)
 
 
