@@ -125,12 +125,16 @@ def filled_quotas(df: DataFrame, stratum: str, key: str, quota: DataFrame, total
     """
     own = selection_key(purpose, F.col(stratum).cast("string"), F.col(key).cast("string"))
     w = Window.partitionBy(stratum).orderBy("__k", key)
-    placed = df.withColumn("__k", own).withColumn("__place", F.row_number().over(w)).join(F.broadcast(quota.select(F.col(quota.columns[0]).alias(stratum), F.col(quota.columns[1]).alias("quota"))), stratum, "left")  # a row a stratum
-    taken = placed.where(F.col("__place") <= F.coalesce("quota", F.lit(0)))
+    keyed = df.withColumn("__k", own)
+    largest = quota.agg(F.coalesce(F.max(quota.columns[1]), F.lit(0))).first()[0]
+    # Each task keeps no more of a stratum than the largest quota before rows are brought together.
+    placed = keyed.withColumn("__place", F.row_number().over(w)).where(F.col("__place") <= int(largest))
+    placed = placed.join(F.broadcast(quota.select(F.col(quota.columns[0]).alias(stratum), F.col(quota.columns[1]).alias("quota"))), stratum)  # a row a stratum
+    taken = placed.where(F.col("__place") <= F.col("quota")).drop("__place", "quota")
     have = taken.count()
-    rest = placed.join(taken.select(key), key, "left_anti").withColumn("__k", selection_key(f"{purpose} backfill", F.col(key).cast("string")))
+    rest = keyed.join(taken.select(key), key, "left_anti").withColumn("__k", selection_key(f"{purpose} backfill", F.col(key).cast("string")))
     more = rest.orderBy("__k", key).limit(max(0, total - have))
-    return taken.withColumn("backfilled", F.lit(False)).unionByName(more.withColumn("backfilled", F.lit(True))).drop("__k", "__place", "quota")
+    return taken.withColumn("backfilled", F.lit(False)).unionByName(more.withColumn("backfilled", F.lit(True))).drop("__k")
 
 
 def balanced_split(components: DataFrame, dev_share: float, purpose: str = "split") -> DataFrame:
