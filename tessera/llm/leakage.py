@@ -10,6 +10,7 @@ a pair of neighbours of some passage; outside them no match can be as long as
 asked, so nothing is lost and few words are stepped in Python.
 
 Null and blank texts hold nothing. A passage shorter than the limit cannot leak.
+Documents and items without a key are left out.
 """
 
 from __future__ import annotations
@@ -151,7 +152,7 @@ class Automaton:
 def _blocks(items: DataFrame, key: str, text: str, least: int, most: int) -> Iterator[list[tuple[int, list[str]]]]:
     """Passages in blocks of a bounded number of words, streamed to the driver."""
     block, size = [], 0
-    for row in items.where(F.col(text).isNotNull()).select(F.col(key).cast("bigint"), text).toLocalIterator():
+    for row in items.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("bigint"), text).toLocalIterator():
         ws = words(row[1])
         if len(ws) < least:
             continue
@@ -178,7 +179,7 @@ def _scans(items: DataFrame, item_key: str, passage: str, least: int, most: int,
 
 
 def _texts(corpus: DataFrame, key: str, text: str) -> DataFrame:
-    return corpus.where(F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    return corpus.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
 
 
 def _found(shared: list):

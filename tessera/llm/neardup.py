@@ -23,8 +23,8 @@ Copies of one set are reduced to one before probes are joined. Probes and groups
 of copies that many records share are counted and joined block by block, so that
 no task holds such a group.
 
-Records of fewer than ``least_words`` words are left out; null texts count as
-empty. Sets are told apart by a 64-bit hash. The least similarity is 0.05.
+Records of fewer than ``least_words`` words, or without a key, are left out; null
+texts count as empty. Sets are told apart by a 64-bit hash. The least similarity is 0.05.
 """
 
 from __future__ import annotations

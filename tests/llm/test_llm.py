@@ -338,7 +338,8 @@ def test_leaks_and_cleaning(spark):
     passage = "In February 2015 the board of Acme said that reserves of Beta anticipated prior year growth worth 144,782 in total"
     docs = [(1, "Before. " + passage.upper().replace(" said", " sa​id") + " After."), (2, passage[:40]), (3, None), (4, ""), (5, passage)]
     d = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("item_id", F.lit("x"))
-    items = spark.createDataFrame([(7, passage), (8, "too short"), (9, None), (10, passage)], "item_id bigint, passage string")
+    items = spark.createDataFrame([(7, passage), (8, "too short"), (9, None), (10, passage), (None, passage)], "item_id bigint, passage string")
+    d = d.unionByName(spark.createDataFrame([(None, passage, "x"), (None, passage, "y")], "doc_id bigint, text string, item_id string"))
     assert {tuple(r) for r in leakage.leaked(d, items).collect()} == {(1, 7), (1, 10), (5, 7), (5, 10)}
     assert {tuple(r) for r in leakage.leaked(d, items, most=5).collect()} == {(1, 7), (1, 10), (5, 7), (5, 10)}
     clean = {r.doc_id: r for r in leakage.cleaned(d, items, coverage=0.95).collect()}
@@ -348,6 +349,7 @@ def test_leaks_and_cleaning(spark):
         assert sorted(map(tuple, leakage.cleaned(d, items, most=most, scan_bytes=scan_bytes).collect())) == one
         assert {tuple(r) for r in leakage.leaked(d, items, most=most, scan_bytes=scan_bytes).collect()} == {(1, 7), (1, 10), (5, 7), (5, 10)}
     assert leakage.leaked(d, items.limit(0)).count() == 0 and leakage.leaked(d.limit(0), items).count() == 0
+    assert leakage.cleaned(d, items.limit(0)).count() == 0 and leakage.cleaned(d.limit(0), items).count() == 0
 
 
 # --- subjects
@@ -397,3 +399,17 @@ def test_gradient_is_the_derivative():
             high, low = (subjects.gradient((table, outputs, b), coded, y, lists, warm=warm)[1] for b in (moved, back))
             assert grads[2][k] == pytest.approx((high - low) / 2e-2, rel=0.05, abs=0.05)
     assert rng is not None
+
+
+def test_nulls_in_any_column(spark):
+    """Rows without a key, text or label give a result or none, but no error."""
+    texts = spark.createDataFrame([(None, None), (None, "Net income rose. " * 30), (1, None), (1, "Net income rose. " * 30), (1, "Net income rose. " * 30)], "doc_id bigint, text string").withColumn("container", F.lit(1)).withColumn("piece", F.lit("clash"))
+    assert packing.containers(texts, 64).where("doc_id is null").count() > 0
+    found = neardup.NearDuplicates(texts, F.col("doc_id"), F.col("text"))
+    assert found.pairs().count() == 0 and {r.key for r in found.groups().collect()} == {"1"}
+    assert splitting.split([("t", texts.select(F.col("doc_id").alias("record_key"), "text"))], CONFIGS).where("record_key is null").count() > 0
+    cases = spark.createDataFrame([(None, None, None, None), (None, "What?", None, "answer"), ("a", None, "It rose.", None)], "case_id string, question string, answer string, expected_behavior string")
+    assert [r.defect for r in pairs.defective(cases).collect()] == ["empty", "empty"]
+    labels = spark.createDataFrame([(None, "mining", "a"), (1, None, "a"), (1, "none", None)], "doc_id bigint, subject string, annotator string")
+    names = spark.createDataFrame([("mining",), (None,)], "subject string")
+    assert subjects.assign(texts, labels, names, rounds=2).count() >= 0
