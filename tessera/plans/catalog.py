@@ -72,7 +72,8 @@ def f4_compare(s, d):
     return facts.compare(_eligible(s, d))
 
 
-_REVISION = """with o as (select {k}, adsh, min(value) as lo, max(value) as hi from facts where value is not null group by all), g as (select {k}, count(*) as n, min(lo) as lo, max(hi) as hi from o group by {k})
+_REVISION = """with o as (select {k}, adsh, min(value) as lo, max(value) as hi from facts where value is not null group by all),
+g as (select {k}, count(*) as n, min(lo) as lo, max(hi) as hi from o group by {k})
 select count(*) as repeated, count(*) filter (lo <> hi) as revised from g where n > 1"""
 
 
@@ -86,7 +87,8 @@ def a8_revision_loose(s, d):
     return facts.revision_rate(table(s, d, "facts"), ("cik", "tag", "ddate", "qtrs"))
 
 
-@query("""with q as (select distinct cik, fiscal_year from documents where cik is not null and fiscal_year is not null), e as (select try_cast(cik as bigint) as cik, try_cast(year as int) as fiscal_year, count(*) as n, min(filename) as document_id from edgar group by all)
+@query("""with q as (select distinct cik, fiscal_year from documents where cik is not null and fiscal_year is not null),
+e as (select try_cast(cik as bigint) as cik, try_cast(year as int) as fiscal_year, count(*) as n, min(filename) as document_id from edgar group by all)
 select q.cik, q.fiscal_year, case when n is null then 'not_found' when n > 1 then 'ambiguous' else 'found' end as status, case when n = 1 then document_id end as document_id from q left join e using (cik, fiscal_year)""")
 def f5_resolve_filing(s, d):
     requests = table(s, d, "documents").where("cik is not null and fiscal_year is not null").select("cik", "fiscal_year").distinct()
@@ -154,7 +156,8 @@ def a28_key_overlap(s, d):
     return audit.key_overlap(table(s, d, "facts"), table(s, d, "submissions"), "cik")
 
 
-@query("""with f as (select filename as document_id, try_cast(cik as bigint) as cik, try_cast(year as int) as year from edgar), s as (select distinct cik, fiscal_year as y from submissions where fiscal_year is not null)
+@query("""with f as (select filename as document_id, try_cast(cik as bigint) as cik, try_cast(year as int) as year from edgar),
+s as (select distinct cik, fiscal_year as y from submissions where fiscal_year is not null)
 select document_id, cik, year, case when exists (select 1 from s where s.cik = f.cik and s.y = f.year) then 'matched' when exists (select 1 from s where s.cik = f.cik and abs(s.y - f.year) = 1) then 'off_by_one'
 when exists (select 1 from s where s.cik = f.cik) then 'other_years' else 'no_company' end as cause, (select min(y) from s where s.cik = f.cik) as first_year, (select max(y) from s where s.cik = f.cik) as last_year from f""")
 def j11_alignment_cause(s, d):
@@ -235,7 +238,8 @@ def t4_key_sets(s, d):
 # --- search and metrics
 
 _DIMS = 64
-_KNN = """with q as (select vec_id, embedding::double[] as e from embeddings where vec_id % 100 = 0), v as (select vec_id, label, embedding::double[] as e from embeddings{w}),
+_KNN = """with q as (select vec_id, embedding::double[] as e from embeddings where vec_id % 100 = 0),
+v as (select vec_id, label, embedding::double[] as e from embeddings{w}),
 s as (select q.vec_id as query_id, v.vec_id as id, list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))) as c from q, v where q.vec_id <> v.vec_id)
 select query_id, row_number() over (partition by query_id order by round(c, 9) desc, id) as rank, id, round(c, 6) as score from s qualify rank <= {k}"""
 
@@ -262,7 +266,9 @@ def r4_norm_audit(s, d):
 
 _POSTINGS = "p as (select doc_id, term, count(*) as tf from (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from documents where text is not null) where length(term) between 1 and 40 group by all)"
 _QUERIES = "q as (select distinct row_number as query_id, term from (select row_number() over (order by subject) as row_number, unnest(regexp_extract_all(lower(description), '[a-z0-9]+')) as term from subjects))"
-_BM25 = f"""{_POSTINGS}, {_QUERIES}, l as (select doc_id, sum(tf) as length from p group by 1), t as (select count(*) as docs, avg(length) as mean from l), df as (select term, count(*) as df from p group by 1),
+_BM25 = f"""{_POSTINGS}, {_QUERIES}, l as (select doc_id, sum(tf) as length from p group by 1),
+t as (select count(*) as docs, avg(length) as mean from l),
+df as (select term, count(*) as df from p group by 1),
 bs as (select query_id, doc_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) as score from p join q using (term) join df using (term) join l using (doc_id), t group by all),
 b as (select query_id, row_number() over (partition by query_id order by score desc, doc_id) as rank, doc_id, score from bs qualify rank <= 50)"""
 _OVERLAP = "o as (select query_id, row_number() over (partition by query_id order by n desc, doc_id) as rank, doc_id, n from (select query_id, doc_id, count(*) as n from p join q using (term) group by all) qualify rank <= 50)"
@@ -342,7 +348,9 @@ def _good(s, d):
 
 
 @query(f"""with {_HITS}, g as (select score as top1, (x.label = y.label)::int as good from h join embeddings x on x.vec_id = query_id join embeddings y on y.vec_id = id where rank = 1),
-t as (select sum(good) as p, count(*) - sum(good) as n from g), c as (select distinct top1 as threshold from g), j as (select threshold, round((select count(*) from g where top1 < threshold and good = 0) / nullif(n, 0) - (select count(*) from g where top1 < threshold and good = 1) / nullif(p, 0), 9) as j from c, t)
+t as (select sum(good) as p, count(*) - sum(good) as n from g),
+c as (select distinct top1 as threshold from g),
+j as (select threshold, round((select count(*) from g where top1 < threshold and good = 0) / nullif(n, 0) - (select count(*) from g where top1 < threshold and good = 1) / nullif(p, 0), 9) as j from c, t)
 select threshold, j from j order by j desc, threshold limit 1""")
 def r16_youden(s, d):
     return search.youden(_good(s, d))
@@ -354,7 +362,8 @@ def _relevant(s, d):
     return q.join(v.select(F.col("vec_id").alias("id"), "label"), "label").where("query_id != id").select("query_id", "id")
 
 
-_MET = f"""{_HITS}, r as (select x.vec_id as query_id, y.vec_id as id, x.label from embeddings x join embeddings y on x.label = y.label and x.vec_id <> y.vec_id where x.vec_id % 100 = 0), w as (select query_id, count(*) as wanted from r group by 1),
+_MET = f"""{_HITS}, r as (select x.vec_id as query_id, y.vec_id as id, x.label from embeddings x join embeddings y on x.label = y.label and x.vec_id <> y.vec_id where x.vec_id % 100 = 0),
+w as (select query_id, count(*) as wanted from r group by 1),
 g as (select query_id, count(*) as hits, min(rank) as best, sum(1 / log2(rank + 1)) as dcg from h join r using (query_id, id) group by 1),
 m as (select query_id, round(coalesce(hits / wanted, 0), 9) as recall, round(coalesce(hits / 10, 0), 9) as precision, round(coalesce(1 / best, 0), 9) as rr, round(coalesce(dcg / list_sum(list_transform(range(1, least(10, wanted) + 1), lambda i: 1 / log2(i + 1))), 0), 9) as ndcg from w left join g using (query_id))"""
 
@@ -386,7 +395,8 @@ def a19_confusion(s, d):
     return _matrix(s, d)
 
 
-@query(f"""with {_CASES}, {_CELLS}, c as (select actual, n, sum(n) over (partition by actual) as support, sum(n) over (partition by predicted) as named, predicted from m), x as (select actual as class, case when named = 0 then 0 else n / named end as p, case when support = 0 then 0 else n / support end as r, support from c where actual = predicted)
+@query(f"""with {_CASES}, {_CELLS}, c as (select actual, n, sum(n) over (partition by actual) as support, sum(n) over (partition by predicted) as named, predicted from m),
+x as (select actual as class, case when named = 0 then 0 else n / named end as p, case when support = 0 then 0 else n / support end as r, support from c where actual = predicted)
 select class, round(p, 9) as precision, round(r, 9) as recall, round(case when p + r = 0 then 0 else 2 * p * r / (p + r) end, 9) as f1, support::bigint as support from x""")
 def a20_class_scores(s, d):
     return metrics.scores(_matrix(s, d))
@@ -395,7 +405,8 @@ def a20_class_scores(s, d):
 _RATE = f"t as (select (case_status = 'PASS')::int as a, (len(malformed_citation_attempts) = 0)::int as b from {RERUN})"
 
 
-@query(f"""with {_RATE}, x as (select count(*) as n, count(*) filter (a = b) as same, sum(a) as pa, sum(b) as pb, count(*) filter (a > b) as over, count(*) filter (a < b) as under from t where a is not null and b is not null), y as (select *, (pa * pb + (n - pa) * (n - pb)) / (n * n) as pe from x)
+@query(f"""with {_RATE}, x as (select count(*) as n, count(*) filter (a = b) as same, sum(a) as pa, sum(b) as pb, count(*) filter (a > b) as over, count(*) filter (a < b) as under from t where a is not null and b is not null),
+y as (select *, (pa * pb + (n - pa) * (n - pb)) / (n * n) as pe from x)
 select n, round(same / n, 9) as agreement, round(case when pe >= 1 then 1 else (same / n - pe) / (1 - pe) end, 9) as kappa, over, under from y""")
 def a21_agreement(s, d):
     # size(null) is -1 or null by setting; the case says what is meant.
@@ -432,7 +443,9 @@ def o8_strided(s, d):
     return sampling.strided(table(s, d, "orders").select("o_orderkey"), "o_orderkey", 50)
 
 
-@query("""with c as (select form as name, count(*) as n from submissions where form is not null group by 1), e as (select name, 1000 * n / sum(n) over () as exact from c), f as (select name, floor(exact) as q, round(exact - floor(exact), 9) as rest from e)
+@query("""with c as (select form as name, count(*) as n from submissions where form is not null group by 1),
+e as (select name, 1000 * n / sum(n) over () as exact from c),
+f as (select name, floor(exact) as q, round(exact - floor(exact), 9) as rest from e)
 select name, (q + (row_number() over (order by rest desc, name) <= 1000 - sum(q) over ())::int)::bigint as quota from f""")
 def w14_quotas(s, d):
     counts = table(s, d, "submissions").where("form is not null").groupBy(F.col("form").alias("name")).agg(F.count("*").alias("n"))
@@ -449,7 +462,8 @@ def _company_edges(s, d):
     return names.select(F.concat(F.lit("c"), F.col("cik").cast("string")).alias("a"), F.concat(F.lit("n"), F.lower("name")).alias("b")).distinct()
 
 
-@query("""with recursive e as (select distinct 'c' || cik as a, 'n' || lower(name) as b from submissions where cik is not null and name is not null), b as (select a, b from e union select b, a from e),
+@query("""with recursive e as (select distinct 'c' || cik as a, 'n' || lower(name) as b from submissions where cik is not null and name is not null),
+b as (select a, b from e union select b, a from e),
 r(node, reach) as (select a, a from b union select r.node, b.b from r join b on r.reach = b.a) select node, min(reach) as component from r group by 1""")
 def d20_company_components(s, d):
     return sampling.components(_company_edges(s, d))
@@ -510,7 +524,8 @@ def w8_ordinal_gaps(s, d):
     return documents.ordinal_gaps(table(s, d, "chunks"))
 
 
-@query("""with h as (select evidence_id, chunk_id from evidence_records e join chunks c on e.document_id = c.document_id and length(raw_display_value) > 0 and contains(c.text, raw_display_value)), g as (select evidence_id, count(*) as nodes, min(chunk_id) as node_id from h group by 1)
+@query("""with h as (select evidence_id, chunk_id from evidence_records e join chunks c on e.document_id = c.document_id and length(raw_display_value) > 0 and contains(c.text, raw_display_value)),
+g as (select evidence_id, count(*) as nodes, min(chunk_id) as node_id from h group by 1)
 select evidence_id, case when nodes is null then 'none' when nodes = 1 then 'exact' else 'ambiguous' end as status, coalesce(nodes, 0) as nodes, case when nodes = 1 then node_id end as node_id from evidence_records left join g using (evidence_id)""")
 def d9_evidence_alignment(s, d):
     evidence = table(s, d, "evidence_records").select("evidence_id", "document_id", F.col("raw_display_value").alias("needle"))
@@ -540,7 +555,8 @@ def events_tumbling(s, d):
     return stream.tumbling(table(s, d, "events"))
 
 
-@query("""with g as (select *, case when ts > lag(ts) over (partition by user_id order by ts) + interval 30 minutes then 1 else 0 end as fresh from events), n as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as n from g)
+@query("""with g as (select *, case when ts > lag(ts) over (partition by user_id order by ts) + interval 30 minutes then 1 else 0 end as fresh from events),
+n as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as n from g)
 select user_id, min(ts) as session_start, count(*) as events from n group by user_id, n""")
 def events_sessions(s, d):
     return stream.sessions(table(s, d, "events"))
@@ -549,7 +565,8 @@ def events_sessions(s, d):
 # --- matching and selection
 
 
-@query("""with i as (select chunk_id as item_id, document_id, ordinal + 1 as page, text as needle from chunks where length(text) > 0), h as (select item_id, page, c.ordinal as near from i join chunks c on i.document_id = c.document_id and c.ordinal between page - 1 and page + 1 and contains(c.text, needle)),
+@query("""with i as (select chunk_id as item_id, document_id, ordinal + 1 as page, text as needle from chunks where length(text) > 0),
+h as (select item_id, page, c.ordinal as near from i join chunks c on i.document_id = c.document_id and c.ordinal between page - 1 and page + 1 and contains(c.text, needle)),
 g as (select item_id, max((near = page)::int) as own, count(*) as n, min(near) as nat from h group by 1)
 select item_id, case when own = 1 then 'stated' when n > 1 then 'ambiguous' when n = 1 then 'neighbour' else 'none' end as status, case when own = 1 then page when n = 1 then nat end as "at" from i left join g using (item_id)""")
 def j22_neighbour_pages(s, d):
@@ -585,7 +602,8 @@ def o10_assigned_ids(s, d):
     return matching.numbered(table(s, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate"), "o_orderstatus", ["o_orderdate", "o_orderkey"], "ord").select("o_orderkey", "assigned_id")
 
 
-@query("""with recursive e as (select distinct 'c' || cik as a, 'n' || lower(name) as b from submissions where cik is not null and name is not null), b as (select a, b from e union select b, a from e),
+@query("""with recursive e as (select distinct 'c' || cik as a, 'n' || lower(name) as b from submissions where cik is not null and name is not null),
+b as (select a, b from e union select b, a from e),
 r(node, reach) as (select a, a from b union select r.node, b.b from r join b on r.reach = b.a), k as (select node, min(reach) as component from r group by 1)
 select case when ('0x' || sha256(component)[1:8])::bigint / 4294967296.0 < 0.2 then 'dev' else 'test' end as split, count(*) as filings from submissions join k on node = 'c' || cik group by 1""")
 def d20_component_split(s, d):

@@ -148,7 +148,8 @@ _RE = {
 
 
 @query(f"""with v as (select doc_id, text, regexp_replace(regexp_replace(coalesce(text, ''), '[\\x{{200B}}-\\x{{200D}}\\x{{FEFF}}\\x{{2060}}\\x{{180E}}]', '', 'g'), '{_CC}', ' ', 'g') as v from documents),
-f as (select *, trim(regexp_replace(v, '\\s+', ' ', 'g')) as t from v), g as (select doc_id, lower(t) as low, regexp_matches(v, '(?im)^[ \\t]*(system|developer|assistant)([ \\t]+(message|prompt|instruction))?[ \\t]*:') as label, {', '.join(f"regexp_matches(t, '{p}') as {n}" for n, p in _RE.items())},
+f as (select *, trim(regexp_replace(v, '\\s+', ' ', 'g')) as t from v),
+g as (select doc_id, lower(t) as low, regexp_matches(v, '(?im)^[ \\t]*(system|developer|assistant)([ \\t]+(message|prompt|instruction))?[ \\t]*:') as label, {', '.join(f"regexp_matches(t, '{p}') as {n}" for n, p in _RE.items())},
 regexp_matches(coalesce(text, ''), '[\\x{{200B}}-\\x{{200D}}\\x{{FEFF}}\\x{{2060}}\\x{{180E}}]') as zero_width, regexp_matches(coalesce(text, ''), '{_CC}') as control_character, regexp_matches(v, '(?is)<!--.*?-->|<\\s*(script|style|template)\\b.*?</\\s*(script|style|template)\\s*>|display\\s*:\\s*none|visibility\\s*:\\s*hidden|\\bhidden\\s*=') as hidden_markup from f),
 h as (select *, (role_impersonation or label) as role, ({_has(P.DISCUSSION)} and {_has(P.DISCUSSING)}) as talk from g)
 select case when talk and not (role or prompt_exfiltration or tool_instruction or boundary_escape or zero_width or control_character or hidden_markup) then 'approved' when instruction_override or role or prompt_exfiltration or tool_instruction or boundary_escape then 'blocked'
@@ -204,15 +205,19 @@ def f3_differences(s, d):
     return facts.difference(asked, _eligible(s, d), facts.registry(s))
 
 
-@query(f"""with {_ELIGIBLE}, q as (select evidence_id as request_id, cik as cik_a, cik + 1 as cik_b, concept_name as tag, fiscal_year from evidence_records), j as (select q.*, {_FOUND.replace('tag', 'q.tag', 1).replace('or tag', 'or q.tag').format(a='a')} as sa, {_FOUND.replace('tag', 'q.tag', 1).replace('or tag', 'or q.tag').format(a='b')} as sb, a.value as va, b.value as vb from q left join k a on a.cik = q.cik_a and a.fiscal_year = q.fiscal_year and a.tag = q.tag left join k b on b.cik = q.cik_b and b.fiscal_year = q.fiscal_year and b.tag = q.tag)
+@query(f"""with {_ELIGIBLE}, q as (select evidence_id as request_id, cik as cik_a, cik + 1 as cik_b, concept_name as tag, fiscal_year from evidence_records),
+j as (select q.*, {_FOUND.replace('tag', 'q.tag', 1).replace('or tag', 'or q.tag').format(a='a')} as sa, {_FOUND.replace('tag', 'q.tag', 1).replace('or tag', 'or q.tag').format(a='b')} as sb, a.value as va, b.value as vb from q left join k a on a.cik = q.cik_a and a.fiscal_year = q.fiscal_year and a.tag = q.tag left join k b on b.cik = q.cik_b and b.fiscal_year = q.fiscal_year and b.tag = q.tag)
 select request_id, case when sa <> 'found' then 'operand_a_unavailable' when sb <> 'found' then 'operand_b_unavailable' when va = vb then 'tie' else 'computed' end as outcome, case when sa = 'found' and sb = 'found' and va <> vb then case when va > vb then cik_a else cik_b end end as winner_cik from j""")
 def f4_greater_than(s, d):
     asked = table(s, d, "evidence_records").select(F.col("evidence_id").alias("request_id"), F.col("cik").alias("cik_a"), (F.col("cik") + 1).alias("cik_b"), F.col("concept_name").alias("tag"), "fiscal_year")
     return facts.greater_than(asked, _eligible(s, d), facts.registry(s))
 
 
-_NAVIGATED = f"""l as ({_LONG}), p as (select document_id, section_id, text from l where length(text) > 0), r as (select doc_id as request_id, cik, fiscal_year, section_id from documents),
-e as (select try_cast(cik as bigint) as cik, try_cast(year as int) as fiscal_year, count(distinct filename) as n, min(filename) as document_id from edgar group by 1, 2), w as (select document_id, count(*) as all_nodes from p group by 1),
+_NAVIGATED = f"""l as ({_LONG}),
+p as (select document_id, section_id, text from l where length(text) > 0),
+r as (select doc_id as request_id, cik, fiscal_year, section_id from documents),
+e as (select try_cast(cik as bigint) as cik, try_cast(year as int) as fiscal_year, count(distinct filename) as n, min(filename) as document_id from edgar group by 1, 2),
+w as (select document_id, count(*) as all_nodes from p group by 1),
 v as (select request_id, r.section_id, n, case when n = 1 then document_id end as document_id from r left join e using (cik, fiscal_year)),
 nav as (select request_id, case when n is null then 'not_found' when n > 1 then 'ambiguous' when all_nodes is null then 'filing_not_parsed' when p.text is null then 'section_not_found' else 'found' end as outcome, v.document_id, length(p.text) as chars, case when p.text is not null then 1 end as nodes, all_nodes from v left join w using (document_id) left join p on p.document_id = v.document_id and p.section_id = v.section_id)"""
 
@@ -249,7 +254,8 @@ def f7_lookup_rates(s, d):
     ))
 
 
-@query("""with q as (select fact_id as request_id, adsh, cik, tag, ddate, qtrs, uom, value from facts where value is not null), k as (select adsh, cik, tag, ddate, qtrs, uom, min(value) as low, max(value) as high from facts where coalesce(coreg, '') = '' and coalesce(segments, '') = '' and value is not null group by all)
+@query("""with q as (select fact_id as request_id, adsh, cik, tag, ddate, qtrs, uom, value from facts where value is not null),
+k as (select adsh, cik, tag, ddate, qtrs, uom, min(value) as low, max(value) as high from facts where coalesce(coreg, '') = '' and coalesce(segments, '') = '' and value is not null group by all)
 select case when low is null then 'unmatched' when low <> high then 'ambiguous' when low = q.value then 'exact' else 'unmatched' end as match, count(*) as requests from q left join k on q.adsh = k.adsh and q.cik = k.cik and q.tag = k.tag and q.ddate = k.ddate and q.qtrs = k.qtrs and q.uom = k.uom group by 1""")
 def j23_raw_matches(s, d):
     f = table(s, d, "facts")
@@ -301,7 +307,8 @@ def d28_corrupted_examples(s, d):
 
 @query(f"""with n as (select case_id, answer, regexp_extract(answer, '([0-9][0-9,]*(?:[.][0-9]+)?)', 1) as num from {RERUN} where answer is not null),
 v as (select *, replace(num, ',', '') as plain, case when contains(num, '.') then length(split_part(num, '.', 2)) else 0 end as dec from n),
-w as (select *, try_cast(plain as decimal(30, 6)) * 2 as twice from v), x as (select *, split_part(twice::decimal(32, 6)::varchar, '.', 1) as whole, left(split_part(twice::decimal(32, 6)::varchar, '.', 2), dec) as part from w)
+w as (select *, try_cast(plain as decimal(30, 6)) * 2 as twice from v),
+x as (select *, split_part(twice::decimal(32, 6)::varchar, '.', 1) as whole, left(split_part(twice::decimal(32, 6)::varchar, '.', 2), dec) as part from w)
 select case_id, case when num = '' then answer || ' This was confirmed by the auditors.' else left(answer, instr(answer, num) - 1) || case when contains(num, ',') then format('{{:,}}', whole::bigint) else whole end || case when dec > 0 then '.' || part else '' end || substr(answer, instr(answer, num) + length(num)) end as corrupted from x""")
 def d28_corrupted_answers(s, d):
     return table(s, d, RERUN).where("answer is not null").select("case_id", matching.corrupted(F.col("answer")).alias("corrupted"))

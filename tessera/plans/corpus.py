@@ -224,7 +224,8 @@ def d2_fault_examples(s, d):
 _WORDS = "regexp_extract_all(text, '[^ \\t\\n\\r\\f\\x0B]+')"
 
 
-@query(f"""with w as (select doc_id, len({_WORDS}) as n from documents where text is not null), o as (select doc_id, n, unnest(range(0, greatest(0, ceil((n - 64) / 48.0))::bigint + 1)) as k from w where n > 0)
+@query(f"""with w as (select doc_id, len({_WORDS}) as n from documents where text is not null),
+o as (select doc_id, n, unnest(range(0, greatest(0, ceil((n - 64) / 48.0))::bigint + 1)) as k from w where n > 0)
 select doc_id, k::int as ordinal, least(64, n - k * 48)::int as tokens, true as exact from o""")
 def d3_offset_windows(s, d):
     """Windows whose text is the slice of the document between their offsets."""
@@ -233,7 +234,8 @@ def d3_offset_windows(s, d):
     return cut.join(docs, "doc_id").select("doc_id", "ordinal", "tokens", (F.col("chunk") == F.expr("substring(text, char_start + 1, char_end - char_start)")).alias("exact"))
 
 
-@query("""with p as (select document_id, ordinal as page, text, len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\x0B]+')) as n from chunks where text is not null), o as (select *, unnest(range(0, greatest(0, ceil((n - 40) / 40.0))::bigint + 1)) as k from p where n > 0)
+@query("""with p as (select document_id, ordinal as page, text, len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\x0B]+')) as n from chunks where text is not null),
+o as (select *, unnest(range(0, greatest(0, ceil((n - 40) / 40.0))::bigint + 1)) as k from p where n > 0)
 select document_id || '::p' || case when page < 10000 then lpad(page::varchar, 4, '0') else left(page::varchar, 4) end || '::chunk' || k as chunk_id, least(40, n - k * 40)::int as tokens from o""")
 def d5_page_chunks(s, d):
     """Chunks stand for pages."""
@@ -253,8 +255,10 @@ _SPAN = "regexp_split_to_array(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '\
 
 
 @query(f"""with l as (select doc_id, unnest({_SPAN}) as line, unnest(range(1, len({_SPAN}) + 1)) as i from documents where text is not null),
-g as (select *, sum((line like '## %')::int) over (partition by doc_id order by i) as part from l), p as (select doc_id, part, string_agg(line, chr(10) order by i) as body, min(line) filter (line like '## %') as head from g group by all),
-q as (select doc_id, part, case when part > 0 then {_clean_sql('head[4:]')} end as heading from p where length({_clean_sql('body')}) > 0), m as (select *, part = max(part) over (partition by doc_id, heading) as current from q)
+g as (select *, sum((line like '## %')::int) over (partition by doc_id order by i) as part from l),
+p as (select doc_id, part, string_agg(line, chr(10) order by i) as body, min(line) filter (line like '## %') as head from g group by all),
+q as (select doc_id, part, case when part > 0 then {_clean_sql('head[4:]')} end as heading from p where length({_clean_sql('body')}) > 0),
+m as (select *, part = max(part) over (partition by doc_id, heading) as current from q)
 select heading, count(*) as spans, count(*) filter (current) as current from m group by 1""")
 def w7_heading_spans(s, d):
     return documents.heading_spans(table(s, d, "documents"), "doc_id", "text").groupBy("heading").agg(F.count("*").alias("spans"), F.count_if(F.expr("current")).alias("current"))

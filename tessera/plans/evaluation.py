@@ -103,7 +103,8 @@ def a12_medians(s, d):
     return audit.medians(table(s, d, "documents"), "section_id", "n_chars")
 
 
-@query("""with c as (select count(*) as n from facts where cik is not null group by cik), r as (select n, row_number() over (order by n) - 1 as i, count(*) over () as k from c)
+@query("""with c as (select count(*) as n from facts where cik is not null group by cik),
+r as (select n, row_number() over (order by n) - 1 as i, count(*) over () as k from c)
 select min(n) as least, max(n) filter (i = floor(k * 0.5)) as median, max(n) filter (i = floor(k * 0.95)) as p95, max(n) as most, count(*) as keys from r""")
 def a24_facts_per_company(s, d):
     return audit.spread(table(s, d, "facts"), "cik")
@@ -131,7 +132,8 @@ def a18_citation_coverage(s, d):
     return metrics.coverage(table(s, d, RERUN).select("expected_behavior", state.alias("state")), "expected_behavior", "state", _STATES)
 
 
-@query(f"""with {_CASES}, {_CELLS}, c as (select actual, predicted, n, sum(n) over (partition by actual) as support, sum(n) over (partition by predicted) as named from m), x as (select case when named = 0 then 0 else n / named end as p, case when support = 0 then 0 else n / support end as r from c where actual = predicted)
+@query(f"""with {_CASES}, {_CELLS}, c as (select actual, predicted, n, sum(n) over (partition by actual) as support, sum(n) over (partition by predicted) as named from m),
+x as (select case when named = 0 then 0 else n / named end as p, case when support = 0 then 0 else n / support end as r from c where actual = predicted)
 select (select round(sum(n) filter (actual = predicted) / sum(n), 9) from m) as accuracy, round(avg(round(case when p + r = 0 then 0 else 2 * p * r / (p + r) end, 9)), 9) as macro_f1 from x""")
 def a20_overall(s, d):
     return metrics.overall(_matrix(s, d))
@@ -223,7 +225,9 @@ def o4_hash_sample(s, d):
 
 
 
-@query("""with u as (select adsh, min(form) as form from submissions where form is not null group by 1), k as (select *, row_number() over (partition by form order by sha256('draw' || chr(0) || form || chr(0) || adsh), adsh) as place from u), t as (select adsh, form, false as backfilled from k where place <= 30),
+@query("""with u as (select adsh, min(form) as form from submissions where form is not null group by 1),
+k as (select *, row_number() over (partition by form order by sha256('draw' || chr(0) || form || chr(0) || adsh), adsh) as place from u),
+t as (select adsh, form, false as backfilled from k where place <= 30),
 r as (select adsh, form, true as backfilled, row_number() over (order by sha256('draw backfill' || chr(0) || adsh), adsh) as n from k where adsh not in (select adsh from t)) select * from t union all select adsh, form, backfilled from r where n <= 120 - (select count(*) from t)""")
 def o7_backfilled(s, d):
     forms = table(s, d, "submissions").where("form is not null").groupBy("adsh").agg(F.min("form").alias("form"))
@@ -231,7 +235,8 @@ def o7_backfilled(s, d):
     return sampling.filled_quotas(forms, "form", "adsh", quota, 120, "draw")
 
 
-@query("""with recursive c as (select cik::varchar as component, count(*) as weight from submissions where cik is not null group by 1), o as (select *, row_number() over (order by sha256('balance' || chr(0) || component), component) as n, sum(weight) over () as total from c),
+@query("""with recursive c as (select cik::varchar as component, count(*) as weight from submissions where cik is not null group by 1),
+o as (select *, row_number() over (order by sha256('balance' || chr(0) || component), component) as n, sum(weight) over () as total from c),
 w as (select *, round_even(0.2 * total, 0)::bigint as dev from o),
 s(n, component, weight, split, d, t) as (select n, component, weight, 'dev', weight::bigint, 0::bigint from w where n = 1 union all
 select w.n, w.component, w.weight, case when s.d / w.dev <= s.t / (w.total - w.dev) then 'dev' else 'test' end, s.d + case when s.d / w.dev <= s.t / (w.total - w.dev) then w.weight else 0 end, s.t + case when s.d / w.dev <= s.t / (w.total - w.dev) then 0 else w.weight end from s join w on w.n = s.n + 1)
@@ -279,7 +284,8 @@ _LABELS = "l(tag, phrase, qtrs) as (values " + ", ".join(f"('{t}', '{(label[0].l
 _ONE = "o as (select cik, tag, fiscal_year, min(adsh) as accession, min(value) as value from e group by all having min(value) = max(value))"
 
 
-@query(f"""with {_ELIGIBLE}, {_LABELS}, {_ONE}, f as (select o.*, row_number() over (partition by cik, tag order by fiscal_year, accession) as nth from o), p as (select *, row_number() over (partition by tag order by sha256(tag || chr(0) || cik), cik) as place from f where nth = 1)
+@query(f"""with {_ELIGIBLE}, {_LABELS}, {_ONE}, f as (select o.*, row_number() over (partition by cik, tag order by fiscal_year, accession) as nth from o),
+p as (select *, row_number() over (partition by tag order by sha256(tag || chr(0) || cik), cik) as place from f where nth = 1)
 select 'numeric' as category, tag, cik, fiscal_year, 'What was the amount of company ' || cik || '''s ' || phrase || case when qtrs = 0 then ' at the end of fiscal year ' else ' for fiscal year ' end || fiscal_year || '?' as question, value as expected from p join l using (tag) where place <= 20""")
 def d21_numeric_questions(s, d):
     return evaluation.numeric_questions(_eligible(s, d), 20)
@@ -291,14 +297,16 @@ def d21_change_questions(s, d):
     return evaluation.change_questions(_eligible(s, d), 15)
 
 
-@query(f"""with {_ELIGIBLE}, {_LABELS}, {_ONE}, n as (select *, row_number() over (partition by tag, fiscal_year order by sha256(tag || chr(0) || fiscal_year || chr(0) || cik), cik) as n from o), p as (select a.tag, a.fiscal_year, a.cik as cik_a, b.cik as cik_b, case when a.value >= b.value then a.cik else b.cik end as expected,
+@query(f"""with {_ELIGIBLE}, {_LABELS}, {_ONE}, n as (select *, row_number() over (partition by tag, fiscal_year order by sha256(tag || chr(0) || fiscal_year || chr(0) || cik), cik) as n from o),
+p as (select a.tag, a.fiscal_year, a.cik as cik_a, b.cik as cik_b, case when a.value >= b.value then a.cik else b.cik end as expected,
 row_number() over (partition by a.tag order by sha256(a.tag || chr(0) || a.fiscal_year || chr(0) || a.cik), a.cik) as place from n a join n b on a.tag = b.tag and a.fiscal_year = b.fiscal_year and b.n = a.n + 1 where a.n % 2 = 1)
 select 'comparative' as category, tag, fiscal_year, cik_a, cik_b, 'Which company reported higher ' || phrase || ' for fiscal year ' || fiscal_year || ': company ' || cik_a || ' or company ' || cik_b || '?' as question, expected from p join l using (tag) where place <= 10""")
 def d21_comparison_questions(s, d):
     return evaluation.comparison_questions(_eligible(s, d), 10)
 
 
-@query(f"""with {_ELIGIBLE}, {_LABELS}, {_ONE}, c as (select tag, cik, max(fiscal_year) as fiscal_year from o group by all), p as (select *, row_number() over (partition by tag order by sha256('unans_year' || chr(0) || tag || chr(0) || cik), cik) as place from c)
+@query(f"""with {_ELIGIBLE}, {_LABELS}, {_ONE}, c as (select tag, cik, max(fiscal_year) as fiscal_year from o group by all),
+p as (select *, row_number() over (partition by tag order by sha256('unans_year' || chr(0) || tag || chr(0) || cik), cik) as place from c)
 select 'unanswerable' as category, tag, cik, 2021 + place % 4 as fiscal_year, 'What was the amount of company ' || cik || '''s ' || phrase || case when qtrs = 0 then ' at the end of fiscal year ' else ' for fiscal year ' end || (2021 + place % 4) || '?' as question from p join l using (tag) where place <= 8""")
 def d21_unanswerable_questions(s, d):
     return evaluation.unanswerable_questions(_eligible(s, d), 8)

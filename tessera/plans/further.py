@@ -17,7 +17,8 @@ QUERIES, ORACLE, query = registry()
 _SECTION_WORDS = "regexp_extract_all(text, '[^ \\t\\n\\r\\f\\x0B]+')"
 
 
-@query(f"""with s as (select document_id, ordinal, section_id, len({_SECTION_WORDS}) as n from ({_LONG}) where length(text) > 0), o as (select *, unnest(range(0, greatest(0, ceil((n - 64) / 64.0))::bigint + 1)) as k from s where n > 0)
+@query(f"""with s as (select document_id, ordinal, section_id, len({_SECTION_WORDS}) as n from ({_LONG}) where length(text) > 0),
+o as (select *, unnest(range(0, greatest(0, ceil((n - 64) / 64.0))::bigint + 1)) as k from s where n > 0)
 select document_id, section_id, (row_number() over (partition by document_id order by ordinal, k) - 1)::int as ordinal, least(64, n - k * 64)::int as tokens from o""")
 def d4_section_windows(s, d):
     return documents.section_windows(table(s, d, "edgar"), 64, 0).select("document_id", "section_id", "ordinal", "tokens")

@@ -49,7 +49,8 @@ def _vectors(table_sql: str) -> str:
     return f"select id, dim, sum(w) as w from (select id, {_PLACE[0]} as dim, {_PLACE[1]} * (1 + ln(tf)) as w from (select id, term, count(*) as tf from (select id, unnest(regexp_extract_all(lower(t), '[a-z0-9]+')) as term from ({table_sql})) where length(term) <= 40 group by all)) group by all"
 
 
-_DENSE = f"""dv as ({_vectors("select doc_id as id, text as t from documents where text is not null")}), qv as ({_vectors("select row_number() over (order by subject) as id, description as t from subjects")}),
+_DENSE = f"""dv as ({_vectors("select doc_id as id, text as t from documents where text is not null")}),
+qv as ({_vectors("select row_number() over (order by subject) as id, description as t from subjects")}),
 dn as (select id, sqrt(sum(w * w)) as n from dv group by 1), qn as (select id, sqrt(sum(w * w)) as n from qv group by 1),
 cs as (select qv.id as query_id, dv.id as id, sum(qv.w * dv.w) as dot from qv join dv using (dim) group by 1, 2),
 zs as (select qn.id as query_id, t.doc_id as id, coalesce(dot / nullif(qn.n * dn.n, 0), 0) as c from qn cross join (select doc_id from documents where text is not null) t left join dn on dn.id = t.doc_id left join cs on cs.query_id = qn.id and cs.id = t.doc_id),
