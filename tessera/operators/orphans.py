@@ -48,8 +48,9 @@ def _plainly(df: DataFrame, column: str, usual: str) -> DataFrame:
 
 
 def _by_text(keyed: DataFrame) -> DataFrame:
-    """A key without integer form as a space of its text, with the one key 0."""
-    return keyed.withColumns({"space": F.when(F.col("key").isNotNull(), F.col("space")).otherwise(F.concat(F.lit("?"), F.col("folded"))), "key": F.coalesce("key", F.lit(0).cast("bigint"))})
+    """A key without integer form as a space of its text, with the one key 0. Neither is ever null, so that no join asks for that, folding once more."""
+    space = F.when(F.col("key").isNotNull(), F.col("space")).otherwise(F.concat(F.lit("?"), F.col("folded")))
+    return keyed.withColumns({"space": F.coalesce(space, F.lit("?")), "key": F.coalesce("key", F.lit(0).cast("bigint"))})
 
 
 def with_adsh(df: DataFrame, column: str) -> DataFrame:
@@ -89,11 +90,11 @@ def runs(parents: DataFrame) -> DataFrame:
     return sorted_keys.select("space", "bucket", F.expr(compress).alias("runs"))
 
 
-def orphans(children: DataFrame, parents: DataFrame, hot: int = HOT) -> DataFrame:
-    """Orphans among children (child_table, child_key, space, key, parent_key, at) of parents (space, key, arrived, removed)."""
+def orphans(children: DataFrame, parents: DataFrame, counts: DataFrame, hot: int = HOT) -> DataFrame:
+    """Orphans among children (child_table, child_key, space, key, parent_key, at) of parents (space, key, arrived, removed); counts: (space, key, n) of the children's keys."""
     refs = children.withColumn("bucket", F.shiftright("key", 8))
     # At most a row for every ``hot`` references: a million rows of 40 bytes for 10^12 of them, so it may be sent to all tasks.
-    spread = refs.groupBy("space", "bucket").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("space", "bucket", F.ceil(F.col("n") / hot).cast("int").alias("salts"))
+    spread = counts.groupBy("space", F.shiftright("key", 8).alias("bucket")).agg(F.sum("n").alias("n")).where(F.col("n") > hot).select("space", "bucket", F.ceil(F.col("n") / hot).cast("int").alias("salts"))
     spread, last = F.broadcast(spread), F.coalesce("salts", F.lit(1)) - 1
     copied = runs(parents).join(spread, ["space", "bucket"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), last))).drop("salts")
     salted = refs.join(spread, ["space", "bucket"], "left").withColumn("salt", F.pmod(F.xxhash64("child_key"), last + 1).cast("int")).drop("salts")
@@ -115,9 +116,12 @@ def _children(keyed: DataFrame, child_table: str, child_key: str, at: str) -> Da
 
 
 def fact_orphans(facts: DataFrame, submissions: DataFrame, hot: int = HOT) -> DataFrame:
-    children = _children(with_adsh(facts.where(_says_something("adsh")).select("fact_id", "adsh", "loaded_at"), "adsh"), "facts", "fact_id", "loaded_at")
+    keyed = facts.where(_says_something("adsh"))
+    children = _children(with_adsh(keyed.select("fact_id", "adsh", "loaded_at"), "adsh"), "facts", "fact_id", "loaded_at")
+    # Equal keys are counted as they are written, before they are folded.
+    counts = with_adsh(keyed.groupBy("adsh").agg(F.count("*").alias("n")), "adsh")
     parents = with_adsh(submissions.select("adsh", "loaded_at", "withdrawn_at"), "adsh").select("space", "key", _ntz("loaded_at").alias("arrived"), _ntz("withdrawn_at").alias("removed"))
-    return orphans(children, parents, hot)
+    return orphans(children, parents, counts, hot)
 
 
 def citation_orphans(runs_table: DataFrame, chunks: DataFrame, child_table: str, hot: int = HOT) -> DataFrame:
@@ -125,7 +129,8 @@ def citation_orphans(runs_table: DataFrame, chunks: DataFrame, child_table: str,
     cited = runs_table.select("case_id", "run_ts", F.explode("citation_checks.chunk_id").alias("chunk_id")).where(_says_something("chunk_id"))
     children = _children(with_chunk(cited, "chunk_id"), child_table, "case_id", "run_ts")
     parents = with_chunk(chunks.select("chunk_id", "indexed_at", "removed_at"), "chunk_id").select("space", "key", _ntz("indexed_at").alias("arrived"), _ntz("removed_at").alias("removed"))
-    return orphans(children, parents, hot).distinct()
+    counts = with_chunk(cited.groupBy("chunk_id").agg(F.count("*").alias("n")), "chunk_id")
+    return orphans(children, parents, counts, hot).distinct()
 
 
 def by_month(found: DataFrame) -> DataFrame:
