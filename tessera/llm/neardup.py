@@ -282,14 +282,14 @@ def hot_groups(members: DataFrame, group: str, total: int) -> DataFrame:
     return members.groupBy(group).agg(F.count("*").alias("n")).where(F.col("n") > limit).select(group, F.ceil(F.col("n") / limit).cast("int").alias("blocks"))
 
 
-def pairs_within(members: DataFrame, group: str, item: str, total: int, also: tuple[str, ...] = (), alike: Column | None = None) -> DataFrame:
+def pairs_within(members: DataFrame, group: str, item: str, total: int, also: tuple[str, ...] = (), alike: Column | None = None, hot: DataFrame | None = None) -> DataFrame:
     """(x, y), x < y: the pairs of items of a group, several times if they share several groups.
 
     A hot group is cut into blocks by a hash of its items, and every two of its blocks
     meet in a task of their own. ``alike`` is a condition on the columns ``also`` of
-    both, named x_... and y_....
+    both, named x_... and y_...; ``hot`` are the hot groups, where they are known.
     """
-    hot = F.broadcast(hot_groups(members, group, total))  # MOST_HOT rows of two numbers at most
+    hot = F.broadcast(hot_groups(members, group, total) if hot is None else hot)  # MOST_HOT rows of two numbers at most
     cut = members.join(hot, group, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     cut = cut.select(group, item, *also, "blocks", F.pmod(F.xxhash64(item), "blocks").cast("int").alias("block"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -347,7 +347,7 @@ class NearDuplicates:
         spread = firsts.select("id", *(F.col("f.bits")[i].alias(b) for i, b in enumerate(_BITS)), F.explode("f.probes").alias("probe"))
         near = _apart() <= distance_bound(POSITIONS, (1 - self.similarity) / 2)
         candidates = pairs_within(spread, "probe", "id", count * number, _BITS, near).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct().checkpoint()
-        members = marked.select("key", "id")
+        members = marked.select("key", "id").checkpoint()  # read often, and without the probes
         ids = candidates.select(F.col("a").alias("id")).union(candidates.select("b")).distinct()
         wanted = members.join(ids, "id").groupBy("id").agg(F.min("key").alias("key")).checkpoint()
         if wanted.count() <= MOST_WANTED:
@@ -363,16 +363,17 @@ class NearDuplicates:
     def pairs(self) -> DataFrame:
         """(key_a, key_b), key_a < key_b: all similar pairs of records, copies expanded."""
         linked, members = self._linked()
-        members = members.distinct()
+        members = members.distinct().checkpoint()
         total = self.records.count()
-        hot = F.broadcast(hot_groups(members, "id", total))  # MOST_HOT rows of two numbers at most
+        known = hot_groups(members, "id", total).checkpoint()
+        hot = F.broadcast(known)  # MOST_HOT rows of two numbers at most
         salted = members.join(hot, "id", "left").select("key", "id", F.pmod(F.xxhash64("key"), F.coalesce("blocks", F.lit(1))).cast("int").alias("salt"))
         across = linked
         for side, name in (("a", "k"), ("b", "l")):
             blocks = F.coalesce("blocks", F.lit(1)) - 1
             across = across.join(hot.withColumnRenamed("id", side), side, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), blocks))).drop("blocks")
             across = across.join(salted.select(F.col("id").alias(side), F.col("key").alias(name), "salt"), [side, "salt"]).drop("salt")
-        within = pairs_within(members, "id", "key", total).select(F.col("x").alias("key_a"), F.col("y").alias("key_b"))
+        within = pairs_within(members, "id", "key", total, hot=known).select(F.col("x").alias("key_a"), F.col("y").alias("key_b"))
         return across.select(F.least("k", "l").alias("key_a"), F.greatest("k", "l").alias("key_b")).where("key_a < key_b").unionByName(within)
 
     def groups(self) -> DataFrame:
