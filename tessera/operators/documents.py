@@ -209,19 +209,23 @@ def evidence_pages(items: DataFrame, pages: DataFrame) -> DataFrame:
     near = items.where(F.length(F.trim("evidence_text")) > 0).select("item_id", "document_id", "page", "evidence_text", F.explode(F.array(F.col("page") - 1, F.col("page"), F.col("page") + 1)).alias("near"))
     j = near.join(pages.select("document_id", F.col("page").alias("near"), "text"), ["document_id", "near"])
     exact = F.expr("instr(text, evidence_text) > 0")
-    same = j.select("item_id", "page", "near", exact.alias("exact"), (exact | (F.instr(even_text(F.col("text")), F.lit("")) > 0) & even_text(F.col("text")).contains(even_text(F.col("evidence_text")))).alias("even"))
+    same = j.select("item_id", "page", "near", exact.alias("exact"), (exact | even_text(F.col("text")).contains(even_text(F.col("evidence_text")))).alias("even"))
     own, beside = F.col("near") == F.col("page"), F.col("near") != F.col("page")
     found = same.groupBy("item_id").agg(F.max((own & F.col("exact")).cast("int")).alias("e"), F.max((own & F.col("even")).cast("int")).alias("n"), F.count_if(beside & F.col("even")).alias("k"), F.min(F.when(beside & F.col("even"), F.col("near"))).alias("at"))
     status = F.when(F.col("e") == 1, "exact").when(F.col("n") == 1, "normalized").when(F.col("k") == 1, "adjacent").when(F.col("k") > 1, "ambiguous").otherwise("none")
     return items.select("item_id", F.col("page").alias("__p")).join(found, "item_id", "left").select("item_id", status.alias("status"), F.when(status.isin("exact", "normalized"), F.col("__p")).when(status == "adjacent", F.col("at")).alias("page"))
 
 
-def gold_chunks(aligned_items: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(item_id, chunk_ids) of aligned evidence (item_id, document_id, page, evidence_text): the chunks (document_id, page, chunk_id, chunk) of its page that share it, whole or where it begins or ends in them; all chunks of the page where none does."""
+def gold_chunks(aligned_items: DataFrame, chunks: DataFrame, least: int = 40) -> DataFrame:
+    """(item_id, chunk_ids) of aligned evidence (item_id, document_id, page, evidence_text): the chunks (document_id, page, chunk_id, chunk) of its page that hold it, lie within it, or hold its beginning up to their end, or its end from their beginning, of ``least`` characters at least; all chunks of the page where none does."""
     here = aligned_items.where(F.col("page").isNotNull()).join(chunks, ["document_id", "page"])
-    needle, text = even_text(F.col("evidence_text")), even_text(F.col("chunk"))
-    head, tail = F.substring(needle, 1, 40), F.expr("right(__needle, 40)")
-    marked = here.withColumn("__needle", needle).withColumn("hit", text.contains(F.col("__needle")) | F.col("__needle").contains(text) | text.contains(head) | text.contains(tail))
+    both = here.withColumns({"__n": even_text(F.col("evidence_text")), "__c": even_text(F.col("chunk"))})
+    # The first and last characters only tell where the rest has to be compared.
+    begins = F.expr(f"instr(__c, left(__n, {least}))")
+    ends = F.expr(f"instr(__c, right(__n, {least}))")
+    opening = (begins > 0) & F.startswith("__n", F.substr("__c", begins))
+    closing = (ends > 0) & F.endswith("__n", F.substr("__c", F.lit(1), ends + F.length(F.expr(f"right(__n, {least})")) - 1))
+    marked = both.withColumn("hit", F.col("__c").contains(F.col("__n")) | F.col("__n").contains(F.col("__c")) | opening | closing)
     ids = marked.groupBy("item_id").agg(F.sort_array(F.collect_set(F.when(F.col("hit"), F.col("chunk_id")))).alias("some"), F.sort_array(F.collect_set("chunk_id")).alias("every"))
     return ids.select("item_id", F.when(F.size("some") > 0, F.col("some")).otherwise(F.col("every")).alias("chunk_ids"))
 

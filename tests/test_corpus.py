@@ -84,3 +84,12 @@ def test_backfill_and_balance(spark):
 def test_leaks(spark):
     q = spark.createDataFrame([("What of Assets?", "Assets", None), ("What of 5?", "x", 5.0), ("What?", None, None), (None, "x", 1.0)], "question string, tag string, expected double")
     assert [(r.question, r.leaked) for r in evaluation.leaks(q, "question", ["tag", "expected"]).collect()] == [("What of Assets?", ["tag"])]
+
+
+def test_gold_chunks_share_the_evidence(spark):
+    words = [f"w{i:03d}" for i in range(60)]
+    chunks = spark.createDataFrame([("d", 1, f"c{k}", " ".join(words[20 * k : 20 * k + 20])) for k in range(3)] + [("d", 1, "other", "none of it"), ("d", 2, "z", "far")], "document_id string, page int, chunk_id string, chunk string")
+    items = [("whole", " ".join(words[22:30])), ("over", " ".join(words[8:45])), ("nothing", "absent"), ("begins alike", " ".join(words[8:18]) + " but ends otherwise")]
+    df = spark.createDataFrame([(i, "d", 1, e) for i, e in items] + [("no page", "d", None, "x")], "item_id string, document_id string, page int, evidence_text string")
+    got = {r.item_id: r.chunk_ids for r in documents.gold_chunks(df, chunks, 12).collect()}
+    assert got == {"whole": ["c1"], "over": ["c0", "c1", "c2"], "nothing": ["c0", "c1", "c2", "other"], "begins alike": ["c0", "c1", "c2", "other"]}
